@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import lines, mixing, simhash
 
 QUERIES = {
+    "op4_line_site_spread": lines.op4_line_site_spread,
+    "op6_simhash": simhash.op6_simhash,
     "op9_systematic_mixing": mixing.op9_systematic_mixing,
 }
 ORACLES = {
+    "op4_line_site_spread": lines.OP4_SQL,
     "op9_systematic_mixing": mixing.OP9_SQL,
 }
