@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import lines, mixing, simhash
+from . import lines, mixing, packing, simhash
 
 QUERIES = {
     "op4_line_site_spread": lines.op4_line_site_spread,
     "op6_simhash": simhash.op6_simhash,
+    "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_systematic_mixing": mixing.op9_systematic_mixing,
 }
 ORACLES = {
