@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import lines, mixing, packing, simhash
+from . import lines, mixing, packing, simhash, warc
 
 QUERIES = {
+    "op2_warc_writer": warc.op2_warc_writer,
     "op4_line_site_spread": lines.op4_line_site_spread,
     "op6_simhash": simhash.op6_simhash,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_systematic_mixing": mixing.op9_systematic_mixing,
 }
 ORACLES = {
+    "op2_warc_writer": warc.OP2_SQL,
     "op4_line_site_spread": lines.OP4_SQL,
     "op9_systematic_mixing": mixing.OP9_SQL,
 }
