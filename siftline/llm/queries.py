@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import lines, mixing, packing, simhash, warc
+from . import lines, mixing, mjpeg, packing, simhash, warc
 
 QUERIES = {
     "op2_warc_writer": warc.op2_warc_writer,
     "op4_line_site_spread": lines.op4_line_site_spread,
     "op6_simhash": simhash.op6_simhash,
+    "op7_avi_mjpeg": mjpeg.op7_avi_mjpeg,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_systematic_mixing": mixing.op9_systematic_mixing,
 }
