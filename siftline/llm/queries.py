@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import lines, mixing, mjpeg, packing, simhash, warc
+from . import knn, lines, mixing, mjpeg, packing, simhash, warc
 
 QUERIES = {
+    "op1_voronoi_knn": knn.op1_voronoi_knn,
     "op2_warc_writer": warc.op2_warc_writer,
     "op4_line_site_spread": lines.op4_line_site_spread,
     "op6_simhash": simhash.op6_simhash,
@@ -13,6 +14,7 @@ QUERIES = {
     "op9_systematic_mixing": mixing.op9_systematic_mixing,
 }
 ORACLES = {
+    "op1_voronoi_knn": knn.OP1_SQL,
     "op2_warc_writer": warc.OP2_SQL,
     "op4_line_site_spread": lines.OP4_SQL,
     "op9_systematic_mixing": mixing.OP9_SQL,
