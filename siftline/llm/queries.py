@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import knn, lines, mixing, mjpeg, packing, simhash, warc
+from . import knn, langid, lines, mixing, mjpeg, packing, simhash, warc
 
 QUERIES = {
     "op1_voronoi_knn": knn.op1_voronoi_knn,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_avi_mjpeg": mjpeg.op7_avi_mjpeg,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_systematic_mixing": mixing.op9_systematic_mixing,
+    "op10_crf_langid": langid.op10_crf_langid,
 }
 ORACLES = {
     "op1_voronoi_knn": knn.OP1_SQL,
