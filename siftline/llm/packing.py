@@ -40,6 +40,11 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+#: Between words that are encoded together.
+MARK = "\x01"
+MARKED = f" {MARK} "
+
+
 class _Numbered(dict):
     """Words by number; a word not met before gets the next one and waits in new."""
 
@@ -56,50 +61,95 @@ class _Numbered(dict):
 class WordTokens:
     """Ids of texts by a tokenizer that drops white space, so each run of other characters is encoded by itself and kept.
 
-    Runs seen before are looked up; new ones are encoded many at a time, as lines of one text, and told apart by offsets.
-    The store starts anew when it holds more than ``most`` runs.
+    Runs seen before are looked up; new ones are encoded many at a time, with marks between them.
+    Text of Latin-1 characters is lower-cased first, as the tokenizer would, so that fewer runs are new. When the store holds
+    more than ``most`` runs, those met only once are dropped.
     """
 
     def __init__(self, path: str, most: int = 800_000):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        # the same model without the steps that leave words of lower-case letters as they are
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+        (self.mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self._clear()
 
     def _clear(self) -> None:
         self.at = _Numbered()
         self.ids, self.used = np.empty(1 << 16, dtype=np.uint32), 0
-        self.starts, self.lengths = np.empty(1 << 14, dtype=np.int64), np.empty(1 << 14, dtype=np.int64)
+        self.starts, self.lengths, self.met = (np.zeros(1 << 14, dtype=np.int64) for _ in range(3))
+
+    def _shrink(self) -> None:
+        keep = np.nonzero(self.met[: len(self.at)] > 1)[0][: self.most // 2]
+        words = list(self.at)
+        lengths = self.lengths[keep]
+        ends = np.cumsum(lengths)
+        ids = self.ids[np.repeat(self.starts[keep] - ends + lengths, lengths) + np.arange(lengths.sum())]
+        self._clear()
+        self.at.update(zip([words[i] for i in keep.tolist()], range(len(keep)), strict=True))
+        self.ids, self.used = np.append(ids, np.empty(1 << 16, dtype=np.uint32)), len(ids)
+        self.starts, self.lengths, self.met = (np.append(x, np.zeros(1 << 14, dtype=np.int64)) for x in (ends - lengths, lengths, 0 * lengths))
 
     def _learn(self) -> None:
         words, self.at.new = self.at.new, []
         n = len(self.at) - len(words)
         for k in range(0, len(words), 8192):
             some = words[k : k + 8192]
-            ends = np.cumsum([len(w) + 1 for w in some])
-            found = self.tokenizer.encode("\n".join(some), add_special_tokens=False)
-            owner = np.searchsorted(ends, np.array(found.offsets, dtype=np.int64).reshape(-1, 2)[:, 0], side="right")
-            counts, need = np.bincount(owner, minlength=len(some)), self.used + len(found.ids)
+            plain = [w.isalpha() and w.islower() and max(w) < "\u0100" for w in some]
+            ids, counts = self._merge(plain, self._plain([w for w, p in zip(some, plain, strict=True) if p]), self._others([w for w, p in zip(some, plain, strict=True) if not p]))
+            need = self.used + len(ids)
             while need > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
             while n + len(some) > len(self.starts):
-                self.starts, self.lengths = (np.concatenate([x, np.empty_like(x)]) for x in (self.starts, self.lengths))
-            self.ids[self.used : need] = found.ids
+                self.starts, self.lengths, self.met = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths, self.met))
+            self.ids[self.used : need] = ids
             self.lengths[n : n + len(some)] = counts
             self.starts[n : n + len(some)] = self.used + np.cumsum(counts) - counts
             self.used, n = need, n + len(some)
 
+    def _plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of lower-case letters, one after another, and how many each has: each word is one word end."""
+        ids = np.array(self.bare.encode(" ".join(words), add_special_tokens=False).ids, dtype=np.uint32)
+        ends = np.nonzero(self.ends[ids])[0] + 1
+        return ids, np.diff(ends, prepend=0)
+
+    def _others(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for other words. A mark between blanks is one id of its own; words that hold it are encoded apart."""
+        found = np.array(self.tokenizer.encode(MARKED.join(w if MARK not in w else "" for w in words), add_special_tokens=False).ids, dtype=np.uint32)
+        own = found != self.mark
+        ids, counts = found[own], np.bincount(np.cumsum(~own)[own], minlength=len(words))
+        for i in [i for i, w in enumerate(words) if MARK in w]:
+            alone = self.tokenizer.encode(words[i], add_special_tokens=False).ids
+            ids, counts[i] = np.insert(ids, counts[:i].sum(), alone), len(alone)
+        return ids, counts
+
+    @staticmethod
+    def _merge(first: list[bool], a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and counts in the words' own order; first tells whose they are."""
+        mine = np.array(first, dtype=bool)
+        counts = np.empty(len(mine), dtype=np.int64)
+        counts[mine], counts[~mine] = a[1], b[1][: (~mine).sum()]
+        of = np.repeat(mine, counts)
+        ids = np.empty(len(of), dtype=np.uint32)
+        ids[of], ids[~of] = a[0], b[0]
+        return ids, counts
+
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.at) > self.most:
-            self._clear()
+            self._shrink()
         words, until = [], []
         for text in texts:
-            words += OTHER.findall(text) if ODD.search(text) else text.split()
+            words += OTHER.findall(text) if ODD.search(text) else _lowered(text).split()
             until.append(len(words))
         at = np.fromiter(map(self.at.__getitem__, words), dtype=np.int64, count=len(words))
         del words
         if self.at.new:
             self._learn()
+        self.met[: len(self.at)] += np.bincount(at, minlength=len(self.at))
         lengths = self.lengths[at]
         ends = np.concatenate(([0], np.cumsum(lengths)))
         ids = self.ids[np.repeat(self.starts[at] - ends[:-1], lengths) + np.arange(ends[-1])]
@@ -114,6 +164,15 @@ SPACE = re.compile("[\t-\r ]")
 PART = 1 << 22
 
 
+def _lowered(text: str) -> str:
+    """In Latin-1, lower case is one letter for one; elsewhere it is left to the tokenizer, as is text with special tokens."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text if "<|" in text else text.lower()
+
+
 @functools.cache
 def word_tokens(path: str) -> WordTokens:
     """One store for each worker process, kept from task to task."""
