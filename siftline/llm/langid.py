@@ -34,6 +34,8 @@ from .common import ship, table
 DOCS, CHARS, LANGS = 200, 1500, 64
 HASHED, FREQUENT = 1 << 16, 5
 SEQUENCE, SEGMENT = 48, 128
+#: A document of an even mix of two languages scores about 0.5; below this, words agree on nothing.
+LEAST = 0.4
 EPOCHS, PARTS, RATE, DECAY = 5, 8, 0.4, 1e-6
 #: Characters whose words are labelled at a time.
 AT_ONCE = 1 << 20
@@ -276,24 +278,27 @@ def _batches(texts: list[str | None]) -> Iterator[tuple[int, list[np.ndarray]]]:
         yield at, some
 
 
+def languages(model: Model | None, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    """Each text's language and score."""
+    lang, score = [], []
+    for _, some in _batches(texts):
+        w = words_of(some)
+        mean = np.zeros((len(some), len(model.langs) if model else 1))
+        has = w.per_text > 0
+        if model and has.any():
+            gamma = marginals(model.scores(w), w.per_text, model.moves)
+            mean[has] = np.add.reduceat(gamma, (np.cumsum(w.per_text) - w.per_text)[has], axis=0) / w.per_text[has][:, None]
+        best = mean.argmax(axis=1)
+        top = mean[np.arange(len(some)), best]
+        lang += [model.langs[b] if t > 0 else "und" for b, t in zip(best.tolist(), top.tolist(), strict=True)]
+        score += np.clip(top, 0, 1).tolist()
+    return lang, score
+
+
 def _predict(model: Model | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lang, score = [], []
-            for _, some in _batches([x.as_py() for x in batch.column("text")]):
-                w = words_of(some)
-                if model is None:
-                    mean = np.zeros((len(some), 1))
-                else:
-                    gamma = marginals(model.scores(w), w.per_text, model.moves)
-                    has = w.per_text > 0
-                    mean = np.zeros((len(some), len(model.langs)))
-                    if has.any():
-                        mean[has] = np.add.reduceat(gamma, (np.cumsum(w.per_text) - w.per_text)[has], axis=0) / w.per_text[has][:, None]
-                best = mean.argmax(axis=1)
-                top = mean[np.arange(len(some)), best]
-                lang += [model.langs[b] if t > 0 else "und" for b, t in zip(best.tolist(), top.tolist(), strict=True)]
-                score += np.clip(top, 0, 1).tolist()
+            lang, score = languages(model, [x.as_py() for x in batch.column("text")])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return run
@@ -331,6 +336,21 @@ def spans(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_spans(model), "doc_id long, first_word long, words long, lang string, score double")
 
 
+def _known(model: Model | None, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lang, score = languages(model, [x.as_py() for x in batch.column("text")])
+            yield batch.filter(pa.array([x != "und" and s >= least for x, s in zip(lang, score, strict=True)], pa.bool_()))
+
+    return run
+
+
+def known(docs: DataFrame, model: Model | None, least: float = LEAST) -> DataFrame:
+    """docs' rows and columns, but for those without a language or whose score is below least. Nothing is shuffled."""
+    ship(docs.sparkSession)
+    return docs.mapInArrow(_known(model, least), docs.schema)
+
+
 def learned(docs: DataFrame) -> Model | None:
     sample = sample_of(docs)
     return learn(sample) if sample else None

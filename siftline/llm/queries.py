@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import knn, langid, lines, mixing, mjpeg, packing, simhash, warc
+from . import cotraining, knn, langid, lines, mixing, mjpeg, packing, simhash, tokencount, warc
 
 QUERIES = {
     "op1_voronoi_knn": knn.op1_voronoi_knn,
     "op2_warc_writer": warc.op2_warc_writer,
+    "op3_cotraining": cotraining.op3_cotraining,
     "op4_line_site_spread": lines.op4_line_site_spread,
+    "op5_trie_token_counts": tokencount.op5_trie_token_counts,
     "op6_simhash": simhash.op6_simhash,
     "op7_avi_mjpeg": mjpeg.op7_avi_mjpeg,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
