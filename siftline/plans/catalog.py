@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import queries_logs
+from . import queries_logs, queries_search
 
-_MODULES = [queries_logs]
+_MODULES = [queries_logs, queries_search]
 
 QUERIES: dict = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
