@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import functools
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,7 +38,7 @@ SEQUENCE, SEGMENT = 48, 128
 LEAST = 0.4
 EPOCHS, PARTS, RATE, DECAY = 5, 8, 0.4, 1e-6
 #: Characters whose words are labelled at a time.
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 18
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 BASE = 0x5851F42D4C957F2D
 
@@ -265,7 +265,7 @@ def sample_of(docs: DataFrame, docs_each: int = DOCS, chars: int = CHARS, langs:
     return [(r["lang"], r["text"]) for r in sorted(rows.limit(2 * docs_each * len(counts)).collect(), key=lambda r: (r["doc_id"], r["text"]))]
 
 
-def _batches(texts: list[str | None]) -> Iterator[tuple[int, list[np.ndarray]]]:
+def _batches(texts: Iterable[str | None]) -> Iterator[tuple[int, list[np.ndarray]]]:
     """Texts as codes, of about AT_ONCE characters together, and the first one's place."""
     some, size, at = [], 0, 0
     for i, text in enumerate(texts):
@@ -278,7 +278,7 @@ def _batches(texts: list[str | None]) -> Iterator[tuple[int, list[np.ndarray]]]:
         yield at, some
 
 
-def languages(model: Model | None, texts: list[str | None]) -> tuple[list[str], list[float]]:
+def languages(model: Model | None, texts: Iterable[str | None]) -> tuple[list[str], list[float]]:
     """Each text's language and score."""
     lang, score = [], []
     for _, some in _batches(texts):
@@ -298,7 +298,7 @@ def languages(model: Model | None, texts: list[str | None]) -> tuple[list[str],
 def _predict(model: Model | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lang, score = languages(model, [x.as_py() for x in batch.column("text")])
+            lang, score = languages(model, (x.as_py() for x in batch.column("text")))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return run
@@ -309,7 +309,7 @@ def _spans(model: Model):
         for batch in batches:
             rows = []
             ids = batch.column("doc_id").to_pylist()
-            for first, some in _batches([x.as_py() for x in batch.column("text")]):
+            for first, some in _batches((x.as_py() for x in batch.column("text"))):
                 w = words_of(some)
                 gamma = marginals(model.scores(w), w.per_text, model.moves)
                 best, at = gamma.argmax(axis=1), 0
@@ -339,7 +339,7 @@ def spans(docs: DataFrame, model: Model) -> DataFrame:
 def _known(model: Model | None, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lang, score = languages(model, [x.as_py() for x in batch.column("text")])
+            lang, score = languages(model, (x.as_py() for x in batch.column("text")))
             yield batch.filter(pa.array([x != "und" and s >= least for x, s in zip(lang, score, strict=True)], pa.bool_()))
 
     return run

@@ -66,7 +66,7 @@ class WordTokens:
     more than ``most`` runs, those met only once are dropped.
     """
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 300_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
@@ -161,7 +161,7 @@ ODD = re.compile("[\x1c-\x1f]")
 OTHER = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 SPACE = re.compile("[\t-\r ]")
 #: Characters encoded at a time.
-PART = 1 << 22
+PART = 1 << 20
 
 
 def _lowered(text: str) -> str:
