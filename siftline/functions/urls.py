@@ -6,10 +6,12 @@ import re
 from urllib.parse import quote, urljoin, urlsplit
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siftline.functions.ship import ship
+
 MAX_URL = 2048
 PARTS = r"(?i)^\s*([a-z][a-z0-9+.-]*)://(?:([^/?#@]*)@)?(\[[^\]/?#]*\]|[^/?#:@]*)(?::(\d*))?([^?#]*)(\?[^#]*)?(#.*)?\s*$"
 DEFAULT_PORT = {"http": "80", "https": "443"}
@@ -166,5 +168,10 @@ def normalize(url: str | None, base: str | None = None) -> str | None:
 
 
 @F.pandas_udf(T.StringType())
-def normalize_url(urls: pd.Series) -> pd.Series:
+def _normalize(urls: pd.Series) -> pd.Series:
     return urls.map(normalize, na_action="ignore")
+
+
+def normalize_url(url: Column) -> Column:
+    ship(SparkSession.active())
+    return _normalize(url)

@@ -42,6 +42,24 @@ VIEWS = {
   {_pick("user_id % 9", SOURCES)} AS source, CASE WHEN user_id % 5 = 0 THEN '' ELSE concat('/', event_type) END AS landing_page, 1.0 AS sessions,
   CASE WHEN event_id % 3 = 0 THEN 1.0 ELSE 0.0 END AS engaged_sessions, CASE WHEN event_type = 'purchase' THEN 1.0 ELSE 0.0 END AS key_events,
   CASE WHEN event_type = 'purchase' THEN floor(value) ELSE 0.0 END AS total_revenue FROM events""",
+    # stored fetches: real pages, with statuses, headers and head elements put in by page_id
+    "v_fetches": """SELECT page_id, url AS requested_url, split_part(url, '#', 1) AS final_url,
+  CASE WHEN page_id % 19 = 0 THEN 404 WHEN page_id % 23 = 0 THEN 503 WHEN page_id % 29 = 0 THEN 304 ELSE 200 END AS status, page_id % 7 = 0 AS redirected, page_id % 47 = 0 AS disallowed,
+  CASE WHEN page_id % 31 = 0 THEN 'application/pdf' ELSE 'text/html; charset=utf-8' END AS content_type,
+  CASE WHEN page_id % 13 = 0 THEN 'googlebot: noindex' WHEN page_id % 17 = 0 THEN 'none' ELSE '' END AS x_robots,
+  replace(replace(html, '<head>', concat('<head>', CASE WHEN page_id % 3 = 0 THEN '' ELSE '<meta name="Description" content=" d ">' END,
+    CASE WHEN page_id % 5 = 0 THEN '<meta name="robots" content="NoIndex, follow">' ELSE '' END, CASE WHEN page_id % 37 = 0 THEN '<title>again</title>' ELSE '' END,
+    CASE page_id % 8 WHEN 1 THEN '<link rel="canonical" href="/c">' WHEN 2 THEN '<link rel="canonical" href="/c"><link rel="x canonical" href="/d">' WHEN 3 THEN '<link rel="canonical" href=" ">'
+      WHEN 4 THEN '<link rel="canonical" href="#part">' WHEN 5 THEN '<link rel="Canonical" href="https://other.example/x">' ELSE '' END,
+    CASE page_id % 6 WHEN 1 THEN '<script type="application/ld+json">{broken</script>' WHEN 2 THEN '<script type="application/ld+json">{"@type": "Article", "author": {"@type": ["Person"], "@id": "p"}}</script>' ELSE '' END)),
+    '<body>', CASE WHEN page_id % 8 = 6 THEN '<body><link rel="canonical" href="/late">' ELSE '<body>' END) AS html FROM pages""",
+    # a graph over page numbers in groups: a ring, chords, and some dead ends
+    "v_edges": """SELECT page_id % 9 AS site, page_id // 9 AS src, 1 AS position, (page_id // 9 + 1) % 20 AS dst FROM pages WHERE page_id // 9 < 20 AND page_id % 4 <> 3
+  UNION ALL SELECT page_id % 9, page_id // 9, 2, (page_id // 9 * 3 + 2) % 20 FROM pages WHERE page_id // 9 < 20 AND page_id % 5 <> 0""",
+    # three audit runs of each host: findings come and go by page and run
+    "v_run_findings": """SELECT r.run_no, concat('run-', CAST(r.run_no AS VARCHAR(9))) AS run_id, page_id, split_part(url, '#', 1) AS url, rule_id,
+  (page_id * 7 + r.run_no * 5 + k) % 4 <> 0 AS found, (page_id + r.run_no) % 11 <> 0 AS observed
+  FROM pages, (VALUES (1), (2), (3)) AS r(run_no), (VALUES ('TITLE_NOT_OBSERVED_STATIC_HTML_V1', 1), ('HTTP_CLIENT_ERROR_V1', 2), ('SITEMAP_URL_REDIRECTS_V1', 3)) AS f(rule_id, k)""",
 }
 
 
@@ -49,6 +67,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view of VIEWS over the tables of sf_dir; nothing is registered in the session."""
     used = {t: table(spark, sf_dir, t) for t in ("events", "lineitem", "part", "orders", "pages") if f" {t}" in VIEWS[name]}
     text = VIEWS[name].replace("VARCHAR(20)", "STRING").replace("VARCHAR(9)", "STRING")
+    text = text.replace(" // ", " DIV ").replace("{", "{{").replace("}", "}}")
     for t in used:
         text = text.replace(f"FROM {t}", f"FROM {{{t}}} AS {t}").replace(f"JOIN {t} ", f"JOIN {{{t}}} AS {t} ")
     return spark.sql(text, **used)
