@@ -40,6 +40,8 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+#: Marks that close words; an apostrophe may begin a piece of its own.
+MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
 #: Between words that are encoded together.
 MARK = "\x01"
 MARKED = f" {MARK} "
@@ -75,6 +77,7 @@ class WordTokens:
         self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
         self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+        self.mark_ids: dict[str, np.ndarray] = {}
         (self.mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self._clear()
 
@@ -88,32 +91,63 @@ class WordTokens:
         words = list(self.at)
         lengths = self.lengths[keep]
         ends = np.cumsum(lengths)
-        ids = self.ids[np.repeat(self.starts[keep] - ends + lengths, lengths) + np.arange(lengths.sum())]
+        ids = self._ids_at(keep)
         self._clear()
         self.at.update(zip([words[i] for i in keep.tolist()], range(len(keep)), strict=True))
         self.ids, self.used = np.append(ids, np.empty(1 << 16, dtype=np.uint32)), len(ids)
         self.starts, self.lengths, self.met = (np.append(x, np.zeros(1 << 14, dtype=np.int64)) for x in (ends - lengths, lengths, 0 * lengths))
 
     def _learn(self) -> None:
-        words, self.at.new = self.at.new, []
-        n = len(self.at) - len(words)
-        for k in range(0, len(words), 8192):
-            some = words[k : k + 8192]
-            plain = [w.isalpha() and w.islower() and max(w) < "\u0100" for w in some]
-            ids, counts = self._merge(plain, self._plain([w for w, p in zip(some, plain, strict=True) if p]), self._others([w for w, p in zip(some, plain, strict=True) if not p]))
-            need = self.used + len(ids)
-            while need > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-            while n + len(some) > len(self.starts):
-                self.starts, self.lengths, self.met = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths, self.met))
-            self.ids[self.used : need] = ids
-            self.lengths[n : n + len(some)] = counts
-            self.starts[n : n + len(some)] = self.used + np.cumsum(counts) - counts
-            self.used, n = need, n + len(some)
+        """Ids of the new words. Those of letters and closing marks are put together from the word and the marks."""
+        n, new = len(self.at) - len(self.at.new), self.at.new
+        plain, other, joined, bases, marks = [], [], [], [], []
+        for i, word in enumerate(new):  # bases not met before join the list as it is read
+            base = word.rstrip(MARKS)
+            if not (base.isalpha() and base.islower() and max(base) < "\u0100"):
+                other.append(i)
+            elif len(base) == len(word):
+                plain.append(i)
+            else:
+                joined.append(i)
+                bases.append(self.at[base])
+                marks.append(word[len(base) :])
+        self.at.new = []
+        while len(self.at) > len(self.starts):
+            self.starts, self.lengths, self.met = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths, self.met))
+        for which, encode in ((plain, self._plain), (other, self._others)):
+            for k in range(0, len(which), 8192):
+                some = which[k : k + 8192]
+                ids, counts = encode([new[i] for i in some])
+                self._store(n + np.array(some), ids, counts[: len(some)])
+        if joined:
+            for mark in set(marks) - self.mark_ids.keys():
+                self.mark_ids[mark] = np.array(self.tokenizer.encode(mark, add_special_tokens=False).ids, dtype=np.uint32)
+            tails = [self.mark_ids[m] for m in marks]
+            first, tail = self.lengths[bases], np.array([len(t) for t in tails])
+            of_base = np.repeat(np.tile([True, False], len(joined)), np.stack([first, tail], axis=1).reshape(-1))
+            ids = np.empty(len(of_base), dtype=np.uint32)
+            ids[of_base] = self._ids_at(np.array(bases))
+            ids[~of_base] = np.concatenate(tails)
+            self._store(n + np.array(joined), ids, first + tail)
+
+    def _store(self, at: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        need = self.used + len(ids)
+        while need > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+        self.ids[self.used : need] = ids
+        self.lengths[at], self.starts[at] = counts, self.used + np.cumsum(counts) - counts
+        self.used = need
+
+    def _ids_at(self, at: np.ndarray) -> np.ndarray:
+        """The ids of words by number, one after another."""
+        lengths = self.lengths[at]
+        ends = np.cumsum(lengths)
+        return self.ids[np.repeat(self.starts[at] - ends + lengths, lengths) + np.arange(lengths.sum())]
 
     def _plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words of lower-case letters, one after another, and how many each has: each word is one word end."""
-        ids = np.array(self.bare.encode(" ".join(words), add_special_tokens=False).ids, dtype=np.uint32)
+        (found,) = self.bare.encode_batch_fast([" ".join(words)], add_special_tokens=False)
+        ids = np.array(found.ids, dtype=np.uint32)
         ends = np.nonzero(self.ends[ids])[0] + 1
         return ids, np.diff(ends, prepend=0)
 
@@ -127,17 +161,6 @@ class WordTokens:
             ids, counts[i] = np.insert(ids, counts[:i].sum(), alone), len(alone)
         return ids, counts
 
-    @staticmethod
-    def _merge(first: list[bool], a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and counts in the words' own order; first tells whose they are."""
-        mine = np.array(first, dtype=bool)
-        counts = np.empty(len(mine), dtype=np.int64)
-        counts[mine], counts[~mine] = a[1], b[1][: (~mine).sum()]
-        of = np.repeat(mine, counts)
-        ids = np.empty(len(of), dtype=np.uint32)
-        ids[of], ids[~of] = a[0], b[0]
-        return ids, counts
-
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.at) > self.most:
             self._shrink()
@@ -152,8 +175,7 @@ class WordTokens:
         self.met[: len(self.at)] += np.bincount(at, minlength=len(self.at))
         lengths = self.lengths[at]
         ends = np.concatenate(([0], np.cumsum(lengths)))
-        ids = self.ids[np.repeat(self.starts[at] - ends[:-1], lengths) + np.arange(ends[-1])]
-        return np.split(ids, ends[until[:-1]]) if texts else []
+        return np.split(self._ids_at(at), ends[until[:-1]]) if texts else []
 
 
 #: str.split() also splits at these, which the tokenizer takes as characters.
