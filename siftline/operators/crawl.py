@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftline.functions.shared import checkpointed
 from siftline.functions.urls import document_url, in_scope, is_page, origin, path
 from siftline.operators.page_rules import fingerprint
 
@@ -62,15 +63,15 @@ def discover(seeds: DataFrame, sitemap_entries: DataFrame, links: DataFrame, lim
     listed = scoped(sitemap_entries.select("site", "ordinal", "url", "lastmod"))
     listed = listed.select("site", "url", F.lit("sitemap").alias("source"), "lastmod", F.struct(F.lit(1).cast("long").alias("a"), F.col("ordinal").cast("long").alias("b")).alias("at"))
     both = first.unionByName(listed).groupBy("site", "url").agg(F.min_by("source", "at").alias("source"), F.min_by("lastmod", F.when(F.col("lastmod").isNotNull(), F.col("at"))).alias("lastmod"), F.min("at").alias("at"))
-    have = _numbered(both, None, cap).withColumn("depth", F.lit(0)).checkpoint()
-    inner = scoped(links.select("site", "page", "position", "url")).select("site", document_url(F.col("page")).alias("page"), "position", "url").checkpoint()
+    have = checkpointed(_numbered(both, None, cap).withColumn("depth", F.lit(0)))
+    inner = checkpointed(scoped(links.select("site", "page", "position", "url")).select("site", document_url(F.col("page")).alias("page"), "position", "url"))
     level, depth = have, 0
     while level.where(F.col("ordinal") <= limit).take(1):
         depth += 1
         pages = level.where(F.col("ordinal") <= limit).select("site", F.col("url").alias("page"), F.col("ordinal").alias("parent"))
         found = inner.join(pages, ["site", "page"]).groupBy("site", "url").agg(F.min(F.struct(F.col("parent").alias("a"), F.col("position").cast("long").alias("b"))).alias("at"))
         found = found.withColumns({"source": F.lit("link"), "lastmod": F.lit(None).cast("string")})
-        level = _numbered(found, have, cap).withColumn("depth", F.lit(depth)).checkpoint()
+        level = checkpointed(_numbered(found, have, cap).withColumn("depth", F.lit(depth)))
         have = have.unionByName(level)
     audited = have.withColumn("audited", F.col("ordinal") <= limit)
     linked = inner.join(audited.where("audited").select("site", F.col("url").alias("page")), ["site", "page"], "left_semi").select("site", "url").distinct().withColumn("s", F.lit("link"))
@@ -153,7 +154,7 @@ def sitemap_tree(roots: DataFrame, children: DataFrame, most: int = 20) -> DataF
     A child must lie in its parent's directory and within its boundary; each document is read once, the first ``most`` in order.
     """
     seen = roots.select("site", document_url(F.col("url")).alias("url"), F.row_number().over(Window.partitionBy("site").orderBy("ordinal")).cast("long").alias("ordinal"), F.lit(0).alias("depth"))
-    seen = seen.where(F.col("ordinal") <= most).checkpoint()
+    seen = checkpointed(seen.where(F.col("ordinal") <= most))
     folder = F.regexp_extract(path(F.col("url")), "^(.*/)", 1)
     inside = children.where(in_scope(F.col("child"), F.col("url")) & F.startswith(path(F.col("child")), folder)).select("site", document_url(F.col("url")).alias("url"), document_url(F.col("child")).alias("child"), "position")
     level, depth = seen, 0
@@ -162,6 +163,6 @@ def sitemap_tree(roots: DataFrame, children: DataFrame, most: int = 20) -> DataF
         new = inside.join(level.select("site", "url", "ordinal"), ["site", "url"]).groupBy("site", F.col("child").alias("url")).agg(F.min(F.struct("ordinal", "position")).alias("at"))
         new = new.join(seen.select("site", "url"), ["site", "url"], "left_anti").join(seen.groupBy("site").agg(F.max("ordinal").alias("before")), "site")
         number = F.row_number().over(Window.partitionBy("site").orderBy("at")) + F.col("before")
-        level = new.select("site", "url", number.cast("long").alias("ordinal"), F.lit(depth).alias("depth")).where(F.col("ordinal") <= most).checkpoint()
+        level = checkpointed(new.select("site", "url", number.cast("long").alias("ordinal"), F.lit(depth).alias("depth")).where(F.col("ordinal") <= most))
         seen = seen.unionByName(level)
     return seen

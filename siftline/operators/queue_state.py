@@ -27,6 +27,10 @@ verified_at string, history array<{EVENT}>"""
 SYNCS = "site string, latest_run_id string, completed_at string, synced_at string"
 
 
+#: Names the current version. A leading underscore would hide it from readers.
+POINTER = "CURRENT"
+
+
 class OutOfOrder(ValueError):
     """A run that completed before the latest synced run of its site."""
 
@@ -175,23 +179,38 @@ def write_version(state: DataFrame, folder: str) -> str:
     spark = state.sparkSession
     version = f"v-{uuid.uuid4().hex}"
     state.write.parquet(f"{folder}/{version}")
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path
-    fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    new = path(f"{folder}/_current-{version}")
-    out = fs.create(new, True)
+    hadoop, context = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext
+    new, current = hadoop.Path(f"{folder}/CURRENT-{version}"), hadoop.Path(f"{folder}/{POINTER}")
+    out = new.getFileSystem(context._jsc.hadoopConfiguration()).create(new, True)
     out.write(version.encode())
     out.close()
-    fs.delete(path(f"{folder}/_current"), False)
-    fs.rename(new, path(f"{folder}/_current"))
+    rename = getattr(hadoop, "Options$Rename")
+    over = context._gateway.new_array(rename, 1)
+    over[0] = rename.OVERWRITE
+    hadoop.FileContext.getFileContext(new.toUri(), context._jsc.hadoopConfiguration()).rename(new, current, over)
     return version
 
 
 def read_version(spark: SparkSession, folder: str, schema: str = STATE) -> DataFrame:
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{folder}/_current")
+    path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{POINTER}")
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(path):
         return spark.createDataFrame([], schema)
-    version = spark.read.text(f"{folder}/_current").first()[0]
+    version = spark.read.text(f"{folder}/{POINTER}").first()[0]
     return spark.read.schema(schema).parquet(f"{folder}/{version}")
+
+
+def pairs_to_compare(state: DataFrame, runs: DataFrame) -> DataFrame:
+    """site, older, newer: each run that a stored opportunity was last seen in, against the site's new run."""
+    return state.join(runs.select("site", F.col("run_id").alias("newer")), "site").select("site", F.col("latest_run_id").alias("older"), "newer").distinct().where("older <> newer")
+
+
+def absent_verdicts(technical: DataFrame, search: DataFrame, search_pairs: DataFrame, state: DataFrame) -> DataFrame:
+    """Comparisons as verdicts for sync(). search_pairs: older, newer, comparable, complete."""
+    t = technical.where("state IN ('resolved', 'unknown')").select("site", F.lit("technical").alias("source"), F.col("key").alias("comparison_key"), F.col("older").alias("latest_run_id"), F.col("state").alias("verdict"))
+    gone = search.where("state = 'no_longer_observed'").select("site", F.col("key").alias("comparison_key"), F.col("older").alias("latest_run_id"), F.lit("gone").alias("_gone"))
+    items = state.where("source <> 'technical'").select("site", "source", "comparison_key", "latest_run_id").join(search_pairs.select(F.col("older").alias("latest_run_id"), "comparable"), "latest_run_id")
+    judged = items.join(gone, ["site", "comparison_key", "latest_run_id"], "left")
+    s = judged.select("site", "source", "comparison_key", "latest_run_id", F.when(~F.col("comparable"), "incomparable").otherwise(F.coalesce("_gone", F.lit("unknown"))).alias("verdict"))
+    return t.unionByName(s)
