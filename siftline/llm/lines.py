@@ -36,15 +36,16 @@ def line_hash(line: Column) -> Column:
 
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, band: float = BAND) -> DataFrame:
     """(doc_id, site, h) -> h of the boilerplate lines and keeper, the (doc_id, site) that keeps each."""
-    spread = lines.groupBy("h").agg(F.hll_sketch_agg("site", LOG_K).alias("sketch"), F.min("site").alias("low"), F.max("site").alias("high"))
+    spread = lines.groupBy("h").agg(
+        F.hll_sketch_agg("site", LOG_K).alias("sketch"), F.min("site").alias("low"), F.max("site").alias("high"), F.min(F.struct("doc_id", "site")).alias("keeper")
+    )
     # the extremes alone rule out the lines of a single site, which are nearly all
-    likely = spread.where("low < high").select("h", F.hll_sketch_estimate("sketch").alias("estimate"))
+    likely = spread.where("low < high").select("h", F.hll_sketch_estimate("sketch").alias("estimate"), "keeper")
     likely = written(likely.where(F.col("estimate") >= min_sites * (1 - band)), "spread")
     near = likely.where(F.col("estimate") < min_sites * (1 + band)).select("h")
-    exact = lines.join(near, "h", "left_semi").groupBy("h").agg(F.countDistinct("site").alias("sites")).where(F.col("sites") >= min_sites).select("h")
-    sure = likely.where(F.col("estimate") >= min_sites * (1 + band)).select("h")
-    found = exact.unionByName(sure)
-    return lines.join(found, "h", "left_semi").groupBy("h").agg(F.min(F.struct("doc_id", "site")).alias("keeper"))
+    exact = lines.join(near, "h", "left_semi").groupBy("h").agg(F.countDistinct("site").alias("sites")).where(F.col("sites") >= min_sites)
+    sure = likely.where(F.col("estimate") >= min_sites * (1 + band)).select("h", "keeper")
+    return likely.join(exact.select("h"), "h", "left_semi").select("h", "keeper").unionByName(sure)
 
 
 def _sited(docs: DataFrame) -> DataFrame:
