@@ -102,16 +102,16 @@ def _solve(k: int):
             some = queries.iloc[at : at + 256]
             asked = _matrix(some.v)
             if np.abs(asked).max() * np.abs(x).max() * x.shape[1] < EXACT:
-                scores = asked @ x.T
+                scores, none = asked @ x.T, -np.inf
             else:
-                scores = (np.array(some.v.tolist(), dtype=np.int64) @ np.array(data.v.tolist(), dtype=np.int64).T).astype(np.float64)
-            scores[some.vec_id.to_numpy()[:, None] == ids] = -np.inf
+                scores, none = np.array(some.v.tolist(), dtype=np.int64) @ np.array(data.v.tolist(), dtype=np.int64).T, np.iinfo(np.int64).min
+            scores[some.vec_id.to_numpy()[:, None] == ids] = none
             if scores.shape[1] > k:
                 # all that reach the k-th score, ties included, are sorted; ids rise, so a stable sort settles ties
                 edge = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k]
-                row, col = np.nonzero((scores >= edge[:, None]) & (scores > -np.inf))
+                row, col = np.nonzero((scores >= edge[:, None]) & (scores > none))
             else:
-                row, col = np.nonzero(scores > -np.inf)
+                row, col = np.nonzero(scores > none)
             found = scores[row, col]
             order = np.lexsort((ids[col], -found, row))
             row, col, found = row[order], col[order], found[order]
