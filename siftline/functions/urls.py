@@ -47,7 +47,7 @@ def origin(url: Column) -> Column:
 
 def document_url(url: Column) -> Column:
     """Without the fragment; scheme and host in lower case, an empty path as "/". Anything else keeps what stands before "#"."""
-    clean = url.rlike(r"(?i)^https?://[^/?#@\s]+") & url.rlike(PARTS)
+    clean = url.rlike(r"(?i)^https?://[^/?#@\s]+([/?#]|$)") & url.rlike(PARTS)
     whole = F.concat(origin(url), path(url), F.regexp_extract(url, PARTS, 6))
     return F.when(clean, whole).otherwise(F.split(url, "#")[0])
 
@@ -56,7 +56,9 @@ def page_key(url: Column, explicit_host: Column | None = None) -> Column:
     """Host and path without closing slashes; the query is left out, and the path keeps its case."""
     full = url.rlike(PARTS)
     at = F.when(full, F.regexp_extract(url, PARTS, 5)).otherwise(F.regexp_replace(F.regexp_extract(url, r"^([^?#]*)", 1), r"^(?!/)", "/"))
-    at = F.regexp_replace(at, "/+$", "")
+    opaque = r"(?i)^[a-z][a-z0-9+.-]*:(?!//)([^?#]*)"
+    at = F.when(url.rlike(opaque), F.regexp_extract(url, opaque, 1)).otherwise(at)
+    at = F.replace(F.regexp_replace(at, "/+$", ""), F.lit(" "), F.lit("%20"))
     name = F.when(full, host(url)).otherwise("")
     if explicit_host is not None:
         name = F.coalesce(F.nullif(F.lower(F.trim(explicit_host)), F.lit("")), name)
@@ -69,9 +71,8 @@ def boundary_host(name: Column) -> Column:
 
 
 def same_boundary(a: Column, b: Column) -> Column:
-    """Both http(s) URLs without credentials, on one host but for "www."."""
-    web = lambda u: u.rlike(r"(?i)^https?://[^/?#@\s]+([/?#]|$)")
-    return F.coalesce(web(a) & web(b) & (boundary_host(host(a)) == boundary_host(host(b))), F.lit(False))
+    """The first an http(s) URL, and both on one host but for "www."."""
+    return F.coalesce(a.rlike(r"(?i)^https?://[^/?#\s]") & b.rlike(PARTS) & (boundary_host(host(a)) == boundary_host(host(b))), F.lit(False))
 
 
 def property_covers(prop: Column, url: Column) -> Column:

@@ -202,6 +202,8 @@ ORACLES = {
     "st5_repeat_sync": "SELECT * FROM (VALUES ('run-1', 'late'), ('run-2', 'repeat'), ('run-3', 'sync')) t(run_id, action)",
     "a20_queue_summary": f"WITH q AS ({_STATE}) SELECT count(*) AS stored, " + ", ".join(f"count(*) FILTER (WHERE status = '{x}') AS {x}" for x in queue_state.STATUS_RANK) + ", " + ", ".join(f"count(*) FILTER (WHERE observation_state = '{x}') AS {x}" for x in queue_state.OBSERVATION_RANK) + " FROM q",
     "p10_t12_queue_list": f"WITH q AS ({_STATE}) SELECT id, status, observation_state, last_seen_at FROM q WHERE status IN ('open', 'planned') AND observation_state = 'present' ORDER BY last_seen_at DESC, id LIMIT 100",
+    "t13_affected": _STATE.rpartition(" SELECT rule_id AS kind")[0] + """ SELECT 'opp_' || substr(sha256('opportunity-v1' || chr(0) || 'all' || chr(0) || 'technical' || chr(0) || rule_id || chr(0) || url), 1, 24) AS id,
+  CASE o WHEN 'new' THEN 'created' WHEN 'again' THEN CASE WHEN status = 'verified' THEN 'reopened' ELSE 'updated' END ELSE o END AS outcome FROM j3 WHERE o <> 'none' ORDER BY 1 LIMIT 20""",
     "p11_t15_changes": "SELECT * FROM (VALUES ('c1', 'https://a.example/x', 'content'), ('c2', 'https://a.example/y', 'metadata')) t(id, urls, type)",
     "f26_change_rejects": "SELECT * FROM (VALUES ('c3', 1), ('c4', 1), ('c5', 1)) t(id, problems)",
     "s16_t14_saved_runs": "SELECT * FROM (VALUES ('run-1', '2024-01-01T01:00:00Z', true, true), ('run-2', '2024-01-02T01:00:00Z', true, true), ('run-3', '2024-01-03T01:00:00Z', true, true)) t(run_id, saved_at, stored, sound)",

@@ -86,7 +86,7 @@ def robots_decisions(s, d):
 
 
 def robots_groups(s, d):
-    return robots.groups(robots.lines(robots_files(s))).select("site", "line", "group", "field", "value")
+    return robots.groups(robots.lines(robots_files(s))).select("site", "line", "group")
 
 
 SITEMAPS = [
@@ -205,7 +205,25 @@ def _numbered_links(s, d):
 
 
 _DISALLOWED = ", ".join(f"('{site}', '{t}')" for site, targets in DISALLOWED.items() for t in targets)
+# Worked out by hand: document, page key, in scope, is a page, covered by the domain, by the prefix, same boundary, normalized.
+URL_RESULTS = [
+    ("https://a.example/Path/", "a.example/Path", 1, 1, 1, 1, 1, "https://a.example/Path/"), ("http://www.a.example/", "www.a.example/", 1, 1, 1, 0, 1, "http://www.a.example/"),
+    ("https://a.example/b/?q=1", "a.example/b", 1, 1, 1, 1, 1, "https://a.example/b/?q=1"), ("https://u:p@a.example/", "a.example/", 0, 1, 1, 0, 1, None), ("ftp://a.example/x", "a.example/x", 0, 1, 1, 0, 0, None),
+    ("not a url", "/not%20a%20url", 0, 1, 0, 0, 0, None), ("https://sub.a.example/x.PDF", "sub.a.example/x.PDF", 0, 0, 1, 0, 0, "https://sub.a.example/x.PDF"),
+    ("https://a.example/api/auth/login", "a.example/api/auth/login", 1, 0, 1, 1, 1, "https://a.example/api/auth/login"), ("https://a.example:8443/", "a.example/", 0, 1, 1, 0, 1, None), ("/just/a/path/?q", "/just/a/path", 0, 1, 0, 0, 0, None),
+    ("mailto:x@a.example", "x@a.example", 0, 1, 0, 0, 0, None), ("https://b.example/file.png?x", "b.example/file.png", 0, 0, 0, 0, 0, "https://b.example/file.png?x"), ("https://a.example/cdn-cgi", "a.example/cdn-cgi", 1, 0, 1, 1, 1, "https://a.example/cdn-cgi"),
+]
+ROBOTS_GROUPS = [("a.example", n, 1) for n in (2, 3, 4, 5, 6, 8)] + [("b.example", n, 1) for n in (1, 2, 3)] + [("b.example", n, 2) for n in (4, 5)] + [("c.example", 1, 0), ("c.example", 2, 1), ("c.example", 3, 1)] + [("d.example", n, 1) for n in (1, 2, 3, 4)]
+_TEXT = lambda x: "NULL" if x is None else f"'{x}'"
+
 ORACLES = {
+    "s12_w6_robots_groups": "SELECT * FROM (VALUES " + ", ".join(f"('{s}', {n}, {g}::BIGINT)" for s, n, g in ROBOTS_GROUPS) + ') t(site, line, "group")',
+    "f1_f6_p7_p8_p12_p13_url_predicates": "SELECT * FROM (VALUES " + ", ".join(f"('{u}', '{r[0]}', '{r[1]}', {', '.join(str(bool(x)).lower() for x in r[2:7])}, {_TEXT(r[7])})" for u, r in zip(URL_CASES, URL_RESULTS, strict=True))
+    + ") t(url, document, page_key, in_scope, is_page, domain_covers, prefix_covers, same_boundary, normalized)",
+    "a17_link_counts": with_views("v_fetches") + """, a AS (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS hrefs FROM v_fetches) SELECT page_id, len(hrefs)::BIGINT AS links_total, len(list_distinct(list_filter(hrefs, lambda h: h LIKE '/%')))::BIGINT AS unique_internal,
+  len(list_distinct(list_filter(hrefs, lambda h: h LIKE 'http%')))::BIGINT AS unique_external, 0::BIGINT AS links_nofollow, len(hrefs) > 500 AS links_truncated FROM a""",
+    "a18_duplicate_titles": SITE_SQL.partition("), f AS (")[0] + """), t AS (SELECT site, page_id, trim(CASE WHEN page_id % 37 = 0 THEN 'again' ELSE replace(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '[ \n\t]+', ' ', 'g'), '&amp;', '&') END) AS title FROM p WHERE html_ok)
+  SELECT site, 'DUPLICATE_TITLE_IN_AUDITED_SET_V1:' || arg_min(title, page_id) AS rule_id, count(*) AS pages FROM t GROUP BY site, lower(title) HAVING count(*) >= 2""",
     "f18_f19_robots_decisions": "WITH bad(site, target) AS (VALUES " + _DISALLOWED + "), s(site) AS (VALUES " + ", ".join(f"('{x}')" for x, _ in ROBOTS) + "), t(target) AS (VALUES " + ", ".join(f"('{x}')" for x in TARGETS)
     + ") SELECT s.site, t.target, CASE WHEN b.site IS NULL THEN 'allowed' ELSE 'disallowed' END AS decision FROM s CROSS JOIN t LEFT JOIN bad b ON s.site = b.site AND t.target = b.target",
     "s13_sitemaps": """SELECT * FROM (VALUES (1, 'xml', 'sitemapindex', 2::BIGINT, 2::BIGINT, false, false, 'https://a.example/1.xml https://a.example/2.xml'), (2, 'xml', 'urlset', 3, 2, true, false, 'https://a.example/?a=1&b=2 https://a.example/c'),
