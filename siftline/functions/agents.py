@@ -33,9 +33,10 @@ AGENT_TYPE = "struct<matched:boolean,agent_id:string,display_name:string,operato
 
 def classify_user_agent(user_agent: Column) -> Column:
     """The first agent whose pattern stands between characters outside [A-Za-z0-9_], as a struct."""
-    which = None
+    which, lower = None, F.lower(user_agent)
     for i, agent in enumerate(AGENTS, 1):
-        hit = user_agent.rlike(f"(?i)(?<![A-Za-z0-9_]){agent[4]}(?![A-Za-z0-9_])")
+        # most agents name none of these: a plain search comes before the pattern
+        hit = F.contains(lower, F.lit(agent[1].lower())) & lower.rlike(f"(?<![a-z0-9_]){agent[4].lower()}(?![a-z0-9_])")
         which = F.when(hit, i) if which is None else which.when(hit, i)
     none = [False, None, None, None, "unknown", "unknown", 0.0]
     rows = [none, *([True, *agent[:4], "user_agent_only", CLAIMED_CONFIDENCE] for agent in AGENTS)]
