@@ -3,7 +3,8 @@
 Each document's expected copies are its source's target over its source's size. Within a source the documents stand in a
 fixed order (size class, chunk, size, id), the expected copies are summed along it, one random offset per source is added,
 and a document is emitted once for each integer boundary that the running sum crosses. Ordering by size makes the words
-taken follow the target closely: neighbours in the order are of like size.
+taken follow the target closely: neighbours in the order are of like size. Big documents come first; what they take by chance more
+or less than their part is made up by the expected copies of the others.
 
 A source may hold any share of the rows. The running sum is therefore in two levels: sums inside chunks of about
 ``rows_per_chunk`` documents, then a running sum over the chunks. All sums are over whole numbers, so reruns agree exactly.
@@ -24,6 +25,8 @@ from .common import table, unit_hash, word_count, written
 ONE = 1 << 32
 WEIGHTS = (5, 2, 1)
 SEED = "mix-2024:"
+#: A document of more than this part of its source's target is big.
+BIG = 50
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = (3, 2), most: int = 2) -> DataFrame:
@@ -61,31 +64,46 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     )
 
 
-def copies_of(sized: DataFrame, targets: DataFrame, rows_per_chunk: int = 8192, seed: str = SEED) -> DataFrame:
-    """doc_id, source, size and any columns whose names don't begin with "_" -> with source_size, target, copies."""
-    classed = sized.withColumn("_class", F.length(F.bin("size")))
-    parts = classed.groupBy("source", "_class").agg(F.ceil(F.count("*") / rows_per_chunk).cast("long").alias("_parts"))
-    rate = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") * ONE)).otherwise(0).cast("long")
-    rated = targets.select(F.col("source").alias("_source"), "source_size", "target", rate.alias("_rate"))
-    parts = parts.join(rated, F.col("source").eqNullSafe(F.col("_source"))).select("_source", F.col("_class").alias("_of"), "_parts", "source_size", "target", "_rate")
-    chunked = classed.join(parts, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_class") == F.col("_of"))).withColumn(
-        "_chunk", unit_hash(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), seed) % F.col("_parts")
-    )
-    earlier = Window.partitionBy("source").orderBy("_class", "_chunk").rowsBetween(Window.unboundedPreceding, -1)
+def copies_of(sized: DataFrame, rates: DataFrame, rows_per_chunk: int = 8192, seed: str = SEED) -> DataFrame:
+    """doc_id, source, size and any columns whose names don't begin with "_" -> with source_size, target, copies.
+
+    rates: source, source_size, target, big_rate and small_rate, the expected copies of either kind in units of 2**-32.
+    """
+    rated = rates.withColumnRenamed("source", "_source")
+    big = F.col("size") * BIG > F.col("target")
+    classed = sized.join(rated, F.col("source").eqNullSafe(F.col("_source"))).withColumns({"_big": big, "_class": F.length(F.bin("size"))})
+    key = ["_big", "_class"]
+    parts = classed.groupBy("_source", *key).agg(F.ceil(F.count("*") / rows_per_chunk).cast("long").alias("_parts"))
+    of = parts.select(F.col("_source").alias("_s"), *[F.col(c).alias(f"{c}_of") for c in key], "_parts")
+    same = F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_big") == F.col("_big_of")) & (F.col("_class") == F.col("_class_of"))
+    chunk = unit_hash(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), seed) % F.col("_parts")
+    chunked = classed.join(of, same).withColumn("_chunk", chunk).drop("_s", "_big_of", "_class_of", "_parts")
+    earlier = Window.partitionBy("_source", "_big").orderBy("_class", "_chunk").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
-        chunked.groupBy("source", "_class", "_chunk").agg(F.count("*").alias("_rows"))
+        chunked.groupBy("_source", *key, "_chunk").agg(F.count("*").alias("_rows"))
         .withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
-        .select(F.col("source").alias("_s"), F.col("_class").alias("_c"), F.col("_chunk").alias("_k"), "_before")
+        .select(F.col("_source").alias("_s"), F.col("_big").alias("_b"), F.col("_class").alias("_c"), F.col("_chunk").alias("_k"), "_before")
     )
-    inside = Window.partitionBy("source", "_class", "_chunk").orderBy("size", "doc_id")
-    placed = chunked.withColumn("_row", F.row_number().over(inside)).join(
-        starts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_class") == F.col("_c")) & (F.col("_chunk") == F.col("_k"))
-    )
+    inside = Window.partitionBy("_source", *key, "_chunk").orderBy("size", "doc_id")
+    here = F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_big") == F.col("_b")) & (F.col("_class") == F.col("_c")) & (F.col("_chunk") == F.col("_k"))
+    placed = chunked.withColumn("_row", F.row_number().over(inside)).join(starts, here)
     offset = unit_hash(F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")), seed)
-    copies = crossed(F.col("_before") + F.col("_row"), F.col("_rate"), offset)
+    copies = crossed(F.col("_before") + F.col("_row"), F.when(F.col("_big"), F.col("big_rate")).otherwise(F.col("small_rate")), offset)
     return placed.select(*sized.columns, "source_size", "target", copies.alias("copies"))
 
 
+def source_rates(sized: DataFrame, targets: DataFrame, most: int = 2, **options) -> DataFrame:
+    """Expected copies. Big documents, of over 1 / BIG of their source's target, all have the same; what they take more or less
+    than their part of the target is spread over the small ones, so that one long text doesn't decide how near the target is."""
+    unit = lambda words, of: F.floor(F.least(F.greatest(F.coalesce(F.try_divide(words, of), F.lit(0.0)), F.lit(0.0)), F.lit(float(most))) * ONE).cast("long")
+    first = targets.select("source", "source_size", "target", unit(F.col("target"), F.col("source_size")).alias("big_rate")).withColumn("small_rate", F.lit(0).cast("long"))
+    big = sized.join(first.select(F.col("source").alias("_s"), F.col("target").alias("_t")), F.col("source").eqNullSafe(F.col("_s"))).where(F.col("size") * BIG > F.col("_t")).select("doc_id", "source", "size")
+    taken = copies_of(big, first, **options).groupBy(F.col("source").alias("_s")).agg(F.sum(F.col("copies") * F.col("size")).alias("_taken"), F.sum("size").alias("_size"))
+    met = first.join(taken, F.col("source").eqNullSafe(F.col("_s")), "left")
+    rest = unit(F.col("target") - F.coalesce("_taken", F.lit(0)), F.col("source_size") - F.coalesce("_size", F.lit(0)))
+    return met.select("source", "source_size", "target", "big_rate", rest.alias("small_rate"))
+
+
 def crossed(row: Column, rate: Column, offset: Column) -> Column:
     """Integer boundaries between the running sums before and after a row: both are row * rate + offset in units of 2**-32.
 
@@ -106,17 +124,22 @@ def source_sizes(sized: DataFrame) -> DataFrame:
     return sized.groupBy("source").agg(F.sum("size").alias("source_size"))
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, copies, taken. The texts are scanned once."""
+def sizes_and_rates(docs: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
+    """doc_id, source, size of each document, and the rates of each source, as tables. The texts are scanned once."""
     sized = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
-    return copies_of(sized, source_targets(source_sizes(sized)), **options).withColumn("taken", F.col("copies") * F.col("size"))
+    return sized, written(source_rates(sized, source_targets(source_sizes(sized)), **options), "rates")
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, copies, taken."""
+    return copies_of(*sizes_and_rates(docs, **options), **options).withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixture itself: docs' rows and columns, each row as often as it is taken. The texts are shuffled once."""
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"))
-    targets = source_targets(written(source_sizes(sized), "source-sizes"))
-    taken = copies_of(sized, targets, **options).where("copies > 0")
+    _, rates = sizes_and_rates(docs, **options)
+    whole = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"))
+    taken = copies_of(whole, rates, **options).where("copies > 0")
     return taken.select("document", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("document.*")
 
 
@@ -145,20 +168,29 @@ WITH sized AS (
          ELSE (f.weight * l.rest)::DOUBLE / (2 * l.left_)::DOUBLE END AS target
   FROM filling f LEFT JOIN level l ON true
 ), rated AS (
-  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size * 4294967296.0)::BIGINT ELSE 0 END AS rate FROM targets
+  SELECT *, CASE WHEN source_size > 0 THEN floor(least(greatest(target / source_size, 0.0), 2.0) * 4294967296.0)::BIGINT ELSE 0 END AS rate FROM targets
+), classed AS (
+  SELECT s.*, r.source_size, r.target, r.rate, s.size * 50 > r.target AS big, length(bin(s.size)) AS class,
+    ('0x' || substr(md5('mix-2024:' || coalesce(s.doc_id::VARCHAR, '')), 1, 8))::BIGINT AS hash,
+    ('0x' || substr(md5('mix-2024:' || coalesce('s' || s.source, 'n')), 1, 8))::BIGINT AS u
+  FROM sized s JOIN rated r ON s.source IS NOT DISTINCT FROM r.source
 ), parts AS (
-  SELECT source, length(bin(size)) AS class, ceil(count(*) / 8192)::BIGINT AS parts FROM sized GROUP BY ALL
-), chunked AS (
-  SELECT s.*, r.source_size, r.target, r.rate, p.class,
-    ('0x' || substr(md5('mix-2024:' || coalesce(s.doc_id::VARCHAR, '')), 1, 8))::BIGINT % p.parts AS chunk
-  FROM sized s JOIN parts p ON s.source IS NOT DISTINCT FROM p.source AND length(bin(s.size)) = p.class
-  JOIN rated r ON s.source IS NOT DISTINCT FROM r.source
+  SELECT source, big, class, ceil(count(*) / 8192)::BIGINT AS parts FROM classed GROUP BY ALL
 ), placed AS (
-  SELECT *, row_number() OVER (PARTITION BY source ORDER BY class, chunk, size, doc_id) AS n,
-    ('0x' || substr(md5('mix-2024:' || coalesce('s' || source, 'n')), 1, 8))::BIGINT AS u
-  FROM chunked
-)
-SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM (
-  SELECT *, ((n::HUGEINT * rate + u) // 4294967296 - ((n - 1)::HUGEINT * rate + u) // 4294967296)::BIGINT AS copies FROM placed
+  SELECT c.*, row_number() OVER (PARTITION BY c.source, c.big ORDER BY c.class, hash % parts, size, doc_id) AS n
+  FROM classed c JOIN parts p ON c.source IS NOT DISTINCT FROM p.source AND c.big = p.big AND c.class = p.class
+), large AS (
+  SELECT *, ((n::HUGEINT * rate + u) // 4294967296 - ((n - 1)::HUGEINT * rate + u) // 4294967296)::BIGINT AS copies FROM placed WHERE big
+), spent AS (
+  SELECT source, sum(copies * size)::BIGINT AS taken, sum(size)::BIGINT AS size FROM large GROUP BY 1
+), others AS (
+  SELECT r.source, CASE WHEN r.source_size - coalesce(s.size, 0) > 0
+    THEN floor(least(greatest((r.target - coalesce(s.taken, 0)) / (r.source_size - coalesce(s.size, 0)), 0.0), 2.0) * 4294967296.0)::BIGINT ELSE 0 END AS small_rate
+  FROM rated r LEFT JOIN spent s ON r.source IS NOT DISTINCT FROM s.source
+), counted AS (
+  SELECT doc_id, size, source_size, target, copies FROM large
+  UNION ALL SELECT doc_id, size, source_size, target, ((n::HUGEINT * small_rate + u) // 4294967296 - ((n - 1)::HUGEINT * small_rate + u) // 4294967296)::BIGINT
+  FROM placed p JOIN others o ON p.source IS NOT DISTINCT FROM o.source WHERE NOT big
 )
+SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM counted
 """
