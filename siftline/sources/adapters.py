@@ -57,7 +57,7 @@ VIEWS = {
     "v_edges": """SELECT page_id % 9 AS site, page_id // 9 AS src, 1 AS position, (page_id // 9 + 1) % 20 AS dst FROM pages WHERE page_id // 9 < 20 AND page_id % 4 <> 3
   UNION ALL SELECT page_id % 9, page_id // 9, 2, (page_id // 9 * 3 + 2) % 20 FROM pages WHERE page_id // 9 < 20 AND page_id % 5 <> 0""",
     # three audit runs of each host: findings come and go by page and run
-    "v_run_findings": """SELECT r.run_no, concat('run-', CAST(r.run_no AS VARCHAR(9))) AS run_id, page_id, split_part(url, '#', 1) AS url, rule_id,
+    "v_run_findings": """SELECT r.run_no, concat('run-', CAST(r.run_no AS VARCHAR(9))) AS run_id, page_id, concat(split_part(url, '#', 1), '?n=', CAST(page_id AS VARCHAR(9))) AS url, rule_id,
   (page_id * 7 + r.run_no * 5 + k) % 4 <> 0 AS found, (page_id + r.run_no) % 11 <> 0 AS observed
   FROM pages, (VALUES (1), (2), (3)) AS r(run_no), (VALUES ('TITLE_NOT_OBSERVED_STATIC_HTML_V1', 1), ('HTTP_CLIENT_ERROR_V1', 2), ('SITEMAP_URL_REDIRECTS_V1', 3)) AS f(rule_id, k)""",
 }
