@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftline.functions.shared import shared_root
+from siftline.functions.ship import ship
+
+__all__ = ["WORD", "drop_folder", "scratch", "ship", "table", "unit_hash", "word_count", "written"]
+
 #: ASCII white space as the contracts define it; a word is a run of anything else.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -20,40 +22,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each Spark context."""
-    context = spark.sparkContext
-    if getattr(context, "_siftline_sent", False):
-        return
-    package = Path(__file__).resolve().parents[1]
-    archive = Path(tempfile.mkdtemp(prefix="siftline-"), "siftline.zip")  # Spark's file server hands it on
-    with zipfile.ZipFile(archive, "w") as z:
-        for file in sorted(package.rglob("*.py")):
-            z.write(file, file.relative_to(package.parent))
-    context.addPyFile(str(archive))
-    context._siftline_sent = True
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one only where it is unset, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='siftline-')}"
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def _hadoop_path(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
 def drop_folder(spark: SparkSession, path: str) -> None:
-    at, fs = _hadoop_path(spark, path)
-    fs.delete(at, True)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def _drop_at_exit(spark: SparkSession, path: str) -> None:
@@ -83,14 +54,3 @@ def word_count(text: Column) -> Column:
 def unit_hash(key: Column, seed: str) -> Column:
     """32 bits of an MD5 as a long: an engine-neutral hash that SQL oracles can repeat."""
     return F.conv(F.substring(F.md5(F.concat(F.lit(seed), key)), 1, 8), 16, 10).cast("long")
-
-
-def free_name(df: DataFrame, *wanted: str) -> list[str]:
-    """Names like those wanted that df does not use yet."""
-    used, out = {c.lower() for c in df.columns}, []
-    for name in wanted:
-        while name.lower() in used:
-            name = f"_{name}"
-        used.add(name.lower())
-        out.append(name)
-    return out
