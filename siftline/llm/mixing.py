@@ -7,7 +7,7 @@ taken follow the target closely: neighbours in the order are of like size. Big d
 or less than their part is made up by the expected copies of the others.
 
 A source may hold any share of the rows. The running sum is therefore in two levels: sums inside chunks of about
-``rows_per_chunk`` documents, then a running sum over the chunks. All sums are over whole numbers, so reruns agree exactly.
+``rows_per_chunk`` documents or fewer long ones, then a running sum over the chunks. All sums are over whole numbers, so reruns agree exactly.
 
 Cases: a null text has size 0; a null source is a source of its own, after all others; sources of size 0 get target 0 and
 no copies; repeated rows are documents of their own; an empty table gives an empty result. ``mixed`` reads doc_id, source
@@ -25,6 +25,8 @@ from .common import table, unit_hash, word_count, written
 ONE = 1 << 32
 WEIGHTS = (5, 2, 1)
 SEED = "mix-2024:"
+#: A chunk has about so many words at most, so that its texts fit a task.
+WORDS_PER_CHUNK = 1 << 22
 #: A document of more than this part of its source's target is big.
 BIG = 50
 
@@ -73,7 +75,8 @@ def copies_of(sized: DataFrame, rates: DataFrame, rows_per_chunk: int = 8192, se
     big = F.col("size") * BIG > F.col("target")
     classed = sized.join(rated, F.col("source").eqNullSafe(F.col("_source"))).withColumns({"_big": big, "_class": F.length(F.bin("size"))})
     key = ["_big", "_class"]
-    parts = classed.groupBy("_source", *key).agg(F.ceil(F.count("*") / rows_per_chunk).cast("long").alias("_parts"))
+    enough = F.greatest(F.ceil(F.count("*") / rows_per_chunk), F.ceil(F.sum("size") / WORDS_PER_CHUNK))
+    parts = classed.groupBy("_source", *key).agg(enough.cast("long").alias("_parts"))
     of = parts.select(F.col("_source").alias("_s"), *[F.col(c).alias(f"{c}_of") for c in key], "_parts")
     same = F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_big") == F.col("_big_of")) & (F.col("_class") == F.col("_class_of"))
     chunk = unit_hash(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), seed) % F.col("_parts")
@@ -175,7 +178,7 @@ WITH sized AS (
     ('0x' || substr(md5('mix-2024:' || coalesce('s' || s.source, 'n')), 1, 8))::BIGINT AS u
   FROM sized s JOIN rated r ON s.source IS NOT DISTINCT FROM r.source
 ), parts AS (
-  SELECT source, big, class, ceil(count(*) / 8192)::BIGINT AS parts FROM classed GROUP BY ALL
+  SELECT source, big, class, greatest(ceil(count(*) / 8192), ceil(sum(size) / 4194304))::BIGINT AS parts FROM classed GROUP BY ALL
 ), placed AS (
   SELECT c.*, row_number() OVER (PARTITION BY c.source, c.big ORDER BY c.class, hash % parts, size, doc_id) AS n
   FROM classed c JOIN parts p ON c.source IS NOT DISTINCT FROM p.source AND c.big = p.big AND c.class = p.class
