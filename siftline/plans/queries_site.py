@@ -234,7 +234,7 @@ ORACLES = {
     "f1_f3_f6_page_urls": with_views("v_fetches") + r""" SELECT page_id, regexp_extract(requested_url, '^(https?)://', 1) AS scheme, regexp_replace(regexp_extract(requested_url, '^https?://([^/?#]+)', 1), '^www\.', '') AS host,
   CASE WHEN regexp_extract(requested_url, '^https?://[^/?#]+([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(requested_url, '^https?://[^/?#]+([^?#]*)', 1) END AS path, split_part(requested_url, '#', 1) AS document,
   regexp_extract(requested_url, '^https?://([^/?#]+)', 1) || CASE WHEN regexp_replace(regexp_extract(requested_url, '^https?://[^/?#]+([^?#]*)', 1), '/+$', '') = '' THEN '/' ELSE regexp_replace(regexp_extract(requested_url, '^https?://[^/?#]+([^?#]*)', 1), '/+$', '') END AS page_key FROM v_fetches""",
-    "s14_html_facts": with_views("v_fetches") + """ SELECT page_id, regexp_extract(html, '<html lang="([^"]*)"', 1) AS html_lang, (len(html) - len(replace(html, '<title>', ''))) // 7 AS titles, len(regexp_extract_all(html, '<a[ >]')) AS links_total, len(regexp_extract_all(html, '<h1[ >]')) AS h1,
+    "s14_html_facts": with_views("v_fetches") + """ SELECT page_id, regexp_extract(html, '<html lang="([^"]*)"', 1) AS html_lang, ((len(html) - len(replace(html, '<title>', ''))) // 7)::INT AS titles, len(regexp_extract_all(html, '<a[ >]')) AS links_total, len(regexp_extract_all(html, '<h1[ >]'))::INT AS h1,
   CASE page_id % 8 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 1 WHEN 4 THEN 1 WHEN 5 THEN 1 WHEN 6 THEN 1 ELSE 0 END AS canonicals, CASE WHEN page_id % 5 = 0 THEN 'noindex,follow' ELSE '' END AS robots FROM v_fetches""",
     "f20_a16_structured_data": with_views("v_fetches") + " SELECT page_id, (page_id % 6 = 2)::BIGINT AS valid_blocks, (page_id % 6 = 1)::BIGINT AS invalid_blocks, CASE WHEN page_id % 6 = 2 THEN 'Article,Person' ELSE '' END AS types FROM v_fetches",
     "f21_content_hash": with_views("v_fetches") + " SELECT page_id, true AS script_ignored, html LIKE '%<h1>%' AS heading_seen FROM v_fetches",
