@@ -66,42 +66,64 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     )
 
 
-def copies_of(sized: DataFrame, rates: DataFrame, rows_per_chunk: int = 8192, seed: str = SEED) -> DataFrame:
-    """doc_id, source, size and any columns whose names don't begin with "_" -> with source_size, target, copies.
+KEY = ["_source", "_big", "_class"]
 
-    rates: source, source_size, target, big_rate and small_rate, the expected copies of either kind in units of 2**-32.
-    """
+
+def _same(columns: list[str]) -> Column:
+    """The columns equal those of the same names with "_of" behind."""
+    out = F.lit(True)
+    for c in columns:
+        out = out & (F.col(c).eqNullSafe(F.col(f"{c}_of")) if c == "_source" else F.col(c) == F.col(f"{c}_of"))
+    return out
+
+
+def _named(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.withColumnsRenamed({c: f"{c}_of" for c in columns})
+
+
+def _classed(sized: DataFrame, rates: DataFrame) -> DataFrame:
     rated = rates.withColumnRenamed("source", "_source")
     big = F.col("size") * BIG > F.col("target")
-    classed = sized.join(rated, F.col("source").eqNullSafe(F.col("_source"))).withColumns({"_big": big, "_class": F.length(F.bin("size"))})
-    key = ["_big", "_class"]
-    enough = F.greatest(F.ceil(F.count("*") / rows_per_chunk), F.ceil(F.sum("size") / WORDS_PER_CHUNK))
-    parts = classed.groupBy("_source", *key).agg(enough.cast("long").alias("_parts"))
-    of = parts.select(F.col("_source").alias("_s"), *[F.col(c).alias(f"{c}_of") for c in key], "_parts")
-    same = F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_big") == F.col("_big_of")) & (F.col("_class") == F.col("_class_of"))
+    return sized.join(rated, F.col("source").eqNullSafe(F.col("_source"))).withColumns({"_big": big, "_class": F.length(F.bin("size"))})
+
+
+def _chunked(classed: DataFrame, parts: DataFrame, seed: str) -> DataFrame:
     chunk = unit_hash(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), seed) % F.col("_parts")
-    chunked = classed.join(of, same).withColumn("_chunk", chunk).drop("_s", "_big_of", "_class_of", "_parts")
+    return classed.join(_named(parts, KEY), _same(KEY)).withColumn("_chunk", chunk).drop("_parts", *[f"{c}_of" for c in KEY])
+
+
+def layout(sized: DataFrame, rates: DataFrame, rows_per_chunk: int = 8192, seed: str = SEED) -> tuple[DataFrame, DataFrame]:
+    """From doc_id, source and size alone: chunks of each class, and the rows before each chunk. Both are small tables of their own,
+    so that a pass over texts meets them by a join that moves no text."""
+    enough = F.greatest(F.ceil(F.count("*") / rows_per_chunk), F.ceil(F.sum("size") / WORDS_PER_CHUNK))
+    classed = _classed(sized.select("doc_id", "source", "size"), rates)
+    parts = written(classed.groupBy(*KEY).agg(enough.cast("long").alias("_parts")), "parts")
     earlier = Window.partitionBy("_source", "_big").orderBy("_class", "_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        chunked.groupBy("_source", *key, "_chunk").agg(F.count("*").alias("_rows"))
-        .withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
-        .select(F.col("_source").alias("_s"), F.col("_big").alias("_b"), F.col("_class").alias("_c"), F.col("_chunk").alias("_k"), "_before")
-    )
-    inside = Window.partitionBy("_source", *key, "_chunk").orderBy("size", "doc_id")
-    here = F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_big") == F.col("_b")) & (F.col("_class") == F.col("_c")) & (F.col("_chunk") == F.col("_k"))
-    placed = chunked.withColumn("_row", F.row_number().over(inside)).join(starts, here)
+    rows = _chunked(classed, parts, seed).groupBy(*KEY, "_chunk").agg(F.count("*").alias("_rows"))
+    return parts, written(rows.select(*KEY, "_chunk", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before")), "starts")
+
+
+def copies_of(rows: DataFrame, rates: DataFrame, parts: DataFrame, starts: DataFrame, seed: str = SEED) -> DataFrame:
+    """doc_id, source, size and any columns whose names don't begin with "_" -> with source_size, target, copies.
+
+    rates: source, source_size, target, big_rate and small_rate, the expected copies of either kind in units of 2**-32.
+    """
+    chunked = _chunked(_classed(rows, rates), parts, seed)
+    place = [*KEY, "_chunk"]
+    met = chunked.join(_named(starts, place), _same(place))
+    row = F.row_number().over(Window.partitionBy(*place).orderBy("size", "doc_id")) + F.col("_before")
     offset = unit_hash(F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")), seed)
-    copies = crossed(F.col("_before") + F.col("_row"), F.when(F.col("_big"), F.col("big_rate")).otherwise(F.col("small_rate")), offset)
-    return placed.select(*sized.columns, "source_size", "target", copies.alias("copies"))
+    copies = crossed(row, F.when(F.col("_big"), F.col("big_rate")).otherwise(F.col("small_rate")), offset)
+    return met.withColumn("copies", copies).select(*rows.columns, "source_size", "target", "copies")
 
 
 def source_rates(sized: DataFrame, targets: DataFrame, most: int = 2, **options) -> DataFrame:
     """Expected copies. Big documents, of over 1 / BIG of their source's target, all have the same; what they take more or less
     than their part of the target is spread over the small ones, so that one long text doesn't decide how near the target is."""
     unit = lambda words, of: F.floor(F.least(F.greatest(F.coalesce(F.try_divide(words, of), F.lit(0.0)), F.lit(0.0)), F.lit(float(most))) * ONE).cast("long")
-    first = targets.select("source", "source_size", "target", unit(F.col("target"), F.col("source_size")).alias("big_rate")).withColumn("small_rate", F.lit(0).cast("long"))
+    first = written(targets, "targets").select("source", "source_size", "target", unit(F.col("target"), F.col("source_size")).alias("big_rate")).withColumn("small_rate", F.lit(0).cast("long"))
     big = sized.join(first.select(F.col("source").alias("_s"), F.col("target").alias("_t")), F.col("source").eqNullSafe(F.col("_s"))).where(F.col("size") * BIG > F.col("_t")).select("doc_id", "source", "size")
-    taken = copies_of(big, first, **options).groupBy(F.col("source").alias("_s")).agg(F.sum(F.col("copies") * F.col("size")).alias("_taken"), F.sum("size").alias("_size"))
+    taken = copies_of(big, first, *layout(big, first, **options)).groupBy(F.col("source").alias("_s")).agg(F.sum(F.col("copies") * F.col("size")).alias("_taken"), F.sum("size").alias("_size"))
     met = first.join(taken, F.col("source").eqNullSafe(F.col("_s")), "left")
     rest = unit(F.col("target") - F.coalesce("_taken", F.lit(0)), F.col("source_size") - F.coalesce("_size", F.lit(0)))
     return met.select("source", "source_size", "target", "big_rate", rest.alias("small_rate"))
@@ -135,14 +157,15 @@ def sizes_and_rates(docs: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, copies, taken."""
-    return copies_of(*sizes_and_rates(docs, **options), **options).withColumn("taken", F.col("copies") * F.col("size"))
+    sized, rates = sizes_and_rates(docs, **options)
+    return copies_of(sized, rates, *layout(sized, rates, **options)).withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixture itself: docs' rows and columns, each row as often as it is taken. The texts are shuffled once."""
-    _, rates = sizes_and_rates(docs, **options)
+    sized, rates = sizes_and_rates(docs, **options)
     whole = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"))
-    taken = copies_of(whole, rates, **options).where("copies > 0")
+    taken = copies_of(whole, rates, *layout(sized, rates, **options)).where("copies > 0")
     return taken.select("document", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("document.*")
 
 
