@@ -68,7 +68,7 @@ class WordTokens:
     more than ``most`` runs, those met only once are dropped.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 200_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
