@@ -59,7 +59,7 @@ def test_large_buckets(spark):
         other[rng.randrange(150)] = f"x{i}"
         texts.append(" ".join(other))
     docs = spark.createDataFrame(list(enumerate(texts)), DOCS)
-    pairs = near.candidates(near.shingled(docs)).count()
+    pairs = near.candidates(near.shingled(docs.selectExpr("*", "0L AS mark"))).count()
     assert [r.doc_id for r in near.one_of_each(docs).collect()] == [0] and pairs < 150 * 149 / 3
 
 
@@ -68,3 +68,12 @@ def test_odd_documents(spark):
     kept = near.one_of_each(docs)
     assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
     assert near.one_of_each(empty_documents(spark)).count() == 0
+
+
+def test_shared_and_missing_ids(spark):
+    """Different texts under one id, or under none, all stay, and which row stays is fixed."""
+    rows = [(None, "one text alone"), (None, "another text alone"), (7, "first of seven"), (7, "second of seven"), (7, "second of seven"), (8, "second of seven"), (None, "second of seven")]
+    want = {(None, "one text alone"), (None, "another text alone"), (7, "first of seven"), (7, "second of seven")}
+    for some in (rows, rows[::-1]):
+        kept = near.one_of_each(spark.createDataFrame(some, DOCS)).collect()
+        assert {(r.doc_id, r.text) for r in kept} == want and len(kept) == 4
