@@ -7,8 +7,12 @@ regression. Over ``ROUNDS`` rounds, each view's most confident documents without
 among the labels asks for, become labelled examples for the other view. At last, both views are calibrated together on labelled
 documents that were held back (a logistic regression on the two scores), and every document is scored.
 
-Bounds: at most about ``LABELLED`` labelled and ``POOL`` unlabelled documents, chosen by a hash of doc_id, teach; their features
-are all that reaches the driver. Labels chosen are broadcast, as they are bounded. Every document is scored, on its whole text.
+Every document without a label is scored in each round, in a map; what a view passes on are ``EACH_ROUND`` documents of ``POOL``,
+so it grows with the corpus (all of ``EACH_ROUND`` up to ``POOL`` documents). A round's choice is a function of its weights and
+bounds alone, so past rounds are done again in the map instead of kept.
+
+Bounds: only rows with a label are sampled for a fit, by hashes: about ``LABELLED`` given labels and ``TAUGHT`` passed on by a view
+in a round; their features are all that reaches the driver. Labels chosen are broadcast, as they are bounded.
 
 Cases: a null text is empty; null sources and languages are values of their own; null labels and labels without a document don't
 teach; repeated labels are averaged and ties count as good; without labels of both classes every score is the share of good ones
@@ -26,9 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, table
+from .common import ship, table, written
 
-LABELLED, POOL, ROUNDS, EACH_ROUND = 3000, 4000, 5, 200
+LABELLED, POOL, ROUNDS, EACH_ROUND, TAUGHT = 3000, 4000, 5, 200, 1000
+SURE = 2  # the least logit, of either sign, that is passed on
 CONTENT, SOURCES, LANGS, LAYOUT = 1024, 64, 16, 13
 HELD_BACK = 4  # every fourth labelled document calibrates
 KEEP = 0.5
@@ -104,44 +109,56 @@ class Model:
         return sigmoid(np.column_stack([a, b, logits(np.column_stack([a, b]), self.both)]).astype(np.float64))
 
 
-def cotrain(content: np.ndarray, page: np.ndarray, label: np.ndarray, rounds: int = ROUNDS, each_round: int = EACH_ROUND) -> Model:
-    """label: 1 good, 0 bad, -1 none. Rows in a fixed order."""
-    labelled = np.nonzero(label >= 0)[0]
-    good = label[labelled].mean() if len(labelled) else 0.5
-    if good in (0, 1) or not len(labelled):
+def fitted(content: np.ndarray, page: np.ndarray, label: np.ndarray, rounds: int, teach) -> Model:
+    """label: 1 good, 0 bad, for rows in a fixed order. teach(weights, share of good ones) gives, for each view, what it passes on
+    in this round: the rows' content view, page view and labels."""
+    good = label.mean() if len(label) else 0.5
+    if good in (0, 1) or not len(label):
         return Model(None, None, np.array([0, 0, np.log((good + 1e-9) / (1 - good + 1e-9))]))
-    held, first = labelled[::HELD_BACK], np.delete(labelled, np.s_[::HELD_BACK])
+    held, first = np.arange(len(label))[::HELD_BACK], np.delete(np.arange(len(label)), np.s_[::HELD_BACK])
     if len(set(label[first])) < 2 or len(set(label[held])) < 2:  # too few to hold any back
-        held = first = labelled
-    known = [(first, label[first].astype(float)) for _ in range(2)]  # of each view: rows and their labels
-    views, free = (content, page), np.nonzero(label < 0)[0]
+        held = first = np.arange(len(label))
+    views = (content, page)
+    known = [(x[first], label[first].astype(float)) for x in views]  # of each view: rows and their labels
     weights: list = [None, None]
     for round_ in range(rounds + 1):
-        weights = [logistic(x[rows], y, w, steps=80 if round_ else 200) for x, (rows, y), w in zip(views, known, weights, strict=True)]
-        if round_ == rounds or not len(free):
+        weights = [logistic(x, y, w, steps=80 if round_ else 200) for (x, y), w in zip(known, weights, strict=True)]
+        if round_ == rounds:
             break
+        for i, (*rows, y) in enumerate(teach(weights, good)):
+            known[1 - i] = (np.concatenate([known[1 - i][0], rows[1 - i]]), np.concatenate([known[1 - i][1], y]))
+    pair = np.column_stack([logits(x[held], w) for x, w in zip(views, weights, strict=True)])
+    return Model(*weights, logistic(pair, label[held].astype(float), decay=1e-4, steps=300))
+
+
+def cotrain(content: np.ndarray, page: np.ndarray, label: np.ndarray, rounds: int = ROUNDS, each_round: int = EACH_ROUND) -> Model:
+    """fitted() on what is in memory. label: 1 good, 0 bad, -1 none. Rows in a fixed order."""
+    free = np.nonzero(label < 0)[0]
+
+    def teach(weights: list, good: float) -> list:
+        nonlocal free
         ups, downs = round(each_round * good), each_round - round(each_round * good)
         given = []
-        for x, w in zip(views, weights, strict=True):
+        for x, w in zip((content, page), weights, strict=True):
             z = logits(x[free], w)
             order = np.argsort(z, kind="stable")
             low, high = order[:downs], order[::-1][:ups]
             # only what the view is sure of is passed on
-            given.append((free[low[z[low] < -2]], free[high[z[high] > 2]]))
-        for i, (bad, fine) in enumerate(given):
-            rows, y = known[1 - i]
-            known[1 - i] = (np.concatenate([rows, bad, fine]), np.concatenate([y, np.zeros(len(bad)), np.ones(len(fine))]))
-        free = np.setdiff1d(free, np.concatenate([x for pair in given for x in pair]))
-    pair = np.column_stack([logits(x[held], w) for x, w in zip(views, weights, strict=True)])
-    return Model(*weights, logistic(pair, label[held].astype(float), decay=1e-4, steps=300))
+            low, high = free[low[z[low] < -SURE]], free[high[z[high] > SURE]]
+            given.append((np.concatenate([low, high]), np.repeat([0.0, 1.0], [len(low), len(high)])))
+        free = np.setdiff1d(free, np.concatenate([rows for rows, _ in given]))
+        return [(content[rows], page[rows], y) for rows, y in given]
+
+    known = label >= 0
+    return fitted(content[known], page[known], label[known], rounds, teach)
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = _views(batch)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("good"), pa.array([x.tobytes() for x in rows[0]], pa.binary()), pa.array([x.tobytes() for x in rows[1]], pa.binary())],
-            ["doc_id", "good", "content", "page"],
+            [batch.column("key"), batch.column("good"), pa.array([x.tobytes() for x in rows[0]], pa.binary()), pa.array([x.tobytes() for x in rows[1]], pa.binary())],
+            ["key", "good", "content", "page"],
         )
 
 
@@ -151,6 +168,28 @@ def _views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return np.array([content_view(r) for r in raw]).reshape(-1, CONTENT), np.array(page).reshape(-1, SOURCES + LANGS + LAYOUT)
 
 
+def _passed(z: list[np.ndarray], bounds: list) -> np.ndarray:
+    """For each row and view: 0 or 1, the label that the view passes on; -1: none."""
+    return np.column_stack([np.where(x < low, 0, np.where(x > high, 1, -1)) for x, (low, high) in zip(z, bounds, strict=True)])
+
+
+def _sure(past: list, weights: list):
+    """key and both views' logits of the documents that no past round (weights, bounds) has passed on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                views = _views(batch)
+                z = lambda own: [logits(x, w).astype(np.float64) for x, w in zip(views, own, strict=True)]
+                free = np.ones(batch.num_rows, dtype=bool)
+                for own, bounds in past:
+                    free &= (_passed(z(own), bounds) < 0).all(axis=1)
+                yield pa.RecordBatch.from_arrays([x.filter(pa.array(free)) for x in (batch.column("key"), *map(pa.array, z(weights)))], ["key", "z0", "z1"])
+
+    return run
+
+
 def _score(model: Model, keep: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -166,20 +205,50 @@ def _read(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), *[F.col(c).cast("string") for c in ("text", "source", "lang")])
 
 
-def learned(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> Model:
+def _gathered(rows: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, both views and good of bounded rows, on the driver, in the order of their keys."""
+    found = rows.select("key", "good", "text", "source", "lang").mapInArrow(_features, "key long, good int, content binary, page binary").limit(most).toArrow()
+    keys = np.array(found["key"].to_pylist(), dtype=np.int64)
+    order = np.argsort(keys, kind="stable")
+    matrix = lambda c, n: np.frombuffer(b"".join(found[c].to_pylist()), dtype=np.float32).reshape(-1, n)[order]
+    return keys[order], matrix("content", CONTENT), matrix("page", SOURCES + LANGS + LAYOUT), np.array(found["good"].to_pylist(), dtype=int)[order]
+
+
+def learned(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, rounds: int = ROUNDS, taught: int = TAUGHT) -> Model:
     """labels: (doc_id, good 0 or 1)."""
     ship(docs.sparkSession)
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     share = lambda most, n: int((1 << 30) * min(1.0, most / max(1, n)))
     known = labels.where(F.col("good").isNotNull() & F.col("doc_id").isNotNull())
     chosen = known.where(place < share(labelled, known.count())).groupBy("doc_id").agg((F.avg("good") >= 0.5).cast("int").alias("good")).limit(2 * labelled)
-    # bounded by the limit, so it may be broadcast
-    joined = _read(docs).join(F.broadcast(chosen), "doc_id", "left").where(F.col("good").isNotNull() | (F.pmod(F.xxhash64("doc_id", F.lit("pool")), F.lit(1 << 30)) < share(pool, docs.count())))
-    rows = joined.select("doc_id", "good", "text", "source", "lang").mapInArrow(_features, "doc_id long, good int, content binary, page binary").limit(2 * (labelled + pool)).toArrow()
-    order = np.argsort([(-1 if x is None else x) for x in rows["doc_id"].to_pylist()], kind="stable")
-    matrix = lambda c, n: np.frombuffer(b"".join(rows[c].to_pylist()), dtype=np.float32).reshape(-1, n)[order]
-    label = np.array([-1 if x is None else x for x in rows["good"].to_pylist()], dtype=int)[order]
-    return cotrain(matrix("content", CONTENT), matrix("page", SOURCES + LANGS + LAYOUT), label)
+    # a row is known by a hash of all that is read of it, as doc_id may be null or repeated; chosen is bounded, so it may be broadcast
+    rows = _read(docs).withColumn("key", F.xxhash64("doc_id", "text", "source", "lang"))
+    _, *views, label = _gathered(rows.join(F.broadcast(chosen), "doc_id"), 4 * labelled)
+    free = rows.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_anti")
+    past: list = []
+
+    def teach(weights: list, good: float) -> list:
+        seen = written(free.select("key", "text", "source", "lang").mapInArrow(_sure(list(past), weights), "key long, z0 double, z1 double"), "logits")
+        n = seen.count()
+        # each class's most confident, in proportion to the corpus: the bounds are quantiles of all free documents' logits
+        each = EACH_ROUND * max(1.0, n / pool) / max(1, n)
+        at = [float(min(1.0, each * (1 - good))), float(max(0.0, 1 - each * good))]
+        found = seen.agg(*[F.percentile_approx(f"z{i}", at, 100_000).alias(f"z{i}") for i in range(2)]).first() if n else ([0, 0], [0, 0])
+        # just beyond the quantile, so that it is among them; only what the view is sure of is passed on
+        bounds = [(min(-SURE, np.nextafter(low, np.inf)), max(SURE, np.nextafter(high, -np.inf))) for low, high in found]
+        past.append((weights, bounds))
+        out = []
+        for i, (low, high) in enumerate(bounds):
+            z = F.col(f"z{i}")
+            passed = seen.where((z < float(low)) | (z > float(high))).select("key", (z > 0).cast("int").alias("good")).distinct()
+            # labelled by now: a sample of them is enough for the fit
+            some = passed.where(F.pmod(F.xxhash64("key", F.lit("taught")), F.lit(1 << 30)) < share(taught, passed.count())).limit(2 * taught)
+            keys, content, page, y = _gathered(rows.join(F.broadcast(some), "key"), 4 * taught)
+            once = np.unique(keys, return_index=True)[1]
+            out.append((content[once], page[once], y[once].astype(float)))
+        return out
+
+    return fitted(*views, label, rounds, teach)
 
 
 def score(docs: DataFrame, model: Model, keep: float = KEEP) -> DataFrame:

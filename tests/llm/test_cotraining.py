@@ -52,3 +52,21 @@ def test_one_class_or_none(spark):
         model = cotraining.learned(docs, spark.createDataFrame(labels, "doc_id long, good int"))
         assert all(abs(r.score - want) < 1e-6 for r in cotraining.score(docs, model).limit(5).collect())
     assert cotraining.learned(empty_documents(spark), spark.createDataFrame([], "doc_id long, good int")).content is None
+
+
+def test_search_covers_all_documents(spark, monkeypatch):
+    """Every document without a label is scored in each round until a view passes it on, also far beyond the pool."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", F.col("quality").alias("good"))
+    seen = []
+
+    def kept(df, what):
+        seen.append(df.count())
+        return df
+
+    monkeypatch.setattr(cotraining, "written", kept)
+    cotraining.learned(docs, labels, pool=50, rounds=2)
+    assert len(seen) == 2
+    assert seen[0] == docs.join(labels.where("good IS NOT NULL").select("doc_id").distinct(), "doc_id", "left_anti").count() > 50
+    # in proportion: EACH_ROUND of 50 is all that the views are sure of, more than EACH_ROUND by far
+    assert seen[0] - seen[1] > 0
