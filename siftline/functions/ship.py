@@ -9,9 +9,16 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
+#: Rows of an Arrow batch where the session says nothing else. Whole texts travel in these rows, and a batch stands in memory on both
+#: sides of the pipe, outside the heap.
+BATCH_ROWS, BATCH = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each Spark context."""
+    """Send this package to the executors, once for each Spark context, and keep the session's Arrow batches small."""
     context = spark.sparkContext
+    if not context.getConf().contains(BATCH) and spark.conf.get(BATCH) == "10000":  # the default
+        spark.conf.set(BATCH, BATCH_ROWS)
     if getattr(context, "_siftline_sent", False):
         return
     package = Path(__file__).resolve().parents[1]
