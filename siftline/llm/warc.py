@@ -1,16 +1,18 @@
 """A deterministic sharded WARC writer, and the reader of what it wrote.
 
-Records are sorted by page_id over shards: a histogram of the ids, of at most ``bins`` rows, gives each shard whole bins of
-about ``shard_bytes``, so the same table always gives the same files. A shard is written by one task as a stream: a file is
-closed when its compressed size passes ``roll_bytes``, and the next begins. Headers, record ids and digests are made anew from
-the payload, with fixed dates and gzip times.
+Records are sorted by (page_id, payload digest) and cut into shards of about ``shard_bytes`` of payload: running sums of bytes along
+that order, in two levels, give each shard's first key, whatever the ids' range and gaps and however Spark deals out the rows, so the
+same table always gives the same files. One key per shard reaches the driver. A shard is written by one task as a stream: a file is
+closed when its compressed size passes ``roll_bytes``, and the next begins. Unless told otherwise, a shard is a 64th of the table,
+from 32 MiB to 2 GiB, and files roll at a 16th of a shard, up to 128 MiB compressed. Headers, record ids and digests are made anew
+from the payload, with fixed dates and gzip times.
 
 Commit: a task writes under a temporary name of its own attempt and returns manifest rows. These are written as a table
 first, so a repeated task changes nothing; then each listed file is renamed to its final name, and the manifest follows under
 its final name last. A folder without a manifest is not an archive.
 
 Equal payloads: the record with the largest page_id is the response, the others are revisits that name it. Which these are is
-found from (page_id, digest) alone; the payloads are shuffled once, for the sort.
+found from (page_id, digest) alone, read once and kept as a table; the payloads are shuffled once, for the sort.
 
 Cases: a null html is an empty payload; a null url is an empty target; null page_ids sort first, are responses only if no other
 record has the payload, and come back null; of rows equal in page_id and payload the first is the response and the rest revisit
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import posixpath
 import uuid
 import zlib
@@ -30,13 +33,14 @@ from collections.abc import Iterator
 import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch, ship, table
+from .common import scratch, ship, table, written
 
 DATE = "2024-01-01T00:00:00Z"
-ROLL_BYTES, SHARD_BYTES, BINS = 128 << 20, 32 << 20, 4096
+#: Shards of a table, their bytes of payload, and rolls of a shard.
+SHARDS, LEAST, MOST, ROLLS = 64, 32 << 20, 2 << 30, 16
 NAMESPACE = uuid.UUID("5b1f9f4e-6f4c-5a3e-9d7b-2f6a1c0d8e11")
 MANIFEST = "shard long, part long, temporary string, name string, records long, bytes long, sha1 string"
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -156,43 +160,54 @@ def _rename(folder: str):
     return run
 
 
-def shards(pages: DataFrame, shard_bytes: int = SHARD_BYTES, bins: int = BINS) -> tuple[int, int, list[int]]:
-    """The first id, the width of a bin, and each bin's shard. Reads lengths only; at most ``bins`` rows reach the driver."""
-    sized = pages.select("page_id", F.octet_length(F.coalesce("html", F.lit(""))).cast("long").alias("bytes"))
-    low, high = sized.agg(F.min("page_id"), F.max("page_id")).first()
-    if low is None:
-        return 0, 1, [0]
-    width = (high - low) // bins + 1
-    index = F.coalesce(F.floor((F.col("page_id") - low) / width), F.lit(0)).cast("int")
-    found = dict(sized.groupBy(index.alias("bin")).agg(F.sum("bytes").alias("bytes")).collect())
-    out, shard, filled = [], 0, 0
-    for i in range(bins):
-        size = found.get(i, 0)
-        if filled and filled + size > shard_bytes:
-            shard, filled = shard + 1, 0
-        filled += size
-        out.append(shard)
-    return low, width, out
-
-
-def write_archive(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def sort_key(page_id: Column, digest: Column) -> Column:
+    """Text in the order of (page_id, nulls first, digest): the id's bits with the sign's turned round, so that none overflows."""
+    bits = F.lpad(F.hex(page_id.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    return F.concat(F.coalesce(bits, F.lit("")), F.lit("/"), digest)
+
+
+def firsts(names: DataFrame, shard_bytes: int) -> list[str]:
+    """names: key, bytes -> the first key of each shard, in order. Rows of one key stay together."""
+    sized = names.groupBy("key").agg(F.sum("bytes").alias("bytes"))
+    ranged = written(sized.repartitionByRange("key").withColumn("part", F.spark_partition_id()), "keys")
+    earlier = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    parts = ranged.groupBy("part").agg(F.sum("bytes").alias("bytes"))  # a row for each task
+    parts = parts.select("part", F.coalesce(F.sum("bytes").over(earlier().orderBy("part")), F.lit(0)).alias("before"))
+    inside = F.coalesce(F.sum("bytes").over(earlier("part").orderBy("key")), F.lit(0))
+    placed = ranged.withColumn("inside", inside).join(parts, "part")
+    shard = F.floor((F.col("inside") + F.col("before")) / shard_bytes)
+    return sorted(r["first"] for r in placed.groupBy(shard.alias("shard")).agg(F.min("key").alias("first")).collect())
+
+
+def shard_of(key: Column, keys: list[str]) -> Column:
+    """The place, from 0, of the last of the sorted keys that isn't after key: first among every n-th of them, then from there on."""
+    n = max(1, math.isqrt(len(keys)))
+    listed = lambda some: F.split(F.lit("|".join(some)), r"\|")  # noqa: E731  one literal, however many keys
+    upto = lambda some: F.size(F.filter(some, lambda x: x <= key)) - 1
+    coarse = F.greatest(upto(listed(keys[::n])), F.lit(0))
+    return (coarse * n + F.greatest(upto(F.slice(listed(keys), coarse * n + 1, F.lit(n))), F.lit(0))).cast("long")
+
+
+def write_archive(pages: DataFrame, folder: str, roll_bytes: int | None = None, shard_bytes: int | None = None) -> DataFrame:
     """Write pages (page_id, url, html) as WARC files into folder, and return the manifest."""
     spark = pages.sparkSession
     ship(spark)
-    low, width, of_bin = shards(pages, shard_bytes)
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha1(F.encode("html", "utf-8")))
-    names = rows.select("page_id", "digest")
+    key = sort_key(F.col("page_id"), F.col("digest"))
+    known = written(rows.select("page_id", "digest", key.alias("key"), F.octet_length("html").cast("long").alias("bytes")), "names")
+    if shard_bytes is None:
+        shard_bytes = min(MOST, max(LEAST, (known.agg(F.sum("bytes")).first()[0] or 0) // SHARDS))
+    keys = firsts(known, shard_bytes) or [""]
+    names = known.select("page_id", "digest")
     last = names.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("of"), "refers_to")
     revisits = names.join(last, F.col("digest") == F.col("of")).where(~F.col("page_id").eqNullSafe(F.col("refers_to")) & F.col("refers_to").isNotNull()).select("page_id", "digest", "refers_to").distinct()
     # the names of responses travel with the pages, so that these are shuffled once
     mixed = rows.withColumn("refers_to", F.lit(None).cast("long")).unionByName(revisits, allowMissingColumns=True)
-    bin_of = F.coalesce(F.floor((F.col("page_id") - low) / width), F.lit(0)).cast("int")
-    shard = F.element_at(F.lit(of_bin), bin_of + 1)
-    dealt = mixed.withColumn("shard", shard.cast("long")).repartitionById(of_bin[-1] + 1, F.col("shard").cast("int"))
+    dealt = mixed.withColumn("shard", shard_of(key, keys)).repartitionById(len(keys), F.col("shard").cast("int"))
     ordered = dealt.sortWithinPartitions("shard", "page_id", "digest", F.col("refers_to").asc_nulls_last(), "url").select("shard", "page_id", "digest", "refers_to", "html", "url")
     plan = f"{folder}/_plan"
-    ordered.mapInArrow(_write(folder, roll_bytes), MANIFEST).write.parquet(plan)
+    ordered.mapInArrow(_write(folder, roll_bytes or max(1, shard_bytes // ROLLS)), MANIFEST).write.parquet(plan)
     planned = spark.read.schema(MANIFEST).parquet(plan)
     # a file's name is the manifest's last word: the table appears when all files stand
     planned.mapInPandas(_rename(folder), MANIFEST).write.parquet(f"{folder}/_manifest")

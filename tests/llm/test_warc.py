@@ -1,10 +1,14 @@
+import bisect
+import collections
 import gzip
 import hashlib
+import random
 import urllib.parse
 from pathlib import Path
 
 import pytest
 from oracle import connect, same
+from pyspark.sql import functions as F
 
 from siftline.llm import warc
 
@@ -64,6 +68,28 @@ def page_order(file):
     return [int(x[9:] or -1) for x in text if x.startswith(b"Page-ID: ")]
 
 
+def test_any_ids_and_rolls(spark, tmp_path):
+    """The least and the greatest ids, one far off the rest, and shards of several files with the parameters of production."""
+    rng = random.Random(3)
+    ids = [-(1 << 63), -9, 0, (1 << 63) - 1, 1 << 60, None, *range(100, 460)]
+    rows = [(i, "u", rng.randbytes(120_000).hex(), None, None) for i in ids]
+    folder = f"file://{tmp_path}/w"
+    manifest = warc.write_archive(spark.createDataFrame(rows, PAGES).repartition(7), folder).collect()
+    shards = collections.Counter(m.shard for m in manifest)
+    assert len(shards) == 3 and min(shards.values()) >= 3, shards  # 88 MB in shards of 32 MiB
+    got = {r.page_id: r for r in warc.read_archive(spark, folder).collect()}
+    assert set(got) == set(ids) and all(r.payload_bytes == 240_000 for r in got.values())
+    order = [p for f in files(folder) for p in page_order(f)]
+    assert order == [-1, *sorted(i for i in ids if i is not None)]  # no id comes first
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 57])
+def test_shard_of(spark, n):
+    keys = sorted(f"{i * 7:05d}" for i in range(n))
+    got = spark.range(0, 430).select(F.lpad(F.col("id").cast("string"), 5, "0").alias("k")).withColumn("s", warc.shard_of(F.col("k"), keys)).collect()
+    assert all(r.s == bisect.bisect_right(keys, r.k) - 1 for r in got)
+
+
 def test_renaming_twice_is_harmless(spark, tmp_path):
     import pandas as pd
 
