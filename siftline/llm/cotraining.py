@@ -1,8 +1,7 @@
 """A quality classifier by co-training on two views of a document.
 
-The content view is the text's byte pairs, hashed into ``CONTENT`` shares. The page view is what surrounds the text: source,
-language, length and layout (lines, repeats among them, how far the text can be compressed, shares of letters, capitals,
-digits and marks). Each view has a logistic
+The content view is the text's byte pairs, hashed into ``CONTENT`` shares. The page view is the row's other columns, source,
+language and length, each alone and in pairs, hashed into ``PAGE`` marks; it doesn't see the text. Each view has a logistic
 regression. Over ``ROUNDS`` rounds, each view's most confident documents without a label, as many of either class as its share
 among the labels asks for, become labelled examples for the other view. At last, both views are calibrated together on labelled
 documents that were held back (a logistic regression on the two scores), and every document is scored.
@@ -12,15 +11,16 @@ so it grows with the corpus (all of ``EACH_ROUND`` up to ``POOL`` documents). A
 bounds alone, so past rounds are done again in the map instead of kept.
 
 Bounds: only rows with a label are sampled for a fit, by hashes: about ``LABELLED`` given labels and ``TAUGHT`` passed on by a view
-in a round; their features are all that reaches the driver. Labels chosen are broadcast, as they are bounded.
+in a round, those of the least hash; their features are all that reaches the driver. Labels chosen are broadcast, as they are bounded.
 
-Cases: a null text is empty; null sources and languages are values of their own; null labels and labels without a document don't
+Cases: a null text is empty; null sources, languages and lengths are values of their own, and a table without n_chars counts as one of nulls; null labels and labels without a document don't
 teach; repeated labels are averaged and ties count as good; without labels of both classes every score is the share of good ones
 (0.5 if there are none); repeated rows get equal rows; an empty table gives an empty result; other columns aren't read.
 """
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,19 +34,14 @@ from .common import ship, table, written
 
 LABELLED, POOL, ROUNDS, EACH_ROUND, TAUGHT = 3000, 4000, 5, 200, 1000
 SURE = 2  # the least logit, of either sign, that is passed on
-CONTENT, SOURCES, LANGS, LAYOUT = 1024, 64, 16, 13
+CONTENT, PAGE = 1024, 256
+META = ("source", "lang", "n_chars")
 HELD_BACK = 4  # every fourth labelled document calibrates
 KEEP = 0.5
 SCORES = "doc_id long, content_score double, page_score double, score double, keep boolean"
 #: Bytes counted at a time.
 PART = 1 << 20
 
-_B = np.arange(256)
-LETTER = ((_B | 32) >= 97) & ((_B | 32) <= 122) | (_B >= 128)
-UPPER, DIGIT = (_B >= 65) & (_B <= 90), (_B >= 48) & (_B <= 57)
-BLANK = (_B == 32) | (_B >= 9) & (_B <= 13)
-MARK = ~(LETTER | DIGIT | BLANK)
-
 
 def content_view(raw: bytes) -> np.ndarray:
     """Square roots of the shares of hashed byte pairs: of length 1, or 0 for less than two bytes."""
@@ -58,19 +53,12 @@ def content_view(raw: bytes) -> np.ndarray:
     return np.sqrt(counts / max(1, counts.sum())).astype(np.float32)
 
 
-def page_view(raw: bytes, source: str | None, lang: str | None) -> np.ndarray:
-    out = np.zeros(SOURCES + LANGS + LAYOUT, dtype=np.float32)
-    # a null is a value of its own, unlike any text
-    place = lambda x, n: zlib.crc32(b"\0" if x is None else b"\1" + x.encode("utf-8", "surrogatepass")) % n
-    out[place(source, SOURCES)] = out[SOURCES + place(lang, LANGS)] = 1
-    seen = np.bincount(np.frombuffer(raw, dtype=np.uint8), minlength=256)
-    size = max(1, len(raw))
-    lines = raw.split(b"\n")
-    distinct = len(set(lines))
-    shares = [seen[LETTER].sum(), seen[UPPER].sum(), seen[DIGIT].sum(), seen[MARK].sum(), seen[BLANK].sum(), seen[[33, 35, 36, 37, 38, 42]].sum(), seen[124]]
-    packer = zlib.compressobj(1)
-    packed = sum(len(packer.compress(raw[at : at + PART])) for at in range(0, len(raw), PART)) + len(packer.flush())
-    out[SOURCES + LANGS :] = [np.log1p(len(raw)) / 10, np.log1p(len(lines)) / 5, np.log1p(size / len(lines)) / 5, 1 - distinct / len(lines), float(not raw), packed / size if raw else 0, *(np.sqrt(s / size) for s in shares)]
+def page_view(source: str | None, lang: str | None, size: int | None) -> np.ndarray:
+    """Marks of the values and of their pairs. Lengths count by their power of two; a null is a value of its own, unlike any text."""
+    own = [f"{k}={'' if x is None else f':{x}'}" for k, x in (("source", source), ("lang", lang), ("size", size if size is None else max(size, 0).bit_length()))]
+    out = np.zeros(PAGE, dtype=np.float32)
+    for mark in (*own, *("/".join(x) for x in itertools.combinations(own, 2))):
+        out[zlib.crc32(mark.encode("utf-8", "surrogatepass")) % PAGE] += 1
     return out
 
 
@@ -164,8 +152,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     raw = [(x.as_py() or "").encode("utf-8", "surrogatepass") for x in batch.column("text")]
-    page = [page_view(r, s, g) for r, s, g in zip(raw, batch.column("source").to_pylist(), batch.column("lang").to_pylist(), strict=True)]
-    return np.array([content_view(r) for r in raw]).reshape(-1, CONTENT), np.array(page).reshape(-1, SOURCES + LANGS + LAYOUT)
+    page = [page_view(*x) for x in zip(*(batch.column(c).to_pylist() for c in META), strict=True)]
+    return np.array([content_view(r) for r in raw]).reshape(-1, CONTENT), np.array(page).reshape(-1, PAGE)
 
 
 def _passed(z: list[np.ndarray], bounds: list) -> np.ndarray:
@@ -202,16 +190,17 @@ def _score(model: Model, keep: float):
 
 
 def _read(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), *[F.col(c).cast("string") for c in ("text", "source", "lang")])
+    length = F.col("n_chars") if "n_chars" in docs.columns else F.lit(None)
+    return docs.select(F.col("doc_id").cast("long"), *[F.col(c).cast("string") for c in ("text", "source", "lang")], length.cast("long").alias("n_chars"))
 
 
 def _gathered(rows: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Keys, both views and good of bounded rows, on the driver, in the order of their keys."""
-    found = rows.select("key", "good", "text", "source", "lang").mapInArrow(_features, "key long, good int, content binary, page binary").limit(most).toArrow()
+    found = rows.select("key", "good", "text", *META).mapInArrow(_features, "key long, good int, content binary, page binary").orderBy("key").limit(most).toArrow()
     keys = np.array(found["key"].to_pylist(), dtype=np.int64)
     order = np.argsort(keys, kind="stable")
     matrix = lambda c, n: np.frombuffer(b"".join(found[c].to_pylist()), dtype=np.float32).reshape(-1, n)[order]
-    return keys[order], matrix("content", CONTENT), matrix("page", SOURCES + LANGS + LAYOUT), np.array(found["good"].to_pylist(), dtype=int)[order]
+    return keys[order], matrix("content", CONTENT), matrix("page", PAGE), np.array(found["good"].to_pylist(), dtype=int)[order]
 
 
 def learned(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, rounds: int = ROUNDS, taught: int = TAUGHT) -> Model:
@@ -220,15 +209,15 @@ def learned(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool:
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     share = lambda most, n: int((1 << 30) * min(1.0, most / max(1, n)))
     known = labels.where(F.col("good").isNotNull() & F.col("doc_id").isNotNull())
-    chosen = known.where(place < share(labelled, known.count())).groupBy("doc_id").agg((F.avg("good") >= 0.5).cast("int").alias("good")).limit(2 * labelled)
+    chosen = known.where(place < share(labelled, known.count())).groupBy("doc_id").agg((F.avg("good") >= 0.5).cast("int").alias("good")).orderBy(place, "doc_id").limit(2 * labelled)
     # a row is known by a hash of all that is read of it, as doc_id may be null or repeated; chosen is bounded, so it may be broadcast
-    rows = _read(docs).withColumn("key", F.xxhash64("doc_id", "text", "source", "lang"))
+    rows = _read(docs).withColumn("key", F.xxhash64("doc_id", "text", *META))
     _, *views, label = _gathered(rows.join(F.broadcast(chosen), "doc_id"), 4 * labelled)
     free = rows.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_anti")
     past: list = []
 
     def teach(weights: list, good: float) -> list:
-        seen = written(free.select("key", "text", "source", "lang").mapInArrow(_sure(list(past), weights), "key long, z0 double, z1 double"), "logits")
+        seen = written(free.select("key", "text", *META).mapInArrow(_sure(list(past), weights), "key long, z0 double, z1 double"), "logits")
         n = seen.count()
         # each class's most confident, in proportion to the corpus: the bounds are quantiles of all free documents' logits
         each = EACH_ROUND * max(1.0, n / pool) / max(1, n)
@@ -242,7 +231,7 @@ def learned(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool:
             z = F.col(f"z{i}")
             passed = seen.where((z < float(low)) | (z > float(high))).select("key", (z > 0).cast("int").alias("good")).distinct()
             # labelled by now: a sample of them is enough for the fit
-            some = passed.where(F.pmod(F.xxhash64("key", F.lit("taught")), F.lit(1 << 30)) < share(taught, passed.count())).limit(2 * taught)
+            some = passed.orderBy(F.xxhash64("key", F.lit("taught")), "key").limit(taught)
             keys, content, page, y = _gathered(rows.join(F.broadcast(some), "key"), 4 * taught)
             once = np.unique(keys, return_index=True)[1]
             out.append((content[once], page[once], y[once].astype(float)))

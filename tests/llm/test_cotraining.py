@@ -38,6 +38,51 @@ def test_views_teach_each_other():
     assert (accuracy(taught)[:2] >= accuracy(alone)[:2] - 0.01).all() and accuracy(taught)[2] > 0.85
 
 
+def test_rounds_by_brute_force(spark, monkeypatch):
+    """The same rounds with all documents in memory, each view's most confident found by sorting."""
+    monkeypatch.setattr(cotraining, "EACH_ROUND", 40)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", F.col("quality").alias("good")).where("doc_id % 4 = 0")
+    model = cotraining.learned(docs, labels, pool=300, rounds=3)
+
+    rows = cotraining._read(docs).withColumn("key", F.xxhash64("doc_id", "text", "source", "lang", "n_chars")).toPandas().sort_values("key").reset_index(drop=True)
+    label = rows.merge(labels.toPandas().groupby("doc_id").good.mean().reset_index(), on="doc_id", how="left").good.to_numpy()
+    content = np.array([cotraining.content_view((t or "").encode()) for t in rows.text])
+    page = np.array([cotraining.page_view(s, g, None if pd.isna(n) else int(n)) for s, g, n in zip(rows.source, rows.lang, rows.n_chars, strict=True)])
+    given = np.nonzero(~np.isnan(label))[0]
+    held, first = given[::4], np.delete(given, np.s_[::4])
+    lists = [(list(first), list(label[first])), (list(first), list(label[first]))]
+    free, share, views, weights = set(np.nonzero(np.isnan(label))[0].tolist()), np.mean(label[given] >= 0.5), (content, page), [None, None]
+    for round_ in range(4):
+        weights = [cotraining.logistic(x[own], np.array(y), w, steps=80 if round_ else 200) for x, (own, y), w in zip(views, lists, weights, strict=True)]
+        if round_ == 3:
+            break
+        passed = []
+        for x, w in zip(views, weights, strict=True):
+            order = sorted((float(z), i) for i, z in zip(sorted(free), cotraining.logits(x[sorted(free)], w).astype(np.float64), strict=True))
+            each = 40 * max(1.0, len(free) / 300) / len(free)
+            low = order[max(0, int(np.ceil(min(1.0, each * (1 - share)) * len(order))) - 1)][0]
+            high = order[max(0, int(np.ceil(max(0.0, 1 - each * share) * len(order))) - 1)][0]
+            passed.append({i: float(z > 0) for z, i in order if z <= low and z < -2 or z >= high and z > 2})
+        for side, found in enumerate(passed):
+            lists[1 - side][0].extend(sorted(found))
+            lists[1 - side][1].extend(found[i] for i in sorted(found))
+            free -= set(found)
+    assert passed[0] and len(free) < np.isnan(label).sum()
+    pair = np.column_stack([cotraining.logits(x[held], w) for x, w in zip(views, weights, strict=True)])
+    brute = cotraining.Model(*weights, cotraining.logistic(pair, label[held], decay=1e-4, steps=300))
+    assert np.allclose(brute.scores(content, page), model.scores(content, page), atol=1e-4)
+
+
+def test_views_are_separate(spark):
+    """The page view doesn't depend on the text, nor the content view on anything else."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(50)
+    batch = lambda df: cotraining._read(df).toArrow().to_batches()[0]
+    plain, other, moved = batch(docs), batch(docs.withColumn("text", F.lit("x"))), batch(docs.withColumn("source", F.lit("y")))
+    assert (cotraining._views(plain)[1] == cotraining._views(other)[1]).all() and (cotraining._views(plain)[0] == cotraining._views(moved)[0]).all()
+    assert len(batch(docs.drop("n_chars"))) == len(plain)
+
+
 def test_odd_documents(spark):
     docs = odd_documents(spark)
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(3, None), (3, 1), (None, 1), (999, 0)], "doc_id long, good int")
