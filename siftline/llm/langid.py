@@ -9,8 +9,8 @@ A document's words are labelled by forward-backward over the whole text. It is c
 a segment's matrices carries messages across, which is exact. The document's language is that with the largest mean
 probability over its words, and this mean is the score.
 
-Sample: about ``DOCS`` documents for each of up to ``LANGS`` languages, by a hash of doc_id, and of each a window of ``CHARS``
-characters at a place set by the hash. It is all that reaches the driver, whatever the corpus. Every text is labelled whole.
+Sample: up to ``DOCS`` documents of each language, those of the least hash, and of each a window of ``CHARS`` characters at a place
+set by the hash. It is all that reaches the driver, whatever the corpus. Every language is learned; every text is labelled whole.
 
 Cases: null and empty texts, and those without a letter, are ``und`` with score 0; with no labelled documents, all are; null
 langs and null doc_ids don't teach; ties go to the language first in code point order; repeated rows get equal rows; an empty
@@ -26,12 +26,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import ship, table
 
-DOCS, CHARS, LANGS = 200, 1500, 64
+DOCS, CHARS = 200, 1500
 HASHED, FREQUENT = 1 << 16, 5
 SEQUENCE, SEGMENT = 48, 128
 #: A document of an even mix of two languages scores about 0.5; below this, words agree on nothing.
@@ -131,11 +131,10 @@ def _scaled(x: np.ndarray) -> np.ndarray:
     return x / x.sum(axis=tuple(range(1, x.ndim)), keepdims=True)
 
 
-def marginals(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray, segment: int = SEGMENT) -> np.ndarray:
-    """Scores of the words of several sequences, one after another -> each word's probabilities, by forward-backward."""
+def messages(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray, segment: int = SEGMENT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Scores of the words of several sequences, one after another -> for each word what comes from before, itself included, and
+    from behind, each up to a factor; the words' own factors, and those of the moves."""
     n, k = scores.shape
-    if not n:
-        return np.zeros((0, k))
     psi = np.exp(scores - scores.max(axis=1, keepdims=True)).astype(np.float64) + 1e-30
     step = np.exp(moves - moves.max())
     lengths = lengths[lengths > 0]
@@ -174,7 +173,7 @@ def marginals(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray, segmen
             break
         come = before[:m] if t == 0 else forward[begin[:m] + t - 1] @ step
         forward[begin[:m] + t] = _scaled(come * psi[begin[:m] + t])
-    back = after[:, :]
+    behind, back = np.empty_like(psi), after[:, :]
     for t in range(segment - 1, -1, -1):
         m = active[t]
         if not m:
@@ -184,9 +183,24 @@ def marginals(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray, segmen
         # a segment's last word takes the message from outside, the others that from the word after
         inner = np.where(go[:, None], (psi[np.minimum(at + 1, n - 1)] * back[:m]) @ step.T, after[:m])
         back = back.copy()
-        back[:m] = _scaled(inner)
-        forward[at] *= back[:m]
-    return _scaled(forward)
+        behind[at] = back[:m] = _scaled(inner)
+    return forward, behind, psi, step
+
+
+def marginals(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray, segment: int = SEGMENT) -> np.ndarray:
+    """Scores of the words of several sequences, one after another -> each word's probabilities, by forward-backward."""
+    if not len(scores):
+        return np.zeros(scores.shape)
+    forward, behind, _, _ = messages(scores, lengths, moves, segment)
+    return _scaled(forward * behind)
+
+
+def expected(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each word's probabilities, the places of words with another behind them, and how often each move is to be expected."""
+    forward, behind, psi, step = messages(scores, lengths, moves)
+    first = np.setdiff1d(np.arange(len(scores) - 1), np.cumsum(lengths) - 1)
+    pairs = _scaled(forward[first][:, :, None] * step * (psi * behind)[first + 1][:, None, :])
+    return _scaled(forward * behind), first, pairs.sum(axis=0)
 
 
 def learn(sample: list[tuple[str, str]], seed: int = 7) -> Model:
@@ -228,7 +242,7 @@ def learn(sample: list[tuple[str, str]], seed: int = 7) -> Model:
                 continue
             own = Words(w.rows[row_ends[low] : row_ends[high]], w.starts[low:high] - row_ends[low], w.keys[low:high], lengths[part], None, None)
             scores = model.scores(own)
-            gamma = marginals(scores, lengths[part], model.moves)
+            gamma, inner, joint = expected(scores, lengths[part], model.moves)
             slope = -gamma
             slope[np.arange(high - low), label[low:high]] += 1
             spread = np.repeat(slope, np.diff(np.append(own.starts, len(own.rows))), axis=0)
@@ -237,9 +251,7 @@ def learn(sample: list[tuple[str, str]], seed: int = 7) -> Model:
             entry = model.entry(own.keys)
             by_entry = np.stack([np.bincount(entry, slope[:, i], len(model.entries)) for i in range(k)], axis=1)
             by_entry[-1] = 0
-            # moves: observed pairs less expected ones, from the two neighbours' probabilities and the move itself
-            inner = np.setdiff1d(np.arange(high - low - 1), np.cumsum(lengths[part])[:-1] - 1)
-            joint = _scaled(gamma[inner][:, :, None] * np.exp(model.moves) * gamma[inner + 1][:, None, :]).sum(axis=0)
+            # moves: observed pairs less expected ones
             seen = np.bincount(label[low:high][inner] * k + label[low:high][inner + 1], minlength=k * k).reshape(k, k)
             for x, g, s in zip((model.weights, model.entries, model.moves), (by_row, by_entry, seen - joint), squares, strict=True):
                 g = g / (high - low) - DECAY * x
@@ -248,21 +260,25 @@ def learn(sample: list[tuple[str, str]], seed: int = 7) -> Model:
     return model
 
 
-def chosen(key: Column) -> Column:
+def chosen(*key: Column) -> Column:
     """A number from 0 to 1 for each key."""
-    return F.pmod(F.xxhash64(key), F.lit(1 << 30)) / float(1 << 30)
+    return F.pmod(F.xxhash64(*key), F.lit(1 << 30)) / float(1 << 30)
 
 
-def sample_of(docs: DataFrame, docs_each: int = DOCS, chars: int = CHARS, langs: int = LANGS) -> list[tuple[str, str]]:
-    """A bounded sample of the documents that may teach: (lang, a window of the text)."""
-    teach = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 3 != 1))
-    counts = teach.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(langs).collect()
+def sample_of(docs: DataFrame, docs_each: int = DOCS, chars: int = CHARS) -> list[tuple[str, str]]:
+    """A bounded sample of the documents that may teach: (lang, a window of the text). Of each language, those of the least hash."""
+    teach = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 3 != 1))
+    counts = teach.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row for each language, as the model has a column
     if not counts:
         return []
-    share = F.coalesce(*[F.when(F.col("lang") == r["lang"], min(1.0, docs_each / r["n"])) for r in counts])
-    start = F.floor(chosen(F.concat(F.lit("w"), F.col("doc_id").cast("string"))) * F.greatest(F.lit(0), F.length("text") - chars)).cast("int")
-    rows = teach.where(chosen(F.col("doc_id")) < share).select("doc_id", "lang", F.substring("text", start + 1, F.lit(chars)).alias("text"))
-    return [(r["lang"], r["text"]) for r in sorted(rows.limit(2 * docs_each * len(counts)).collect(), key=lambda r: (r["doc_id"], r["text"]))]
+    # twice what is wanted, so that the exact cut below sees few rows
+    share = F.element_at(F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 2 * docs_each / r["n"]))]), F.col("lang"))
+    place = chosen(F.col("doc_id"), F.col("text"))
+    start = F.floor(chosen(F.lit("w"), F.col("doc_id"), F.col("text")) * F.greatest(F.lit(0), F.length("text") - chars)).cast("int")
+    drawn = teach.where(F.col("text").isNotNull() & (place < share)).select("doc_id", "lang", place.alias("place"), F.substring("text", start + 1, F.lit(chars)).alias("text"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id", "text"))
+    rows = drawn.withColumn("nth", nth).where(F.col("nth") <= docs_each).select("doc_id", "lang", "text").collect()
+    return [(r["lang"], r["text"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))]
 
 
 def _batches(texts: Iterable[str | None]) -> Iterator[tuple[int, list[np.ndarray]]]:

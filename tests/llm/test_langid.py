@@ -26,6 +26,42 @@ def test_marginals_by_brute_force(segment):
         at += n
 
 
+def test_gradient_by_brute_force():
+    """Expected moves against all paths, and the slope of the likelihood that learning climbs."""
+    rng = np.random.default_rng(5)
+    k, lengths = 3, np.array([4, 1, 5])
+    scores, moves = rng.normal(size=(lengths.sum(), k)) * 2, rng.normal(size=(k, k)) * 2
+    gamma, first, joint = langid.expected(scores, lengths, moves)
+    want, at = np.zeros((k, k)), 0
+    for n in lengths:
+        paths = list(itertools.product(range(k), repeat=n))
+        v = np.array([np.exp(sum(scores[at + i, p[i]] for i in range(n)) + sum(moves[a, b] for a, b in itertools.pairwise(p))) for p in paths])
+        for p, share in zip(paths, v / v.sum(), strict=True):
+            for a, b in itertools.pairwise(p):
+                want[a, b] += share
+        at += n
+    assert np.allclose(joint, want) and np.allclose(gamma, langid.marginals(scores, lengths, moves)) and first.tolist() == [0, 1, 2, 5, 6, 7, 8]
+
+    def total(m):  # the log of the sum over all paths
+        out, at = 0.0, 0
+        for n in lengths:
+            x = scores[at]
+            for i in range(1, n):
+                x = np.log(np.exp(x[:, None] + m).sum(axis=0)) + scores[at + i]
+            out, at = out + np.log(np.exp(x).sum()), at + n
+        return out
+
+    for a, b in itertools.product(range(k), repeat=2):
+        d = np.zeros((k, k))
+        d[a, b] = 1e-5
+        assert abs((total(moves + d) - total(moves - d)) / 2e-5 - joint[a, b]) < 1e-6
+
+
+def test_learned_moves(model):
+    """Neighbours are mostly of one language, so staying weighs more than any other move."""
+    assert (np.argmax(model.moves, axis=1) == np.arange(len(model.langs))).all()
+
+
 def test_words():
     w = langid.words_of([langid.codes(x) for x in ("Ab cd1e!", "", "--", "É")])
     assert w.per_text.tolist() == [3, 0, 0, 1] and w.length.tolist() == [2, 2, 1, 1] and w.at.tolist() == [0, 3, 6, 0]
@@ -47,10 +83,19 @@ def test_held_out_accuracy(spark):
 
 
 def test_held_out_rows_do_not_teach(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    taught = {t for _, t in langid.sample_of(docs)}
-    held = [r.text for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 3 == 1]
-    assert taught and not any(any(t in h for h in held) for t in list(taught)[:20] if len(t) == langid.CHARS and sum(t in r for r in held) > 3)
+    """Whatever they hold: texts and languages that only they have are neither in the sample nor among the languages."""
+    rows = [(i, ("held " if zlib.crc32(str(i).encode()) % 3 == 1 else "free ") * 9 + str(i), "xx" if zlib.crc32(str(i).encode()) % 3 == 1 else "yy") for i in range(300)]
+    sample = langid.sample_of(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert sample and {lang for lang, _ in sample} == {"yy"} and all("held" not in text for _, text in sample)
+
+
+def test_sample(spark):
+    """Every language has its part, however many there are; a repeated id doesn't fill it; reruns agree."""
+    rows = [(i, f"text {i}", f"l{i % 90:02d}") for i in range(4000)] + [(2, f"again {i}", "l02") for i in range(500)] + [(None, "x", "l03"), (7, None, "l04"), (8, "y", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = langid.sample_of(docs, docs_each=10)
+    counts = {x: sum(lang == x for lang, _ in sample) for x in {lang for lang, _ in sample}}
+    assert len(counts) == 90 and max(counts.values()) == 10 and sample == langid.sample_of(docs.repartition(5), docs_each=10)
 
 
 def test_code_switching(spark, model):
