@@ -2,11 +2,11 @@
 
 A line is text between newlines, compared after trimming white space; blank lines never count. For each line hash, a
 HyperLogLog sketch of the sites (``source``) that hold it is merged by aggregation. Estimates far from ``min_sites`` decide
-at once; lines within ``band`` of it get an exact distinct count. Lines on ``min_sites`` sites or more are boilerplate: they
-are taken out of every document but one, that with the smallest (doc_id, source) among those holding the line, so that no
+at once; lines within ``band`` of it get an exact distinct count. Lines on ``min_sites`` sites or more are boilerplate. So are lines
+of more than ``LONG`` characters, about 20 words, on ``LONG_SITES`` or more, as these don't meet by chance. They are taken out of every document but one, that with the smallest (doc_id, source) among those holding the line, so that no
 text is lost altogether.
 
-Scale: lines travel as 64-bit hashes, once for each document and line, and are combined before the shuffle; texts are
+Scale: lines travel as hashes of 63 bits, once for each document and line, and are combined before the shuffle; texts are
 shuffled once, by doc_id, to meet the hashes of their own boilerplate. No task gathers what one line holds: a line in a third
 of all documents is one group of a partially aggregated sum and a side of a join that can be split.
 
@@ -22,29 +22,30 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 
-MIN_SITES = 10
+MIN_SITES, LONG_SITES, LONG = 10, 3, 120
 #: Standard errors of a sketch with 2**10 registers are near 3 %; the band is far wider.
 LOG_K, BAND = 10, 0.25
 SPACE = " \t\r\x0b\x0c"
 
 
 def line_hash(line: Column) -> Column:
-    """Null for blank lines."""
+    """63 bits, and whether the line is long in the last one. Null for blank lines."""
     bare = F.btrim(line, F.lit(SPACE))
-    return F.when(bare != "", F.xxhash64(bare))
+    return F.when(bare != "", F.xxhash64(bare).bitwiseAND(F.lit(-2)).bitwiseOR((F.length(bare) > LONG).cast("long")))
 
 
-def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, band: float = BAND) -> DataFrame:
+def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, band: float = BAND, long_sites: int = LONG_SITES) -> DataFrame:
     """(doc_id, site, h) -> h of the boilerplate lines and keeper, the (doc_id, site) that keeps each."""
+    enough = F.when(F.col("h").bitwiseAND(F.lit(1)) == 1, min(long_sites, min_sites)).otherwise(min_sites)
     spread = lines.groupBy("h").agg(
         F.hll_sketch_agg("site", LOG_K).alias("sketch"), F.min("site").alias("low"), F.max("site").alias("high"), F.min(F.struct("doc_id", "site")).alias("keeper")
     )
     # the extremes alone rule out the lines of a single site, which are nearly all
     likely = spread.where("low < high").select("h", F.hll_sketch_estimate("sketch").alias("estimate"), "keeper")
-    likely = written(likely.where(F.col("estimate") >= min_sites * (1 - band)), "spread")
-    near = likely.where(F.col("estimate") < min_sites * (1 + band)).select("h")
-    exact = lines.join(near, "h", "left_semi").groupBy("h").agg(F.countDistinct("site").alias("sites")).where(F.col("sites") >= min_sites)
-    sure = likely.where(F.col("estimate") >= min_sites * (1 + band)).select("h", "keeper")
+    likely = written(likely.where(F.col("estimate") >= enough * (1 - band)), "spread")
+    near = likely.where(F.col("estimate") < enough * (1 + band)).select("h")
+    exact = lines.join(near, "h", "left_semi").groupBy("h").agg(F.countDistinct("site").alias("sites")).where(F.col("sites") >= enough)
+    sure = likely.where(F.col("estimate") >= enough * (1 + band)).select("h", "keeper")
     return likely.join(exact.select("h"), "h", "left_semi").select("h", "keeper").unionByName(sure)
 
 
@@ -52,14 +53,14 @@ def _sited(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("source").alias("site"), F.col("source").isNotNull().alias("known"), F.split("text", "\n").alias("lines"))
 
 
-def marked(docs: DataFrame, min_sites: int = MIN_SITES, band: float = BAND) -> DataFrame:
+def marked(docs: DataFrame, min_sites: int = MIN_SITES, band: float = BAND, long_sites: int = LONG_SITES) -> DataFrame:
     """docs' columns in the struct ``document``, and the hashes of the lines it loses in ``lost`` (null: none)."""
     sited = _sited(docs)
     held = F.array_distinct(F.filter(F.transform("lines", line_hash), lambda h: h.isNotNull()))
     lines = written(
         sited.select("doc_id", F.when(F.col("known"), F.col("site")).alias("site"), F.explode(held).alias("h")), "lines"
     )
-    keepers = boilerplate(lines, min_sites, band)
+    keepers = boilerplate(lines, min_sites, band, long_sites)
     losing = lines.join(keepers, "h").where(~F.struct("doc_id", "site").eqNullSafe(F.col("keeper")))
     lost = losing.groupBy(F.col("doc_id").alias("_id"), F.col("site").alias("_site")).agg(F.collect_set("h").alias("lost"))
     whole = docs.select(
@@ -101,7 +102,7 @@ WITH lines AS (
     FROM documents WHERE text IS NOT NULL)
 ), boilerplate AS (
   SELECT bare, arg_min(source, doc_id) AS keeper_source, min(doc_id) AS keeper
-  FROM lines WHERE bare <> '' GROUP BY bare HAVING count(DISTINCT source) >= 10
+  FROM lines WHERE bare <> '' GROUP BY bare HAVING count(DISTINCT source) >= CASE WHEN length(bare) > 120 THEN 3 ELSE 10 END
 ), left_over AS (
   SELECT l.doc_id, count(*)::BIGINT AS lines, count(b.bare) FILTER (WHERE l.doc_id <> b.keeper)::BIGINT AS removed,
     string_agg(line, chr(10) ORDER BY n) FILTER (WHERE b.bare IS NULL OR l.doc_id = b.keeper) AS text
