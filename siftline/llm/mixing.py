@@ -1,13 +1,14 @@
 """Mixing sources to target weights by systematic sampling. DataFrame functions only.
 
 Each document's expected copies are its source's target over its source's size. Within a source the documents stand in a
-fixed order (size class, chunk, size, id), the expected copies are summed along it, one random offset per source is added,
+fixed order (size class, chunk, size, id, hash of the text), the expected copies are summed along it, one random offset per source is added,
 and a document is emitted once for each integer boundary that the running sum crosses. Ordering by size makes the words
 taken follow the target closely: neighbours in the order are of like size. Big documents come first; what they take by chance more
 or less than their part is made up by the expected copies of the others.
 
 A source may hold any share of the rows. The running sum is therefore in two levels: sums inside chunks of about
-``rows_per_chunk`` documents or fewer long ones, then a running sum over the chunks. All sums are over whole numbers, so reruns agree exactly.
+``rows_per_chunk`` documents or fewer long ones, then a running sum over the chunks. Chunks go by a hash of id and text, so documents
+without an id are dealt out like any others. All sums are over whole numbers, so reruns agree exactly.
 
 Cases: a null text has size 0; a null source is a source of its own, after all others; sources of size 0 get target 0 and
 no copies; repeated rows are documents of their own; an empty table gives an empty result. ``mixed`` reads doc_id, source
@@ -87,8 +88,13 @@ def _classed(sized: DataFrame, rates: DataFrame) -> DataFrame:
     return sized.join(rated, F.col("source").eqNullSafe(F.col("_source"))).withColumns({"_big": big, "_class": F.length(F.bin("size"))})
 
 
+def tag_of(text: Column) -> Column:
+    """What tells documents without an id, or with the same one, apart."""
+    return F.md5(F.coalesce(text, F.lit("")))
+
+
 def _chunked(classed: DataFrame, parts: DataFrame, seed: str) -> DataFrame:
-    chunk = unit_hash(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), seed) % F.col("_parts")
+    chunk = unit_hash(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("/"), F.col("_tag")), seed) % F.col("_parts")
     return classed.join(_named(parts, KEY), _same(KEY)).withColumn("_chunk", chunk).drop("_parts", *[f"{c}_of" for c in KEY])
 
 
@@ -96,7 +102,7 @@ def layout(sized: DataFrame, rates: DataFrame, rows_per_chunk: int = 8192, seed:
     """From doc_id, source and size alone: chunks of each class, and the rows before each chunk. Both are small tables of their own,
     so that a pass over texts meets them by a join that moves no text."""
     enough = F.greatest(F.ceil(F.count("*") / rows_per_chunk), F.ceil(F.sum("size") / WORDS_PER_CHUNK))
-    classed = _classed(sized.select("doc_id", "source", "size"), rates)
+    classed = _classed(sized.select("doc_id", "_tag", "source", "size"), rates)
     parts = written(classed.groupBy(*KEY).agg(enough.cast("long").alias("_parts")), "parts")
     earlier = Window.partitionBy("_source", "_big").orderBy("_class", "_chunk").rowsBetween(Window.unboundedPreceding, -1)
     rows = _chunked(classed, parts, seed).groupBy(*KEY, "_chunk").agg(F.count("*").alias("_rows"))
@@ -104,17 +110,17 @@ def layout(sized: DataFrame, rates: DataFrame, rows_per_chunk: int = 8192, seed:
 
 
 def copies_of(rows: DataFrame, rates: DataFrame, parts: DataFrame, starts: DataFrame, seed: str = SEED) -> DataFrame:
-    """doc_id, source, size and any columns whose names don't begin with "_" -> with source_size, target, copies.
+    """doc_id, _tag, source, size and any columns whose names don't begin with "_" -> without _tag, with source_size, target, copies.
 
     rates: source, source_size, target, big_rate and small_rate, the expected copies of either kind in units of 2**-32.
     """
     chunked = _chunked(_classed(rows, rates), parts, seed)
     place = [*KEY, "_chunk"]
     met = chunked.join(_named(starts, place), _same(place))
-    row = F.row_number().over(Window.partitionBy(*place).orderBy("size", "doc_id")) + F.col("_before")
+    row = F.row_number().over(Window.partitionBy(*place).orderBy("size", "doc_id", "_tag")) + F.col("_before")
     offset = unit_hash(F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")), seed)
     copies = crossed(row, F.when(F.col("_big"), F.col("big_rate")).otherwise(F.col("small_rate")), offset)
-    return met.withColumn("copies", copies).select(*rows.columns, "source_size", "target", "copies")
+    return met.withColumn("copies", copies).select(*[c for c in rows.columns if c != "_tag"], "source_size", "target", "copies")
 
 
 def source_rates(sized: DataFrame, targets: DataFrame, most: int = 2, **options) -> DataFrame:
@@ -122,7 +128,7 @@ def source_rates(sized: DataFrame, targets: DataFrame, most: int = 2, **options)
     than their part of the target is spread over the small ones, so that one long text doesn't decide how near the target is."""
     unit = lambda words, of: F.floor(F.least(F.greatest(F.coalesce(F.try_divide(words, of), F.lit(0.0)), F.lit(0.0)), F.lit(float(most))) * ONE).cast("long")
     first = written(targets, "targets").select("source", "source_size", "target", unit(F.col("target"), F.col("source_size")).alias("big_rate")).withColumn("small_rate", F.lit(0).cast("long"))
-    big = sized.join(first.select(F.col("source").alias("_s"), F.col("target").alias("_t")), F.col("source").eqNullSafe(F.col("_s"))).where(F.col("size") * BIG > F.col("_t")).select("doc_id", "source", "size")
+    big = sized.join(first.select(F.col("source").alias("_s"), F.col("target").alias("_t")), F.col("source").eqNullSafe(F.col("_s"))).where(F.col("size") * BIG > F.col("_t")).select("doc_id", "_tag", "source", "size")
     taken = copies_of(big, first, *layout(big, first, **options)).groupBy(F.col("source").alias("_s")).agg(F.sum(F.col("copies") * F.col("size")).alias("_taken"), F.sum("size").alias("_size"))
     met = first.join(taken, F.col("source").eqNullSafe(F.col("_s")), "left")
     rest = unit(F.col("target") - F.coalesce("_taken", F.lit(0)), F.col("source_size") - F.coalesce("_size", F.lit(0)))
@@ -151,7 +157,7 @@ def source_sizes(sized: DataFrame) -> DataFrame:
 
 def sizes_and_rates(docs: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
     """doc_id, source, size of each document, and the rates of each source, as tables. The texts are scanned once."""
-    sized = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
+    sized = written(docs.select("doc_id", tag_of(F.col("text")).alias("_tag"), "source", word_count(F.col("text")).alias("size")), "sizes")
     return sized, written(source_rates(sized, source_targets(source_sizes(sized)), **options), "rates")
 
 
@@ -164,7 +170,7 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixture itself: docs' rows and columns, each row as often as it is taken. The texts are shuffled once."""
     sized, rates = sizes_and_rates(docs, **options)
-    whole = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"))
+    whole = docs.select("doc_id", tag_of(F.col("text")).alias("_tag"), "source", word_count(F.col("text")).alias("size"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"))
     taken = copies_of(whole, rates, *layout(sized, rates, **options)).where("copies > 0")
     return taken.select("document", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("document.*")
 
@@ -176,7 +182,7 @@ def op9_systematic_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The same in DuckDB, over documents.
 OP9_SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+  SELECT doc_id, source, md5(coalesce(text, '')) AS tag, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
 ), sources AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source
 ), ranked AS (
@@ -197,13 +203,13 @@ WITH sized AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(least(greatest(target / source_size, 0.0), 2.0) * 4294967296.0)::BIGINT ELSE 0 END AS rate FROM targets
 ), classed AS (
   SELECT s.*, r.source_size, r.target, r.rate, s.size * 50 > r.target AS big, length(bin(s.size)) AS class,
-    ('0x' || substr(md5('mix-2024:' || coalesce(s.doc_id::VARCHAR, '')), 1, 8))::BIGINT AS hash,
+    ('0x' || substr(md5('mix-2024:' || coalesce(s.doc_id::VARCHAR, '') || '/' || tag), 1, 8))::BIGINT AS hash,
     ('0x' || substr(md5('mix-2024:' || coalesce('s' || s.source, 'n')), 1, 8))::BIGINT AS u
   FROM sized s JOIN rated r ON s.source IS NOT DISTINCT FROM r.source
 ), parts AS (
   SELECT source, big, class, greatest(ceil(count(*) / 8192), ceil(sum(size) / 4194304))::BIGINT AS parts FROM classed GROUP BY ALL
 ), placed AS (
-  SELECT c.*, row_number() OVER (PARTITION BY c.source, c.big ORDER BY c.class, hash % parts, size, doc_id) AS n
+  SELECT c.*, row_number() OVER (PARTITION BY c.source, c.big ORDER BY c.class, hash % parts, size, doc_id NULLS FIRST, tag) AS n
   FROM classed c JOIN parts p ON c.source IS NOT DISTINCT FROM p.source AND c.big = p.big AND c.class = p.class
 ), large AS (
   SELECT *, ((n::HUGEINT * rate + u) // 4294967296 - ((n - 1)::HUGEINT * rate + u) // 4294967296)::BIGINT AS copies FROM placed WHERE big
