@@ -6,11 +6,11 @@ the open window with the least room that still takes them. A segment tree over t
 that window: a leaf counts the open windows with so much room, and the search is for the first non-empty leaf at or right of
 the piece's length.
 
-Groups are sized from the count of pieces, so a task holds a bounded number of short rows at any scale, whatever the
-documents' sources or ids. Only lengths and checksums are shuffled, never texts or ids.
+Groups are sized from the count of pieces, and the hash is of all that is known of a piece, so documents that share an id, or have
+none, are dealt out too: a task holds a bounded number of short rows at any scale. Only lengths and checksums are shuffled, never texts or ids.
 
 Cases: a null or empty text is the end id alone; the longest texts are cut like any other; repeated rows are packed once each;
-ties go by doc_id, then start; an empty table gives an empty result; ``pack`` reads doc_id and text only.
+ties go by doc_id, start, checksum and size; an empty table gives an empty result; ``pack`` reads doc_id and text only.
 """
 
 from __future__ import annotations
@@ -305,7 +305,7 @@ def best_fit(lengths: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
 
 def _pack(window: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "start"], ascending=[False, True, True], kind="stable")
+        rows = rows.sort_values(["length", "doc_id", "start", "ids_crc32", "doc_tokens"], ascending=[False, True, True, True, True], kind="stable")
         placed = np.array(best_fit(rows["length"].tolist(), window), dtype=np.int64).reshape(-1, 2)
         return rows.assign(sequence_id=(int(key[0]) << 32) + placed[:, 0], offset=placed[:, 1]).drop(columns="group")
 
@@ -316,7 +316,7 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, end_id:
     """A row per piece: where it lies in its document, and in which sequence and where there it is packed."""
     cut = written(pieces(docs, path, window, end_id), "pieces")
     groups = max(1, -(-cut.count() // group_pieces))
-    dealt = cut.withColumn("group", F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)))
+    dealt = cut.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "length", "ids_crc32", "doc_tokens"), F.lit(groups)))
     return dealt.groupBy("group").applyInPandas(_pack(window), PACKED)
 
 
