@@ -8,7 +8,8 @@ sent to a query group g only if
     p_g . x + R_g |x|  >=  that score        (p_g: the group's pivot, R_g: its radius)
 
 since no query of g scores higher with x. A unit of work is a query group against a block of a cell: both are cut by a
-hash to a bounded size, whatever one cell holds, and solved with one matrix product. Each unit returns the k best of each
+hash to ``TILE_BYTES`` of numbers, whatever one cell holds, and solved by matrix products. Where nothing prunes, a vector is sent
+once for as many queries as a tile holds, and a query once for as many vectors. Each unit returns the k best of each
 query, and these are merged by a window over the query.
 
 Only pivots and summaries, whose size depends on ``max_pivots`` and k alone, reach the driver. Vectors with few dimensions or
@@ -31,8 +32,10 @@ from pyspark.sql import functions as F
 from .common import ship, table, written
 
 K, EVERY, SCALE = 20, 20, 64
-#: Rows to a pivot, pivots at most, and rows of a unit of work on either side.
-PER_PIVOT, MAX_PIVOTS, BLOCK, GROUP = 8192, 256, 8192, 2048
+#: Rows to a pivot, pivots at most, and bytes of either side's matrix in a unit of work.
+PER_PIVOT, MAX_PIVOTS, TILE_BYTES = 8192, 256, 8 << 20
+#: Scores computed at a time.
+SCORES = 1 << 21
 #: Sums of products below this are exact as doubles; larger ones are computed as whole numbers.
 EXACT = 1 << 53
 
@@ -98,8 +101,9 @@ def _solve(k: int):
         data = data.sort_values("vec_id", kind="stable")
         ids, x = data.vec_id.to_numpy(), _matrix(data.v)
         out = []
-        for at in range(0, len(queries), 256):
-            some = queries.iloc[at : at + 256]
+        part = max(16, SCORES // len(data))
+        for at in range(0, len(queries), part):
+            some = queries.iloc[at : at + part]
             asked = _matrix(some.v)
             if np.abs(asked).max() * np.abs(x).max() * x.shape[1] < EXACT:
                 scores, none = asked @ x.T, -np.inf
@@ -123,7 +127,7 @@ def _solve(k: int):
     return run
 
 
-def top_k(data: DataFrame, queries: DataFrame, k: int = K, max_pivots: int = MAX_PIVOTS, per_pivot: int = PER_PIVOT, block: int = BLOCK, group: int = GROUP) -> DataFrame:
+def top_k(data: DataFrame, queries: DataFrame, k: int = K, max_pivots: int = MAX_PIVOTS, per_pivot: int = PER_PIVOT, block: int | None = None, group: int | None = None) -> DataFrame:
     """data and queries: (vec_id long, v array<long>) -> query_id, rank, vec_id, score."""
     spark = data.sparkSession
     ship(spark)
@@ -132,7 +136,8 @@ def top_k(data: DataFrame, queries: DataFrame, k: int = K, max_pivots: int = MAX
     found = spark.createDataFrame([], schema)
     for d, (n, q) in sorted(sizes.items()):
         one = lambda df, d=d: df.where(F.size("v") == d)
-        found = found.unionByName(_search(one(data), one(queries), n, q, k, max_pivots, per_pivot, block, group))
+        tile = max(256, TILE_BYTES // (8 * d))
+        found = found.unionByName(_search(one(data), one(queries), n, q, k, max_pivots, per_pivot, block or tile, group or tile))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
