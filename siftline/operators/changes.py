@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.functions.urls import document_url
@@ -36,6 +36,21 @@ def appended(stored: DataFrame, records: DataFrame) -> DataFrame:
     return stored.unionByName(records.join(stored.select("id"), "id", "left_anti").select(*stored.columns))
 
 
+def read(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(CHANGES).parquet(folder)
+
+
+def save(records: DataFrame, folder: str) -> DataFrame:
+    """Append the records that can be stored and whose ids aren't there yet; the rejects come back."""
+    spark = records.sparkSession
+    good, bad = prepared(records)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        good = good.join(read(spark, folder).select("id"), "id", "left_anti")
+    good.select(*[c.split()[0] for c in CHANGES.replace("\n", " ").split(", ")]).write.mode("append").parquet(folder)
+    return bad
+
+
 def listed(stored: DataFrame, opportunity_id: str | None = None, url: str | None = None, limit: int = LIST) -> DataFrame:
     """Newest first; a url matches whatever its fragment."""
     rows = stored

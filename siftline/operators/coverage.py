@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,7 +56,11 @@ def gsc_reasons(data_state: Column, first_incomplete_date: Column, first_incompl
 def combined(parts: DataFrame, by: list[str]) -> DataFrame:
     """Coverage of several sources as one: sums (omitted is null if any is unknown), either flag, and all reasons once."""
     known = F.count("omitted") == F.count("*")
-    return parts.groupBy(*by).agg(
-        F.sum("requested").alias("requested"), F.sum("observed").alias("observed"), F.when(known, F.sum("omitted")).alias("omitted"),
-        F.bool_or("truncated").alias("truncated"), F.bool_or("partial").alias("partial"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("incomplete_reasons")))).alias("incomplete_reasons"),
+    totals = parts.groupBy(*by).agg(
+        F.sum("requested").alias("requested"), F.sum("observed").alias("observed"), F.when(known, F.sum("omitted")).alias("omitted"), F.bool_or("truncated").alias("truncated"), F.bool_or("partial").alias("partial"),
     )
+    # each reason goes on once for each key, so that no list grows with the rows
+    said = parts.select(*by, F.explode("incomplete_reasons").alias("_reason")).distinct().groupBy(*by).agg(F.array_sort(F.collect_set("_reason")).alias("incomplete_reasons"))
+    said = said.withColumnsRenamed({c: f"_{c}" for c in by})
+    on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by])
+    return totals.join(said, on, "left").select(*totals.columns, F.coalesce("incomplete_reasons", F.array().cast("array<string>")).alias("incomplete_reasons"))

@@ -42,10 +42,11 @@ def _numbered(new: DataFrame, have: DataFrame | None, cap: int) -> DataFrame:
         new = new.join(counts, ["site", "path_key"], "left").join(sizes, "site", "left")
     else:
         new = new.withColumns({"on_path": F.lit(0), "before": F.lit(0)})
+    # each rank is cut to the cap itself first, a filter that Spark applies before the shuffle, and then to what the site has left
     within = Window.partitionBy("site", "path_key").orderBy("at")
-    ranked = new.withColumn("_nth", F.row_number().over(within) + F.coalesce("on_path", F.lit(0))).where(F.col("_nth") <= PER_PATH)
-    number = F.row_number().over(Window.partitionBy("site").orderBy("at")) + F.coalesce("before", F.lit(0))
-    return ranked.withColumn("ordinal", number.cast("long")).where(F.col("ordinal") <= cap).select("site", "url", "path_key", "source", "lastmod", "ordinal", "at")
+    ranked = new.withColumn("_nth", F.row_number().over(within)).where(F.col("_nth") <= PER_PATH).where(F.col("_nth") + F.coalesce("on_path", F.lit(0)) <= PER_PATH)
+    number = ranked.withColumn("_number", F.row_number().over(Window.partitionBy("site").orderBy("at"))).where(F.col("_number") <= cap)
+    return number.withColumn("ordinal", (F.col("_number") + F.coalesce("before", F.lit(0))).cast("long")).where(F.col("ordinal") <= cap).select("site", "url", "path_key", "source", "lastmod", "ordinal", "at")
 
 
 def discover(seeds: DataFrame, sitemap_entries: DataFrame, links: DataFrame, limit: int = LIMIT) -> DataFrame:
@@ -66,7 +67,7 @@ def discover(seeds: DataFrame, sitemap_entries: DataFrame, links: DataFrame, lim
     have = checkpointed(_numbered(both, None, cap).withColumn("depth", F.lit(0)))
     inner = checkpointed(scoped(links.select("site", "page", "position", "url")).select("site", document_url(F.col("page")).alias("page"), "position", "url"))
     level, depth = have, 0
-    while level.where(F.col("ordinal") <= limit).take(1):
+    while level.agg(F.min("ordinal") <= limit).first()[0]:
         depth += 1
         pages = level.where(F.col("ordinal") <= limit).select("site", F.col("url").alias("page"), F.col("ordinal").alias("parent"))
         found = inner.join(pages, ["site", "page"]).groupBy("site", "url").agg(F.min(F.struct(F.col("parent").alias("a"), F.col("position").cast("long").alias("b"))).alias("at"))
@@ -90,48 +91,80 @@ def noindex_observed(facts: Column, x_robots: Column) -> Column:
     return header | F.coalesce(F.exists(facts.meta_robots, lambda m: F.array_contains(m.directives, "noindex")), F.lit(False))
 
 
-def _site_finding(rows: DataFrame, rule: Column, severity: str, refs: int = REFS, by: tuple[str, ...] = ()) -> DataFrame:
-    """A finding for each site (and by): the first refs of its evidence, in order, go into the id."""
-    in_order = F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "ref"))), lambda x: x.ref)
-    grouped = rows.groupBy("site", "origin", *by).agg(F.slice(in_order, 1, refs).alias("evidence_refs"), F.count("*").alias("pages"), F.min_by("rule_text", "ordinal").alias("rule_text"))
-    rule_id = F.concat(rule, F.coalesce("rule_text", F.lit("")))
-    fid = F.concat(F.lit("finding_"), F.substring(F.sha2(F.concat_ws("\0", F.col("origin"), rule_id, F.array_join("evidence_refs", "\0")), 256), 1, 16))
-    return grouped.select("site", fid.alias("finding_id"), rule_id.alias("rule_id"), F.lit(severity).alias("severity"), "pages", "evidence_refs")
+#: Rules on one page: when they find, of the columns of site_pages().
+ON_PAGE = {
+    "SITEMAP_URL_NOINDEX_CONFLICT_V1": ("high", "listed AND noindex"),
+    "SITEMAP_CANONICAL_TARGET_CONFLICT_V1": ("medium", "listed AND conflict"),
+    "SITEMAP_URL_REDIRECTS_V1": ("low", "listed AND redirected"),
+    "NOT_OBSERVED_IN_COMPLETE_SITEMAP_SET_V1": ("low", "sitemap_complete AND valid_sitemaps > 0 AND linked AND NOT listed AND url <> root"),
+}
 
 
-def site_findings(pages: DataFrame, links: DataFrame, sites: DataFrame) -> DataFrame:
-    """pages: site, url, ordinal, sources, final_url, status, redirects, x_robots_tag, facts, error. links: site, page, url (internal).
+def site_pages(pages: DataFrame, sites: DataFrame) -> DataFrame:
+    """What the rules on sites need of each page, in one narrow row; the facts are read once and go no further.
+
+    links: the targets of the page's internal links, in their order."""
+    root = sites.select("site", origin(F.col("root")).alias("origin"), document_url(F.col("root")).alias("root"), "sitemap_complete", "valid_sitemaps", "crawl_complete")
+    f, at = F.col("facts"), F.coalesce("final_url", "url")
+    targets = F.array_distinct(F.transform(F.filter(f.canonicals, lambda c: (c.location == "head") & c.resolved_url.isNotNull()), lambda c: c.resolved_url))
+    title = F.get(F.filter(F.transform(f.titles, lambda t: F.trim(t)), lambda t: t != ""), F.lit(0))
+    narrow = pages.join(root, "site").select(
+        "site", "origin", "root", "sitemap_complete", "valid_sitemaps", "crawl_complete", "url", F.col("ordinal").cast("long").alias("ordinal"), page_evidence_id(F.col("url")).alias("ref"), at.alias("at"), "status",
+        F.array_contains("sources", "sitemap").alias("listed"), F.array_contains("sources", "link").alias("linked"), noindex_observed(f, F.col("x_robots_tag")).alias("noindex"),
+        ((F.size(targets) == 1) & (document_url(F.get(targets, F.lit(0))) != document_url(at))).alias("conflict"), (F.size("redirects") > 0).alias("redirected"), F.lower(title).alias("title_key"), F.get(f.titles, F.lit(0)).alias("title"),
+        F.col("error").isNotNull().alias("failed"), F.transform(F.filter(f.links, lambda x: (x.kind == "internal") & x.resolved_url.isNotNull()), lambda x: x.resolved_url).alias("links"),
+    )
+    return checkpointed(narrow)
+
+
+def _evidence(rows: DataFrame, rule: str, severity: str, group: str | Column = "", text: Column | None = None, *order: Column | str) -> DataFrame:
+    """Rows of one rule: its evidence, the group that makes a finding of its own, what follows the rule's name, and the order."""
+    group = F.lit(group) if isinstance(group, str) else group
+    a, b, c = (*order, *[F.lit(0)] * (3 - len(order))) if order else ("ordinal", F.lit(0), F.lit(0))
+    place = F.struct(*[(F.col(x) if isinstance(x, str) else x).cast("long").alias(n) for n, x in (("a", a), ("b", b), ("c", c))])
+    return rows.select("site", "origin", F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), group.alias("group"), (F.lit("") if text is None else text).alias("text"), "ref", place.alias("place"))
+
+
+def _cited(rows: DataFrame) -> DataFrame:
+    """A finding for each site, rule and group. The first refs of its evidence are found by rank, so no list is longer than what is kept."""
+    by = ["site", "origin", "rule", "severity", "group"]
+    counted = rows.groupBy(*by).agg(F.count("*").alias("pages"), F.min_by("text", "place").alias("text"))
+    first = rows.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy("place"))).where(F.col("n") <= REFS)
+    first = first.where((F.col("n") <= TITLE_REFS) | ~F.startswith("rule", F.lit("DUPLICATE_TITLE")))
+    refs = first.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "ref"))), lambda x: x.ref).alias("evidence_refs"))
+    return counted.join(refs, by)
+
+
+def site_findings(pages: DataFrame, sites: DataFrame) -> DataFrame:
+    """pages: site, url, ordinal, sources, final_url, status, redirects, x_robots_tag, facts, error.
 
     sites: site, root, sitemap_complete, valid_sitemaps, crawl_complete, bad_sitemaps (ordered array of evidence ids).
     Gates are columns of sites; they hold before ids are made.
     """
-    root = sites.select("site", origin(F.col("root")).alias("origin"), "root", "sitemap_complete", "valid_sitemaps", "crawl_complete")
-    base = pages.join(root, "site").withColumns({"ref": page_evidence_id(F.col("url")), "rule_text": F.lit(None).cast("string"), "at": F.coalesce("final_url", "url")})
-    listed = F.array_contains("sources", "sitemap")
-    targets = F.array_distinct(F.transform(F.filter(F.col("facts.canonicals"), lambda c: (c.location == "head") & c.resolved_url.isNotNull()), lambda c: c.resolved_url))
-    conflict = (F.size(targets) == 1) & (document_url(F.get(targets, F.lit(0))) != document_url(F.col("at")))
-    title = F.get(F.filter(F.transform("facts.titles", lambda t: F.trim(t)), lambda t: t != ""), F.lit(0))
-    titled = base.withColumns({"key": F.lower(title), "rule_text": F.concat(F.lit(":"), F.get("facts.titles", F.lit(0)))}).where("key IS NOT NULL")
-    again = titled.groupBy("site", "key").agg(F.count("*").alias("n")).where("n >= 2").drop("n")
-    audited = base.select("site", F.col("at").alias("target"), "status", F.col("ref").alias("target_ref"), F.col("ordinal").alias("target_ordinal"))
-    edges = links.select("site", F.col("page").alias("url"), F.col("url").alias("target"))
-    broken = base.join(edges, ["site", "url"]).join(audited.where("status >= 400"), ["site", "target"])
-    ends = broken.select("site", "origin", "ordinal", "ref").unionByName(broken.select("site", "origin", F.col("target_ordinal").alias("ordinal"), F.col("target_ref").alias("ref"))).distinct()
-    incoming = edges.select("site", F.col("target").alias("at")).distinct()
-    failed = base.where("error IS NOT NULL").withColumn("rule_text", F.concat(F.lit(":"), "url"))
-    sitemaps = sites.where(F.size("bad_sitemaps") > 0).select("site", origin(F.col("root")).alias("origin"), F.posexplode("bad_sitemaps").alias("ordinal", "ref")).withColumn("rule_text", F.lit(None).cast("string"))
-    found = [
-        _site_finding(failed, F.lit("PAGE_FETCH_FAILED_V1"), "high", by=("url",)),
-        _site_finding(sitemaps, F.lit("SITEMAP_FETCH_OR_PARSE_INCOMPLETE_V1"), "medium", refs=10_000),
-        _site_finding(base.where(listed & noindex_observed(F.col("facts"), F.col("x_robots_tag"))), F.lit("SITEMAP_URL_NOINDEX_CONFLICT_V1"), "high"),
-        _site_finding(base.where(listed & conflict), F.lit("SITEMAP_CANONICAL_TARGET_CONFLICT_V1"), "medium"),
-        _site_finding(base.where(listed & (F.size("redirects") > 0)), F.lit("SITEMAP_URL_REDIRECTS_V1"), "low"),
-        _site_finding(titled.join(again, ["site", "key"], "left_semi"), F.lit("DUPLICATE_TITLE_IN_AUDITED_SET_V1"), "low", TITLE_REFS, by=("key",)),
-        _site_finding(ends.withColumn("rule_text", F.lit(None).cast("string")), F.lit("AUDITED_INTERNAL_LINK_TARGET_ERROR_V1"), "high"),
-        _site_finding(base.where(F.col("sitemap_complete") & (F.col("valid_sitemaps") > 0) & F.array_contains("sources", "link") & ~listed & (F.col("url") != document_url(F.col("root")))), F.lit("NOT_OBSERVED_IN_COMPLETE_SITEMAP_SET_V1"), "low"),
-        _site_finding(base.where(F.col("crawl_complete") & (F.col("at") != document_url(F.col("root")))).join(incoming, ["site", "at"], "left_anti"), F.lit("UNLINKED_IN_COMPLETE_STATIC_CRAWL_V1"), "medium"),
-    ]
-    return reduce(DataFrame.unionByName, found)
+    base = site_pages(pages, sites)
+    on_page = base.select("*", F.inline(F.array_compact(F.array(*[F.when(F.expr(f"coalesce({when}, false)"), F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"))) for rule, (severity, when) in ON_PAGE.items()]))))
+    on_page = on_page.select("site", "origin", "rule", "severity", F.lit("").alias("group"), F.lit("").alias("text"), "ref", F.struct(F.col("ordinal").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0).cast("long").alias("c")).alias("place"))
+    titled = base.where("title_key IS NOT NULL")
+    again = titled.groupBy("site", "title_key").agg(F.count("*").alias("n")).where("n >= 2").select("site", "title_key")
+    same_title = titled.join(again, ["site", "title_key"])
+    edges = base.select("site", "origin", "ordinal", "ref", F.posexplode("links").alias("position", "target"))
+    broken = edges.join(base.where("status >= 400").select("site", F.col("at").alias("target"), F.col("ref").alias("target_ref")), ["site", "target"])
+    # a page is cited where it is first met, as a source or, right after its source, as a target
+    ends = broken.select("site", "origin", "ordinal", F.inline(F.array(F.struct("position", F.lit(0).alias("end"), "ref"), F.struct("position", F.lit(1).alias("end"), F.col("target_ref").alias("ref")))))
+    ends = ends.groupBy("site", "origin", "ref").agg(F.min(F.struct("ordinal", "position", "end")).alias("at")).select("site", "origin", "ref", "at.*")
+    unlinked = base.where("crawl_complete AND at <> root").join(edges.select("site", F.col("target").alias("at")).distinct(), ["site", "at"], "left_anti")
+    rows = [
+        on_page, _evidence(base.where("failed"), "PAGE_FETCH_FAILED_V1", "high", F.col("url"), F.concat(F.lit(":"), "url")),
+        _evidence(same_title, "DUPLICATE_TITLE_IN_AUDITED_SET_V1", "low", F.col("title_key"), F.concat(F.lit(":"), F.coalesce("title", F.lit("")))),
+        _evidence(ends, "AUDITED_INTERNAL_LINK_TARGET_ERROR_V1", "high", "", None, "ordinal", "position", "end"), _evidence(unlinked, "UNLINKED_IN_COMPLETE_STATIC_CRAWL_V1", "medium"),
+    ]
+    sitemaps = sites.where(F.size("bad_sitemaps") > 0).select(
+        "site", origin(F.col("root")).alias("origin"), F.lit("SITEMAP_FETCH_OR_PARSE_INCOMPLETE_V1").alias("rule"), F.lit("medium").alias("severity"), F.lit("").alias("group"), F.size("bad_sitemaps").cast("long").alias("pages"), F.lit("").alias("text"), F.col("bad_sitemaps").alias("evidence_refs"),
+    )
+    found = _cited(reduce(DataFrame.unionByName, rows)).unionByName(sitemaps)
+    rule_id = F.concat("rule", "text")
+    fid = F.concat(F.lit("finding_"), fingerprint(F.col("origin"), rule_id, F.array_join("evidence_refs", "\0")))
+    return found.select("site", fid.alias("finding_id"), rule_id.alias("rule_id"), "severity", "pages", "evidence_refs")
 
 
 def status_classes(pages: DataFrame, *by: str) -> DataFrame:
@@ -158,7 +191,7 @@ def sitemap_tree(roots: DataFrame, children: DataFrame, most: int = 20) -> DataF
     folder = F.regexp_extract(path(F.col("url")), "^(.*/)", 1)
     inside = children.where(in_scope(F.col("child"), F.col("url")) & F.startswith(path(F.col("child")), folder)).select("site", document_url(F.col("url")).alias("url"), document_url(F.col("child")).alias("child"), "position")
     level, depth = seen, 0
-    while level.take(1):
+    while level.agg(F.count("*")).first()[0]:
         depth += 1
         new = inside.join(level.select("site", "url", "ordinal"), ["site", "url"]).groupBy("site", F.col("child").alias("url")).agg(F.min(F.struct("ordinal", "position")).alias("at"))
         new = new.join(seen.select("site", "url"), ["site", "url"], "left_anti").join(seen.groupBy("site").agg(F.max("ordinal").alias("before")), "site")

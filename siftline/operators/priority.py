@@ -87,3 +87,9 @@ def first_recommendation(findings: DataFrame, recommendations: DataFrame) -> Dat
     refs = recommendations.select("ordinal", "action", F.explode("finding_refs").alias("finding_id"))
     first = refs.groupBy("finding_id").agg(F.min_by("action", "ordinal").alias("action"))
     return findings.join(first, "finding_id", "left")
+
+
+def details(findings: DataFrame, prioritized: DataFrame) -> DataFrame:
+    """Each finding with its place in the order, or nulls if it isn't among the first."""
+    place = prioritized.select("site", "finding_id", "rank", "category", "priority", "impressions", score(F.col("source"), F.col("priority")).alias("score"))
+    return findings.join(place, ["site", "finding_id"], "left")

@@ -6,8 +6,12 @@ States are versions of a table in a folder of their own; a pointer file, replace
 
 from __future__ import annotations
 
+import contextlib
+import time
 import uuid
+from collections.abc import Iterator
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,7 +32,7 @@ SYNCS = "site string, latest_run_id string, completed_at string, synced_at strin
 
 
 #: Names the current version. A leading underscore would hide it from readers.
-POINTER = "CURRENT"
+POINTER, LOCK, KEEP = "CURRENT", "LOCK", 3
 
 
 class OutOfOrder(ValueError):
@@ -174,31 +178,66 @@ def summary(state: DataFrame) -> DataFrame:
     return state.agg(F.count("*").alias("stored"), *of("status", STATUS_RANK), *of("observation_state", OBSERVATION_RANK))
 
 
-def write_version(state: DataFrame, folder: str) -> str:
-    """A new version beside the others; the pointer to it is replaced last, so readers see one or the other."""
-    spark = state.sparkSession
-    version = f"v-{uuid.uuid4().hex}"
+class Conflict(RuntimeError):
+    """Another writer holds the folder, or has replaced the version that this one began with."""
+
+
+def _hadoop(spark: SparkSession, folder: str, name: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+@contextlib.contextmanager
+def locked(spark: SparkSession, folder: str) -> Iterator[None]:
+    """One writer at a time: the lock is a file that only one can create. A writer that died leaves it; then it must be removed by hand."""
+    path, fs = _hadoop(spark, folder, LOCK)
+    try:
+        fs.create(path, False).close()
+    except Py4JJavaError as taken:
+        raise Conflict(f"{folder} is locked") from taken
+    try:
+        yield
+    finally:
+        fs.delete(path, False)
+
+
+def current_version(spark: SparkSession, folder: str) -> str | None:
+    path, fs = _hadoop(spark, folder, POINTER)
+    return spark.read.text(str(path.toString())).first()[0] if fs.exists(path) else None
+
+
+#: For an unconditional write.
+ANY = "*"
+
+
+def write_version(state: DataFrame, folder: str, expected: str | None = ANY, keep: int = KEEP) -> str:
+    """A new version beside the others; the pointer to it is replaced last, so readers see one or the other.
+
+    expected: the version that state was made from (None: there was none); Conflict if it isn't the current one any more. The last
+    ``keep`` versions stay, for readers that have begun.
+    """
+    spark, version = state.sparkSession, f"v-{time.time_ns():020d}-{uuid.uuid4().hex}"
     state.write.parquet(f"{folder}/{version}")
-    hadoop, context = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext
-    new, current = hadoop.Path(f"{folder}/CURRENT-{version}"), hadoop.Path(f"{folder}/{POINTER}")
-    out = new.getFileSystem(context._jsc.hadoopConfiguration()).create(new, True)
-    out.write(version.encode())
-    out.close()
-    rename = getattr(hadoop, "Options$Rename")
-    over = context._gateway.new_array(rename, 1)
-    over[0] = rename.OVERWRITE
-    hadoop.FileContext.getFileContext(new.toUri(), context._jsc.hadoopConfiguration()).rename(new, current, over)
+    with locked(spark, folder):
+        if expected != ANY and current_version(spark, folder) != expected:
+            raise Conflict(f"{folder} has another version than {expected}")
+        hadoop, context = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext
+        new, fs = _hadoop(spark, folder, f"{POINTER}-{version}")
+        out = fs.create(new, True)
+        out.write(version.encode())
+        out.close()
+        over = context._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
+        over[0] = getattr(hadoop, "Options$Rename").OVERWRITE
+        hadoop.FileContext.getFileContext(new.toUri(), context._jsc.hadoopConfiguration()).rename(new, hadoop.Path(f"{folder}/{POINTER}"), over)
+        versions = sorted(f.getPath().getName() for f in fs.listStatus(hadoop.Path(folder)) if f.getPath().getName().startswith("v-"))
+        for old in versions[: versions.index(version)][: -(keep - 1) or None]:
+            fs.delete(hadoop.Path(f"{folder}/{old}"), True)
     return version
 
 
 def read_version(spark: SparkSession, folder: str, schema: str = STATE) -> DataFrame:
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{POINTER}")
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return spark.createDataFrame([], schema)
-    version = spark.read.text(f"{folder}/{POINTER}").first()[0]
-    return spark.read.schema(schema).parquet(f"{folder}/{version}")
+    version = current_version(spark, folder)
+    return spark.createDataFrame([], schema) if version is None else spark.read.schema(schema).parquet(f"{folder}/{version}")
 
 
 def pairs_to_compare(state: DataFrame, runs: DataFrame) -> DataFrame:

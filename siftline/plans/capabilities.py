@@ -23,6 +23,16 @@ class CapabilityError(ValueError):
         self.code = code
 
 
+def listed_option(value: str | None, fallback: list[str]) -> list[str]:
+    """A list given as text: names between commas; "none" is an empty one, and nothing the fallback."""
+    if value is None or value == "none":
+        return list(fallback) if value is None else []
+    names = [x for x in map(str.strip, value.split(",")) if x]
+    if not names:
+        raise CapabilityError("INVALID_LIST", "a list of names can't be empty")
+    return names
+
+
 @dataclass(frozen=True)
 class Parameter:
     default: int | str
@@ -115,7 +125,7 @@ def site_crawl(inputs: dict, limit: int) -> dict[str, DataFrame]:
     audited = found.where("audited").join(facts.withColumn("url", crawl.document_url(F.col("requested_url"))), ["site", "url"], "left")
     if "error" not in audited.columns:
         audited = audited.withColumn("error", F.lit(None).cast("string"))
-    return {"discovered": found, "page_findings": audit["findings"].join(audited.select("page_id"), "page_id", "left_semi"), "site_findings": crawl.site_findings(audited, links.select("site", "page", "url"), inputs["sites"]), "statuses": crawl.status_classes(audited, "site")}
+    return {"discovered": found, "page_findings": audit["findings"].join(audited.select("page_id"), "page_id", "left_semi"), "site_findings": crawl.site_findings(audited, inputs["sites"]), "statuses": crawl.status_classes(audited, "site")}
 
 
 def audit_opportunities(inputs: dict, days: int, min_impressions: int, pages: int) -> dict[str, DataFrame]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siftline.functions.shared import checkpointed
+from siftline.functions.shared import checkpointed, scratch
 from siftline.operators import changes, compare, priority, queue_state, search
 from siftline.plans import queries_search, queries_site
 from siftline.sources import runs as saved
@@ -70,26 +70,99 @@ def page_changes(s, d):
     return compare.page_changes(pairs(s), seen).select("older", "newer", "url", "state", F.array_join("changed_fields", ",").alias("changed_fields"))
 
 
+def site_runs(s, d):
+    """Five runs of each site of v_site_fetches, not saved in the order of their numbers; two at one time."""
+    rows = view(s, d, "v_site_fetches").where("n < 5")
+    return rows.select(F.concat("site", F.lit("/"), F.col("n").cast("string")).alias("run_id"), "site", "n", F.concat(F.lit("2024-01-0"), ((F.col("n") * 3 + F.col("site_no")) % 5 % 4 + 1).cast("string")).alias("saved_at"))
+
+
 def latest_runs(s, d):
-    return compare.latest(audit(s, d)[0], 2).select("site", "run_id", "recency")
+    return compare.latest(site_runs(s, d), 2).select("site", "run_id", "recency")
+
+
+SITE_RUNS_SQL = with_views("v_site_fetches") + ", r AS (SELECT site || '/' || n AS run_id, site, site_no, n, '2024-01-0' || ((n * 3 + site_no) % 5 % 4 + 1) AS saved_at FROM v_site_fetches WHERE n < 5)"
+
 
+def latest_pairs(s, d):
+    return compare.latest_pairs(site_runs(s, d))
 
-SEARCH_FINDINGS = [("r1", "page_query", " Green Tea ", "https://a.example/x#f", None, "high"), ("r2", "page_query", "green tea", "https://a.example/x", None, "low"), ("r1", "cannibalization", "tea", None, ["https://a.example/2", "https://a.example/1"], "medium"),
-                   ("r2", "cannibalization", "tea", None, ["https://a.example/1", "https://a.example/3"], "medium"), ("r3", "page_query", "green tea", "https://a.example/x", None, "low"), ("r4", "page_query", "other", "https://a.example/x", None, "low")]
-SEARCH_RUNS = [("r1", "included", "sc", "g", True, 28), ("r2", "included", "sc", "g", True, 28), ("r3", "included", "sc", "g", False, 28), ("r4", "included", "sc", "g", True, 7)]
+
+RUN_NUMBERS = {"run-1": True, "run-2": True, "run-3": False}
+
+
+def search_evidence(s, d):
+    """Search findings of the three runs of v_run_findings, spelled in several ways, and what the runs' evidence is: the third isn't complete."""
+    rows = view(s, d, "v_run_findings").where("observed AND found")
+    query = F.concat(F.lit(" "), F.when(F.col("run_no") == 2, F.upper("rule_id")).otherwise(F.col("rule_id")))
+    findings = rows.select("run_id", F.lit("page_query").alias("kind"), query.alias("query"), F.concat("url", F.lit("#"), F.col("run_no").cast("string")).alias("page"), F.array().cast("array<string>").alias("competing_pages"), F.lit("medium").alias("priority"))
+    runs = s.createDataFrame([(r, "included", "sc", "g", whole, 28, 28, 28, 28) for r, whole in RUN_NUMBERS.items()], "run_id string, google_status string, gsc_site string, ga4_property string, google_complete boolean, gsc_days int, gsc_previous_days int, ga4_days int, ga4_previous_days int")
+    return findings, runs
 
 
 def compared_search(s, d):
-    findings = s.createDataFrame(SEARCH_FINDINGS, "run_id string, kind string, query string, page string, competing_pages array<string>, priority string")
-    runs = s.createDataFrame(SEARCH_RUNS, "run_id string, google_status string, gsc_site string, ga4_property string, google_complete boolean, gsc_days int").withColumns({c: F.col("gsc_days") for c in ("gsc_previous_days", "ga4_days", "ga4_previous_days")})
-    both = s.createDataFrame([("a", "r1", "r2"), ("a", "r2", "r3"), ("a", "r3", "r4")], "site string, older string, newer string")
-    return compare.compare_search(both, findings, runs).select("older", "newer", "kind", "state", F.replace("key", F.lit("\0"), F.lit("|")).alias("key"))
+    out = compare.compare_search(pairs(s), *search_evidence(s, d))
+    return out.select("older", "newer", "kind", "state", F.replace("key", F.lit("\0"), F.lit("|")).alias("key"))
+
+
+COMPARED_SEARCH_SQL = with_views("v_run_findings") + """, f AS (SELECT DISTINCT run_no, 'page_query|' || lower(rule_id) || '|' || url AS key FROM v_run_findings WHERE observed AND found), p(o, n, complete) AS (VALUES (1, 2, true), (2, 3, false))
+  SELECT 'run-' || o AS older, 'run-' || n AS newer, 'page_query' AS kind, CASE WHEN a AND b THEN 'persistent' WHEN a THEN 'no_longer_observed' ELSE 'newly_observed' END AS state, key
+  FROM (SELECT o, n, complete, key, bool_or(run_no = o) AS a, bool_or(run_no = n) AS b FROM p JOIN f ON run_no IN (o, n) GROUP BY ALL) WHERE complete OR (a AND b)"""
+
+
+def search_queue(s, d, upto=3):
+    """The queue's search half: after the first run the item of the least id is dismissed by hand and the next one planned."""
+    findings, evidence = search_evidence(s, d)
+    key = compare.search_key(F.col("kind"), F.col("query"), F.col("page"), F.col("competing_pages"))
+    state, syncs, outcomes = s.createDataFrame([], queue_state.STATE), s.createDataFrame([], queue_state.SYNCS), None
+    none = s.createDataFrame([], "site string, older string, key string, state string")
+    for k, (run_id, _) in enumerate(list(RUN_NUMBERS.items())[:upto], 1):
+        run = s.createDataFrame([("all", run_id, f"2024-01-{k:02d}T00:00:00Z")], "site string, run_id string, completed_at string")
+        derived = findings.where(F.col("run_id") == run_id).select(F.lit("all").alias("site"), F.lit("google").alias("source"), "kind", key.alias("comparison_key"), "priority")
+        both = queue_state.pairs_to_compare(state, run)
+        complete = evidence.select(F.col("run_id").alias("older"), F.lit(True).alias("comparable"))
+        absent = queue_state.absent_verdicts(none, compare.compare_search(both, findings, evidence), both.join(complete, "older").select("older", "comparable"), state)
+        state, syncs, outcomes = (checkpointed(x) for x in queue_state.sync(state, syncs, run, derived, absent, f"2024-01-{k:02d}T02:00:00Z"))
+        if k == 1:
+            for (least,), status in zip(state.select("id").orderBy("id").limit(2).collect(), ("dismissed", "planned"), strict=False):
+                state = queue_state.update_status(state, least, status, f" {status} by hand ", "2024-01-01T03:00:00Z")
+            state = checkpointed(state)
+    return state, syncs, outcomes
+
+
+def search_queue_rows(s, d):
+    return search_queue(s, d)[0].select("id", "status", "status_reason", "observation_state", "occurrences", "latest_run_id", "first_seen_at", F.size("history").cast("long").alias("events"), F.element_at("history", -1).event.alias("last_event"))
+
+
+SEARCH_QUEUE_SQL = with_views("v_run_findings") + """, f AS (SELECT lower(rule_id) AS rule, url, bool_or(run_no = 1) AS a, bool_or(run_no = 2) AS b, bool_or(run_no = 3) AS c FROM v_run_findings WHERE observed AND found GROUP BY 1, 2),
+  i AS (SELECT *, 'opp_' || substr(sha256('opportunity-v1' || chr(0) || 'all' || chr(0) || 'google' || chr(0) || 'page_query' || chr(0) || rule || chr(0) || url), 1, 24) AS id FROM f), m AS (SELECT *, CASE WHEN a THEN row_number() OVER (PARTITION BY a ORDER BY id) END AS nth FROM i)
+  SELECT id, CASE nth WHEN 1 THEN 'dismissed' WHEN 2 THEN 'planned' ELSE 'open' END AS status, CASE nth WHEN 1 THEN 'dismissed by hand' WHEN 2 THEN 'planned by hand' END AS status_reason, CASE WHEN c THEN 'present' ELSE 'unknown' END AS observation_state,
+  a::BIGINT + b::BIGINT + c::BIGINT AS occurrences, CASE WHEN c THEN 'run-3' WHEN b THEN 'run-2' ELSE 'run-1' END AS latest_run_id, CASE WHEN a THEN '2024-01-01T00:00:00Z' WHEN b THEN '2024-01-02T00:00:00Z' ELSE '2024-01-03T00:00:00Z' END AS first_seen_at,
+  a::BIGINT + (coalesce(nth, 9) <= 2)::BIGINT + (a OR b)::BIGINT + c::BIGINT AS events, CASE WHEN c AND (a OR b) THEN 'observed' WHEN c THEN 'created' WHEN a AND b THEN 'observed' WHEN b THEN 'created' ELSE 'not_observed' END AS last_event FROM m"""
+
+
+def dry_run(s, d):
+    """What the second run would do to the stored queue, and that nothing has been stored by asking."""
+    folder = scratch(s, "queue")
+    state, syncs, _ = search_queue(s, d, 1)
+    first = queue_state.write_version(state, folder, expected=None)
+    stored = queue_state.read_version(s, folder)
+    run = s.createDataFrame([("all", "run-2", "2024-01-02T00:00:00Z")], "site string, run_id string, completed_at string")
+    findings, _ = search_evidence(s, d)
+    key = compare.search_key(F.col("kind"), F.col("query"), F.col("page"), F.col("competing_pages"))
+    derived = findings.where("run_id = 'run-2'").select(F.lit("all").alias("site"), F.lit("google").alias("source"), "kind", key.alias("comparison_key"), "priority")
+    nothing = s.createDataFrame([], "site string, source string, comparison_key string, latest_run_id string, verdict string")
+    would = queue_state.changes(queue_state.sync(stored, syncs, run, derived, nothing, "2024-01-02T02:00:00Z")[2])
+    kept = queue_state.read_version(s, folder).agg(F.count("*").alias("stored"), F.max("occurrences").alias("occurrences"))
+    return would.join(kept).withColumn("same_version", F.lit(queue_state.current_version(s, folder) == first))  # one row
+
+
+DRY_RUN_SQL = SEARCH_QUEUE_SQL.partition(",\n  i AS")[0] + """ SELECT 'all' AS site, count(*) FILTER (WHERE b AND NOT a) AS created, count(*) FILTER (WHERE a AND b) AS updated, 0::BIGINT AS reopened, 0::BIGINT AS verified, 0::BIGINT AS not_observed, count(*) FILTER (WHERE a AND NOT b) AS unknown, 0::BIGINT AS unchanged,
+  count(*) FILTER (WHERE a) AS stored, 1::BIGINT AS occurrences, true AS same_version FROM f"""
 
 
 def queue(s, d, upto=3):
     """The queue after each run of page findings, in order; each state is written before the next run."""
     runs, seen, evidence, findings = audit(s, d)
-    findings = findings.where("rule_id NOT LIKE 'SITEMAP%'")
     snapshots = checkpointed(compare.technical_snapshots(findings, evidence, runs))
     state, syncs, outcomes = s.createDataFrame([], queue_state.STATE), s.createDataFrame([], queue_state.SYNCS), None
     for k in range(1, upto + 1):
@@ -106,11 +179,11 @@ def queue_rows(s, d):
     return state.select("kind", F.element_at(F.split("comparison_key", "\\x00"), 2).alias("url"), "id", "status", "observation_state", "occurrences", "first_seen_at", "last_seen_at", "latest_run_id", "verified_newer", F.size("history").cast("long").alias("events"))
 
 
-def _queue_sql():
+def _queue_sql(upto=3):
     """The machine run by run over each page and rule."""
-    out = with_views("v_run_findings") + """, p AS (SELECT rule_id, url, run_no, bool_or(found AND observed) AS present, bool_or(observed) AS seen FROM v_run_findings WHERE rule_id NOT LIKE 'SITEMAP%' GROUP BY ALL),
+    out = with_views("v_run_findings") + """, p AS (SELECT rule_id, CASE WHEN rule_id LIKE 'SITEMAP%' THEN 'https://shop.example.com/' ELSE url END AS url, run_no, bool_or(found AND observed) AS present, bool_or(observed OR rule_id LIKE 'SITEMAP%') AS seen FROM v_run_findings GROUP BY ALL),
   s0 AS (SELECT DISTINCT rule_id, url, NULL::VARCHAR AS status, NULL::VARCHAR AS obs, 0::BIGINT AS occ, NULL::VARCHAR AS first, NULL::VARCHAR AS last, NULL::VARCHAR AS run, NULL::VARCHAR AS vnew, 0::BIGINT AS events FROM p)"""
-    for k in range(1, 4):
+    for k in range(1, upto + 1):
         at = f"'2024-01-{k:02d}T00:00:00Z'"
         out += f""", j{k} AS (SELECT s.*, p.present, CASE WHEN p.present THEN CASE WHEN status IS NULL THEN 'new' ELSE 'again' END WHEN status IS NULL THEN 'none'
     WHEN p.seen THEN CASE WHEN obs = 'not_observed' AND vnew IS NOT NULL THEN 'none' ELSE 'verified' END WHEN obs = 'unknown' THEN 'none' ELSE 'unknown' END AS o FROM s{k - 1} s JOIN p ON p.rule_id = s.rule_id AND p.url = s.url AND p.run_no = {k}),
@@ -118,30 +191,59 @@ def _queue_sql():
     CASE WHEN present THEN 'present' WHEN o = 'verified' THEN 'not_observed' WHEN o = 'unknown' THEN 'unknown' ELSE obs END AS obs, occ + present::BIGINT AS occ, CASE WHEN o = 'new' THEN {at} ELSE first END AS first,
     CASE WHEN present THEN {at} ELSE last END AS last, CASE WHEN present THEN 'run-{k}' ELSE run END AS run, CASE WHEN present THEN NULL WHEN o = 'verified' THEN 'run-{k}' ELSE vnew END AS vnew, events + (o <> 'none')::BIGINT AS events FROM j{k})"""
     return out + """ SELECT rule_id AS kind, url, 'opp_' || substr(sha256('opportunity-v1' || chr(0) || 'all' || chr(0) || 'technical' || chr(0) || rule_id || chr(0) || url), 1, 24) AS id, status, obs AS observation_state, occ AS occurrences,
-  first AS first_seen_at, last AS last_seen_at, run AS latest_run_id, vnew AS verified_newer, events FROM s3 WHERE status IS NOT NULL"""
+  first AS first_seen_at, last AS last_seen_at, run AS latest_run_id, vnew AS verified_newer, events FROM s""" + f"{upto} WHERE status IS NOT NULL"
 
 
-CHANGES = [("c1", "2024-01-02", "opp_1", "https://a.example/", ["https://a.example/x#1", "https://a.example/x#2"], "content", None), ("c2", "2024-01-03", "opp_2", "https://a.example/", ["https://a.example/y"], "metadata", "0" * 64), ("c3", "2024-01-04", "opp_1", "https://a.example/", ["https://a.example/z"], "content", "xyz"),
-           ("c4", "2024-01-05", "opp_9", "https://a.example/", ["ftp://a.example/z"], "other", None), ("c5", "2024-01-05", "opp_1", "https://a.example/", ["https://a.example/x"], "rewrite", None)]
+KINDS = (*changes.TYPES, "rewrite")
 
 
-def change_rows(s):
-    rows = s.createDataFrame(CHANGES, "id string, recorded_at string, opportunity_id string, site string, urls array<string>, type string, before_content_hash string")
-    return rows.withColumns({c: F.lit(None).cast("string") for c in ("git_commit", "deployment_ref", "after_content_hash", "note")}).withColumn("concurrent_changes", F.array().cast("array<string>"))
+def change_rows(s, d):
+    """A record for each page: documents spelled twice, kinds and digests of which some are none, and URLs that aren't http(s)."""
+    rows, n = view(s, d, "v_site_fetches"), F.col("page_id")
+    urls = F.array(F.concat("url", F.lit("#1")), F.concat("url", F.lit("#2")), F.when(n % 11 == 10, F.lit("ftp://x/")).otherwise(F.concat(F.lit("https://"), "site", F.lit("/"))))
+    out = rows.select(
+        F.concat(F.lit("c"), n.cast("string")).alias("id"), F.concat(F.lit("2024-01-"), F.lpad((n % 28 + 1).cast("string"), 2, "0")).alias("recorded_at"), F.concat(F.lit("opp_"), (n % 50).cast("string")).alias("opportunity_id"), F.concat(F.lit("https://"), "site", F.lit("/")).alias("site"),
+        urls.alias("urls"), F.element_at(F.array(*[F.lit(x) for x in KINDS]), (n % len(KINDS) + 1).cast("int")).alias("type"), F.when(n % 9 == 0, "xyz").when(n % 9 == 1, "0" * 64).alias("before_content_hash"),
+    )
+    return out.withColumns({c: F.lit(None).cast("string") for c in ("git_commit", "deployment_ref", "after_content_hash", "note")}).withColumn("concurrent_changes", F.array().cast("array<string>"))
 
 
 def change_list(s, d):
-    good, _ = changes.prepared(change_rows(s))
-    return changes.listed(good, url="https://a.example/x#any").unionByName(changes.listed(good, opportunity_id="opp_2")).select("id", F.array_join("urls", " ").alias("urls"), "type")
+    """The newest of one document's changes, which all pages of its site share, and of one opportunity's."""
+    good, _ = changes.prepared(change_rows(s, d))
+    return changes.listed(good, url="https://s0.example/#any").unionByName(changes.listed(good, opportunity_id="opp_2")).select("id", F.array_join("urls", " ").alias("urls"), "type", "additional_urls")
 
 
 def change_rejects(s, d):
-    return changes.prepared(change_rows(s))[1].select("id", F.size("problems").alias("problems"))
+    return changes.prepared(change_rows(s, d))[1].select("id", F.concat_ws("; ", "problems").alias("problems"))
+
+
+def change_store(s, d):
+    """Half of the records are stored first, then all: those that are there stay as they are, and rejects don't get in."""
+    folder, rows = scratch(s, "changes"), change_rows(s, d)
+    changes.save(rows.where("recorded_at < '2024-01-15'"), folder)
+    changes.save(rows.withColumn("note", F.lit("later")), folder)
+    return changes.read(s, folder).select("id", "recorded_at", "type", F.size("urls").alias("documents"), "note")
+
+
+CHANGES_SQL = with_views("v_site_fetches") + f""", c AS (SELECT page_id, 'c' || page_id AS id, '2024-01-' || lpad((page_id % 28 + 1)::VARCHAR, 2, '0') AS recorded_at, 'opp_' || page_id % 50 AS opportunity_id, site, url, ({list(KINDS)!r})[page_id % 8 + 1] AS type,
+  concat_ws('; ', CASE WHEN page_id % 8 = 7 THEN 'unknown type' END, CASE WHEN page_id % 9 = 0 THEN 'before_content_hash is no SHA-256' END, CASE WHEN page_id % 11 = 10 THEN 'a url is not http(s)' END) AS problems,
+  CASE WHEN n = 0 THEN url ELSE url || ' https://' || site || '/' END AS urls, CASE WHEN n = 0 THEN 1 ELSE 2 END AS documents FROM v_site_fetches)"""
+
+
+def run_store(s, d):
+    """Runs are saved twice, the second time with other texts and some new ones; then damaged copies get in beside them."""
+    folder, rows = scratch(s, "runs"), site_runs(s, d)
+    audits = rows.select("run_id", "saved_at", F.col("saved_at").alias("completed_at"), "site", F.lit("first").alias("config"))
+    saved.save(audits.where("run_id NOT LIKE '%/4'"), folder)
+    saved.save(audits.withColumn("config", F.lit("second")), folder)
+    damaged = saved.as_runs(rows.where("n = 0").select(F.concat("run_id", F.lit("-bad")).alias("run_id"), "saved_at", F.col("saved_at").alias("completed_at"), "site"))
+    damaged.withColumn("audit", F.concat("audit", F.lit("}"))).write.mode("append").partitionBy("site_key").parquet(folder)
+    return saved.checked(saved.read(s, folder))
 
 
 def stored_runs(s, d):
-    runs = audit(s, d)[0]
-    return saved.listed(saved.checked(saved.as_runs(runs.select("run_id", "saved_at", "completed_at", "site", "url", "config")))).select("run_id", "saved_at", (F.col("bytes") > 0).alias("stored"), F.col("warning").isNull().alias("sound"))
+    return run_store(s, d).select("run_id", "site", "saved_at", F.get_json_object("audit", "$.config").alias("config"), "warning")
 
 
 UNIFIED_SQL = queries_search.CANDIDATES.replace("WITH v_gsc AS", queries_site.FINDINGS_SQL + ", v_gsc AS", 1).replace("), found AS (\n  SELECT *, concat_ws", "), sfound AS (\n  SELECT *, concat_ws").replace("AS rank FROM found WHERE signals", "AS rank FROM sfound WHERE signals")
@@ -152,6 +254,18 @@ UNIFIED_SQL += r""", c AS (
   UNION ALL SELECT 'finding_page_' || rank, 'google-opportunity', 'search-performance', priority, impressions, page, CASE priority WHEN 'high' THEN 2 WHEN 'medium' THEN 4 ELSE 6 END FROM ranked WHERE rank <= 25)"""
 _RANKED = " SELECT row_number() OVER (ORDER BY score, impressions DESC, finding_id)::INT AS rank, finding_id, source, category, priority, urls FROM c {where} QUALIFY rank <= {top}"
 
+def priority_details(s, d):
+    """Every technical finding with its place among the first 100, if it has one."""
+    found = priority.candidates(technical(s, d), search_findings(s, d))
+    return priority.details(technical(s, d).select("site", "finding_id", "rule_id").distinct(), priority.ranked(found, 100)).select("finding_id", "rule_id", F.col("rank").cast("double").alias("rank"), "category", F.col("score").cast("double").alias("score"))
+
+
+def both_sources(s, d):
+    """One queue of technical and search items: how many of each source are in which state."""
+    state = queue(s, d, 2)[0].unionByName(search_queue(s, d, 2)[0])
+    return state.groupBy("source", "status", "observation_state").agg(F.count("*").alias("items"))
+
+
 QUERIES = {
     "w3_t10_f22_f23_unified_priority": unified,
     "p9_focus_indexing": lambda s, d: unified(s, d, "indexing", 50),
@@ -166,9 +280,16 @@ QUERIES = {
     "a20_queue_summary": lambda s, d: queue_state.summary(queue(s, d)[0]),
     "p10_t12_queue_list": lambda s, d: queue_state.listed(queue(s, d)[0], limit=100).select("id", "status", "observation_state", "last_seen_at"),
     "t13_affected": lambda s, d: queue_state.affected(queue(s, d)[2]).select("id", "outcome"),
+    "w5_latest_pairs": latest_pairs,
+    "st7_j14_search_queue": search_queue_rows,
+    "st8_dry_run": dry_run,
+    "j12_priority_details": priority_details,
+    "u2_t12_both_sources": both_sources,
     "p11_t15_changes": change_list,
     "f26_change_rejects": change_rejects,
-    "s16_t14_saved_runs": stored_runs,
+    "s18_change_store": change_store,
+    "s15_s16_run_store": stored_runs,
+    "t14_saved_runs": lambda s, d: saved.listed(run_store(s, d)).select("run_id", "saved_at"),
 }
 
 
@@ -195,16 +316,25 @@ ORACLES = {
   o AS (SELECT pairs.*, url, status, hash FROM pairs JOIN p ON run_id = older), n AS (SELECT pairs.*, url, status, hash FROM pairs JOIN p ON run_id = newer)
   SELECT older, newer, url, CASE WHEN o.status IS NULL THEN 'newly_observed' WHEN n.status IS NULL THEN 'not_observed_in_newer' ELSE 'compared' END AS state,
   CASE WHEN o.status IS NOT NULL AND n.status IS NOT NULL THEN concat_ws(',', CASE WHEN o.status <> n.status THEN 'status' END, CASE WHEN o.hash <> n.hash THEN 'content_hash' END) END AS changed_fields FROM o FULL JOIN n USING (older, newer, url)""",
-    "w5_latest_runs": "SELECT * FROM (VALUES ('all', 'run-3', 1), ('all', 'run-2', 2)) t(site, run_id, recency)",
-    "j10_compare_search": """SELECT * FROM (VALUES ('r1', 'r2', 'page_query', 'persistent', 'page_query|green tea|https://a.example/x'), ('r1', 'r2', 'cannibalization', 'no_longer_observed', 'cannibalization|tea||https://a.example/1|https://a.example/2'),
-  ('r1', 'r2', 'cannibalization', 'newly_observed', 'cannibalization|tea||https://a.example/1|https://a.example/3'), ('r2', 'r3', 'page_query', 'persistent', 'page_query|green tea|https://a.example/x')) t(older, newer, kind, state, key)""",
+    "w5_latest_runs": SITE_RUNS_SQL + " SELECT site, run_id, (row_number() OVER (PARTITION BY site ORDER BY saved_at DESC, run_id DESC))::INT AS recency FROM r QUALIFY recency <= 2",
+    "w5_latest_pairs": SITE_RUNS_SQL + ", k AS (SELECT site, run_id, row_number() OVER (PARTITION BY site ORDER BY saved_at DESC, run_id DESC) AS recency FROM r) SELECT a.site, b.run_id AS older, a.run_id AS newer FROM k a JOIN k b ON a.site = b.site AND a.recency = 1 AND b.recency = 2",
+    "j10_compare_search": COMPARED_SEARCH_SQL,
+    "st7_j14_search_queue": SEARCH_QUEUE_SQL,
+    "st8_dry_run": DRY_RUN_SQL,
+    "j12_priority_details": UNIFIED_SQL + ", r AS (SELECT *, row_number() OVER (ORDER BY score, impressions DESC, finding_id)::INT AS rank FROM c QUALIFY rank <= 100) SELECT DISTINCT f.finding_id, f.rule_id, r.rank::DOUBLE AS rank, r.category, r.score::DOUBLE AS score FROM found f LEFT JOIN r ON r.finding_id = f.finding_id",
+    "u2_t12_both_sources": "WITH q AS (" + _queue_sql(2) + "), g AS (" + SEARCH_QUEUE_SQL.rpartition("  SELECT id, CASE nth")[0] + """ SELECT b, CASE nth WHEN 1 THEN 'dismissed' WHEN 2 THEN 'planned' ELSE 'open' END AS status FROM m WHERE a OR b) SELECT 'technical' AS source, status, observation_state, count(*) AS items FROM q GROUP BY ALL
+  UNION ALL SELECT 'google', status, CASE WHEN b THEN 'present' ELSE 'not_observed' END, count(*) FROM g GROUP BY ALL""",
     "st4_j14_queue_states": _STATE,
     "st5_repeat_sync": "SELECT * FROM (VALUES ('run-1', 'late'), ('run-2', 'repeat'), ('run-3', 'sync')) t(run_id, action)",
     "a20_queue_summary": f"WITH q AS ({_STATE}) SELECT count(*) AS stored, " + ", ".join(f"count(*) FILTER (WHERE status = '{x}') AS {x}" for x in queue_state.STATUS_RANK) + ", " + ", ".join(f"count(*) FILTER (WHERE observation_state = '{x}') AS {x}" for x in queue_state.OBSERVATION_RANK) + " FROM q",
     "p10_t12_queue_list": f"WITH q AS ({_STATE}) SELECT id, status, observation_state, last_seen_at FROM q WHERE status IN ('open', 'planned') AND observation_state = 'present' ORDER BY last_seen_at DESC, id LIMIT 100",
     "t13_affected": _STATE.rpartition(" SELECT rule_id AS kind")[0] + """ SELECT 'opp_' || substr(sha256('opportunity-v1' || chr(0) || 'all' || chr(0) || 'technical' || chr(0) || rule_id || chr(0) || url), 1, 24) AS id,
   CASE o WHEN 'new' THEN 'created' WHEN 'again' THEN CASE WHEN status = 'verified' THEN 'reopened' ELSE 'updated' END ELSE o END AS outcome FROM j3 WHERE o <> 'none' ORDER BY 1 LIMIT 20""",
-    "p11_t15_changes": "SELECT * FROM (VALUES ('c1', 'https://a.example/x', 'content'), ('c2', 'https://a.example/y', 'metadata')) t(id, urls, type)",
-    "f26_change_rejects": "SELECT * FROM (VALUES ('c3', 1), ('c4', 1), ('c5', 1)) t(id, problems)",
-    "s16_t14_saved_runs": "SELECT * FROM (VALUES ('run-1', '2024-01-01T01:00:00Z', true, true), ('run-2', '2024-01-02T01:00:00Z', true, true), ('run-3', '2024-01-03T01:00:00Z', true, true)) t(run_id, saved_at, stored, sound)",
+    "p11_t15_changes": CHANGES_SQL + """, l AS (SELECT * FROM c WHERE problems = '') SELECT id, urls, type, 0 AS additional_urls FROM (SELECT * FROM l WHERE site = 's0.example' ORDER BY recorded_at DESC, id DESC LIMIT 20)
+  UNION ALL SELECT id, urls, type, 0 FROM (SELECT * FROM l WHERE opportunity_id = 'opp_2' ORDER BY recorded_at DESC, id DESC LIMIT 20)""",
+    "f26_change_rejects": CHANGES_SQL + " SELECT id, problems FROM c WHERE problems <> ''",
+    "s18_change_store": CHANGES_SQL + " SELECT id, recorded_at, type, documents, CASE WHEN recorded_at >= '2024-01-15' THEN 'later' END AS note FROM c WHERE problems = ''",
+    "s15_s16_run_store": SITE_RUNS_SQL + """ SELECT run_id, site, saved_at, CASE WHEN n = 4 THEN 'second' ELSE 'first' END AS config, NULL::VARCHAR AS warning FROM r
+  UNION ALL SELECT run_id || '-bad', site, saved_at, NULL, 'run ' || run_id || '-bad is damaged' FROM r WHERE n = 0""",
+    "t14_saved_runs": SITE_RUNS_SQL + " SELECT run_id, saved_at FROM (SELECT run_id, saved_at FROM r UNION ALL SELECT run_id || '-bad', saved_at FROM r WHERE n = 0) ORDER BY saved_at DESC, run_id DESC LIMIT 20",
 }

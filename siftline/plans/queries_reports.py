@@ -4,12 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from siftline.functions.shared import checkpointed
 from siftline.operators import changes, coverage, crawl, html_facts, page_rules, priority
 from siftline.plans import queries_audit, queries_site
 from siftline.sources import reports
-from siftline.sources.adapters import view, with_views
+from siftline.sources.adapters import table, view, with_views
 
-NUMBERS = {"12": 12.0, " 1.5e2 ": 150.0, "": 0.0, "abc": 0.0, "1d": 0.0, "Infinity": 0.0, "0x10": 16.0, "-.5": -0.5, "1.": 1.0, "NaN": 0.0, "1,000": 0.0}
+SPELLED = """CASE l_orderkey % 11 WHEN 0 THEN CAST(l_linenumber AS VARCHAR(9)) WHEN 1 THEN concat(' ', CAST(l_linenumber AS VARCHAR(9)), '.5e2 ') WHEN 2 THEN '' WHEN 3 THEN concat('abc', CAST(l_linenumber AS VARCHAR(9))) WHEN 4 THEN concat(CAST(l_linenumber AS VARCHAR(9)), 'd')
+  WHEN 5 THEN 'Infinity' WHEN 6 THEN concat('0x1', CAST(l_linenumber AS VARCHAR(9))) WHEN 7 THEN concat('-.', CAST(l_linenumber AS VARCHAR(9))) WHEN 8 THEN concat(CAST(l_linenumber AS VARCHAR(9)), '.') WHEN 9 THEN 'NaN' ELSE concat(CAST(l_linenumber AS VARCHAR(9)), ',000') END"""
+
+
+def numbers(s, d):
+    """Each line's number, spelled in one of eleven ways."""
+    rows = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.expr(SPELLED.replace("VARCHAR(9)", "STRING")).alias("text"))
+    return rows.groupBy("text").agg(F.sum(reports.number_or_zero(F.col("text"))).alias("number"), F.count("*").alias("rows"))
 
 
 def raw_analytics(s, d):
@@ -20,15 +28,17 @@ def raw_analytics(s, d):
                        F.struct(F.array("landing_page", "host_name").alias("dimension_values"), F.array(F.col("engaged_sessions").cast("string"), spelled).alias("metric_values")).alias("row"))
 
 
-REDIRECTS = [
-    ("https://a.example/", ["https://www.a.example/x"], True), ("https://a.example/", ["http://a.example/"], False), ("http://a.example/", ["https://a.example/"], True), ("https://a.example/", ["https://b.example/"], False),
-    ("https://a.example/", ["https://a.example/1", "https://a.example/#top"], False), ("https://a.example/", [], True), ("https://a.example/", [f"https://a.example/{i}" for i in range(6)], False),
-]
-
-
 def redirects(s, d):
-    rows = s.createDataFrame([(i, u, [(u, 301, x) for x in hops]) for i, (u, hops, _) in enumerate(REDIRECTS)], "n int, url string, redirects array<struct<url:string,status:int,location:string>>")
-    return rows.select("n", reports.redirects_admissible(F.col("url"), F.col("redirects")).alias("admissible"))
+    """Seven kinds of chains that begin at each page."""
+    rows, k = view(s, d, "v_site_fetches"), F.col("page_id") % 7
+    at = lambda start, end: F.concat(F.lit(start), F.col("site"), F.lit(end))
+    chain = (
+        F.when(k == 0, F.array(at("https://www.", "/x"))).when(k == 1, F.array(at("http://", "/"))).when(k == 2, F.array(at("https://", "/b"), at("https://", "/c"))).when(k == 3, F.array(at("https://b.", "/")))
+        .when(k == 4, F.array(at("https://", "/x1"), F.concat("url", F.lit("#top")))).when(k == 5, F.array().cast("array<string>"))
+        .otherwise(F.transform(F.sequence(F.lit(1), F.lit(6)), lambda i: F.concat(at("https://", "/h"), i.cast("string"))))
+    )
+    hops = F.transform(chain, lambda x: F.struct(F.col("url").alias("url"), F.lit(301).alias("status"), x.alias("location")))
+    return rows.select("page_id", reports.redirects_admissible(F.col("url"), hops).alias("admissible"))
 
 
 def site_edges(s, d):
@@ -51,13 +61,17 @@ def coverage_parts(s, d):
 
 
 def reasons(s, d):
-    rows = s.createDataFrame([("final", None, ""), ("all", "2024-01-01", None), ("hourly_all", None, "5")], "state string, day string, hour string")
-    return rows.select("state", F.concat_ws("; ", coverage.gsc_reasons(F.col("state"), F.col("day"), F.col("hour"))).alias("gsc"), F.concat_ws("; ", coverage.ga4_reasons(F.col("state") == "all", F.col("state") != "final")).alias("ga4"))
+    """Each page as an answer of a source: its state, and where it is said to be incomplete."""
+    rows, n = view(s, d, "v_fetches"), F.col("page_id")
+    rows = rows.select("page_id", F.element_at(F.array(F.lit("final"), F.lit("all"), F.lit("hourly_all")), (n % 3 + 1).cast("int")).alias("state"), F.when(n % 3 == 1, F.concat(F.lit("2024-01-"), n.cast("string"))).alias("day"), F.when(n % 3 == 2, n.cast("string")).when(n % 3 == 0, "").alias("hour"))
+    return rows.select("page_id", F.concat_ws("; ", coverage.gsc_reasons(F.col("state"), F.col("day"), F.col("hour"))).alias("gsc"), F.concat_ws("; ", coverage.ga4_reasons(F.col("state") == "all", F.col("state") != "final")).alias("ga4"))
 
 
 def inventory(s, d):
-    rows = s.createDataFrame([("accounts/1", "One", [("properties/1", "a"), ("properties/2", "b")]), ("accounts/2", "Two", []), ("accounts/3", "Three", None)], "account string, name string, properties array<struct<property:string,name:string>>")
-    return reports.inventory(rows)
+    """Regions as accounts with their nations as properties; regions with an odd key have none on record."""
+    nations = table(s, d, "nation").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.collect_list(F.struct(F.concat(F.lit("properties/"), F.col("n_nationkey").cast("string")).alias("property"), F.col("n_name").alias("name"))).alias("properties"))
+    accounts = table(s, d, "region").join(nations, "r_regionkey", "left")
+    return reports.inventory(accounts.select(F.concat(F.lit("accounts/"), F.col("r_regionkey").cast("string")).alias("account"), F.col("r_name").alias("name"), F.when(F.col("r_regionkey") % 2 == 0, F.col("properties")).alias("properties")))
 
 
 def first_wins(s, d):
@@ -68,14 +82,14 @@ def first_wins(s, d):
 
 
 def citing(s, d):
-    found = queries_site.site_rules(s, d).select("finding_id", F.split("evidence_refs", ",").alias("evidence_refs"), "rule_id").where("NOT rule_id LIKE 'DUPLICATE%' AND NOT rule_id LIKE 'AUDITED%'")
+    found = queries_site.site_rules(s, d).select("finding_id", F.split("evidence_refs", ",").alias("evidence_refs"))
     return priority.findings_of_pages(found).select("ref", F.size("finding_refs").alias("findings"))
 
 
 def actions(s, d):
-    """The first recommendation that refers to a finding counts."""
-    found = queries_site.found(s, d).select("finding_id", "rule_id")
-    given = found.groupBy("rule_id").agg(F.collect_list("finding_id").alias("finding_refs")).select(F.lit(1).alias("ordinal"), F.concat(F.lit("look at "), "rule_id").alias("action"), "finding_refs")
+    """The first recommendation that refers to a finding counts; each refers to one finding."""
+    found = checkpointed(queries_site.found(s, d).select("finding_id", "rule_id"))
+    given = found.select(F.lit(1).alias("ordinal"), F.concat(F.lit("look at "), "rule_id").alias("action"), F.array("finding_id").alias("finding_refs"))
     late = given.select(F.lit(2).alias("ordinal"), F.lit("too late").alias("action"), "finding_refs")
     return priority.first_recommendation(found, given.unionByName(late)).select("finding_id", "action")
 
@@ -88,8 +102,10 @@ def noindex(s, d):
 
 
 def with_queue(s, d):
-    good, _ = changes.prepared(queries_audit.change_rows(s))
-    queue = s.createDataFrame([("opp_1", "planned", "present"), ("opp_3", "open", "unknown")], "id string, status string, observation_state string")
+    """Change records beside the queue's opportunities, of which every third is not on record any more."""
+    good, _ = changes.prepared(queries_audit.change_rows(s, d))
+    n = F.col("n")
+    queue = view(s, d, "v_site_fetches").where("n % 3 <> 0").select("n").distinct().select(F.concat(F.lit("opp_"), n.cast("string")).alias("id"), F.when(n % 2 == 0, "planned").otherwise("open").alias("status"), F.lit("present").alias("observation_state"))
     return changes.with_opportunities(good, queue).select("id", "opportunity_id", "opportunity_status", "observation_state")
 
 
@@ -99,11 +115,11 @@ def fetch_digests(s, d):
 
 
 def sources_of_pages(s, d):
-    """Members of the sitemap, of the links, and of either alone, by set operations."""
-    p = queries_site.site_pages(s, d)
-    listed, linked = (p.where(F.array_contains("sources", x)).select("site") for x in ("sitemap", "link"))
-    part = lambda df, name: df.select("site", F.lit(name).alias("part"))
-    return part(listed.intersect(linked), "both").unionByName(part(listed.distinct().exceptAll(linked.distinct()), "sitemap_only")).unionByName(part(linked.distinct().exceptAll(listed.distinct()), "link_only"))
+    """Pages in both the sitemap and the links, or in either alone, by set operations."""
+    p = queries_site.site_pages(s, d).select("site", "url", "sources")
+    listed, linked = (p.where(F.array_contains("sources", x)).select("site", "url") for x in ("sitemap", "link"))
+    part = lambda df, name: df.withColumn("part", F.lit(name))
+    return part(listed.intersect(linked), "both").unionByName(part(listed.exceptAll(linked), "sitemap_only")).unionByName(part(linked.exceptAll(listed), "link_only"))
 
 
 QUERIES = {
@@ -113,7 +129,7 @@ QUERIES = {
     "s10_incomplete_reasons": reasons,
     "s11_fetch_digests": fetch_digests,
     "p15_redirects": redirects,
-    "f_number_or_zero": lambda s, d: s.createDataFrame([(x,) for x in NUMBERS], "text string").select("text", reports.number_or_zero(F.col("text")).alias("number")),
+    "f_number_or_zero": numbers,
     "a21_u4_combined_coverage": coverage_parts,
     "a22_u1_first_wins": first_wins,
     "j5_broken_links": broken_links,
@@ -122,27 +138,29 @@ QUERIES = {
     "j13_citing_findings": citing,
     "j15_changes_with_queue": with_queue,
     "f9_f8_noindex_variants": noindex,
-    "a23_first_title": lambda s, d: queries_site.fetches(s, d).select("page_id", html_facts.first_title(F.col("facts.titles")).alias("title")).where("title = 'again'"),
+    "a23_first_title": lambda s, d: queries_site.fetches(s, d).select("page_id", html_facts.first_title(F.col("facts.titles")).alias("title")),
 }
 _GA4 = with_views("v_ga4")
 ORACLES = {
     "p6_s5_analytics_rows": _GA4 + " SELECT host_name, landing_page, '' AS source, CASE WHEN sessions % 5 = 0 THEN 0 ELSE sessions END AS sessions, engaged_sessions, 0.0::DOUBLE AS key_events, 0.0::DOUBLE AS total_users FROM v_ga4",
     "s6_search_rows": with_views("v_gsc") + " SELECT clicks, impressions, query, page FROM v_gsc",
-    "s7_inventory": "SELECT * FROM (VALUES ('accounts/1', 'One', 'properties/1', 'a'), ('accounts/1', 'One', 'properties/2', 'b')) t(account, account_name, property, property_name)",
-    "s10_incomplete_reasons": """SELECT * FROM (VALUES ('final', '', ''), ('all', 'dataState=all can include incomplete data; first incomplete date: 2024-01-01', 'the source applied thresholds; the source put rows together in an (other) row'),
-  ('hourly_all', 'dataState=hourly_all can include incomplete data; first incomplete hour: 5', 'the source put rows together in an (other) row')) t(state, gsc, ga4)""",
+    "s7_inventory": "SELECT 'accounts/' || r_regionkey AS account, r_name AS account_name, 'properties/' || n_nationkey AS property, n_name AS property_name FROM region JOIN nation ON n_regionkey = r_regionkey WHERE r_regionkey % 2 = 0",
+    "s10_incomplete_reasons": with_views("v_fetches") + """ SELECT page_id, CASE page_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'dataState=all can include incomplete data; first incomplete date: 2024-01-' || page_id ELSE 'dataState=hourly_all can include incomplete data; first incomplete hour: ' || page_id END AS gsc,
+  CASE page_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'the source applied thresholds; the source put rows together in an (other) row' ELSE 'the source put rows together in an (other) row' END AS ga4 FROM v_fetches""",
     "s11_fetch_digests": with_views("v_fetches") + " SELECT page_id, strlen(html)::BIGINT AS byte_length, sha256(html) AS sha256 FROM v_fetches",
-    "p15_redirects": "SELECT * FROM (VALUES " + ", ".join(f"({i}, {str(ok).lower()})" for i, (_, _, ok) in enumerate(REDIRECTS)) + ") t(n, admissible)",
-    "f_number_or_zero": "SELECT * FROM (VALUES " + ", ".join(f"('{k}', {v}::DOUBLE)" for k, v in NUMBERS.items()) + ") t(text, number)",
+    "p15_redirects": with_views("v_site_fetches") + " SELECT page_id, page_id % 7 IN (0, 2, 5) AS admissible FROM v_site_fetches",
+    "f_number_or_zero": f"""WITH t AS (SELECT l_orderkey % 11 AS k, l_linenumber AS n, {SPELLED} AS text FROM lineitem)
+  SELECT text, sum(CASE k WHEN 0 THEN n WHEN 1 THEN (n + 0.5) * 100 WHEN 6 THEN 16 + n WHEN 7 THEN -n / 10.0 WHEN 8 THEN n ELSE 0 END)::DOUBLE AS number, count(*) AS rows FROM t GROUP BY 1""",
     "a21_u4_combined_coverage": with_views("v_fetches") + """ SELECT substr(requested_url, 1, 5) AS source, count(*) AS requested, count(*) FILTER (WHERE status = 200) AS observed, CASE WHEN bool_or(page_id % 40 = 0) THEN NULL ELSE 0 END::BIGINT AS omitted, bool_or(page_id = 3) AS truncated,
   bool_or(status <> 200) AS partial, coalesce(string_agg(DISTINCT status::VARCHAR, ',' ORDER BY status::VARCHAR) FILTER (WHERE status <> 200), '') AS incomplete_reasons FROM v_fetches GROUP BY 1""",
     "a22_u1_first_wins": queries_site.FINDINGS_SQL + " SELECT finding_id, min(rule_id) AS rule_id FROM found GROUP BY 1",
     "j5_broken_links": with_views("v_edges") + """, s AS (SELECT DISTINCT site, src FROM v_edges WHERE src % 6 = 5) SELECT e.site::VARCHAR AS site, 'https://s' || e.site || '.example/p' || e.src AS page, 'https://s' || e.site || '.example/p' || e.dst AS url, 404 AS status
   FROM v_edges e JOIN s ON e.site = s.site AND e.dst = s.src""",
-    "j7_u3_sitemap_membership": queries_site.SITE_SQL.partition("), f AS (")[0] + """), m AS (SELECT site, bool_or(listed) AS a, bool_or(NOT listed) AS b FROM p GROUP BY 1) SELECT site, CASE WHEN a AND b THEN 'both' WHEN a THEN 'sitemap_only' ELSE 'link_only' END AS part FROM m""",
+    "j7_u3_sitemap_membership": with_views("v_site_fetches") + " SELECT site, url, CASE WHEN listed AND linked THEN 'both' WHEN listed THEN 'sitemap_only' ELSE 'link_only' END AS part FROM v_site_fetches WHERE listed OR linked",
     "j11_first_recommendation": queries_site.FINDINGS_SQL + " SELECT finding_id, 'look at ' || rule_id AS action FROM found",
     "j13_citing_findings": queries_site.SITE_SQL.rpartition("\nSELECT site")[0] + " SELECT r AS ref, count(DISTINCT (site, rule_id))::INT AS findings FROM (SELECT site, rule_id, unnest(refs) AS r FROM g) GROUP BY 1",
-    "j15_changes_with_queue": "SELECT * FROM (VALUES ('c1', 'opp_1', 'planned', 'present'), ('c2', 'opp_2', NULL, NULL)) t(id, opportunity_id, opportunity_status, observation_state)",
+    "j15_changes_with_queue": queries_audit.CHANGES_SQL + """, q AS (SELECT DISTINCT 'opp_' || n AS k, CASE WHEN n % 2 = 0 THEN 'planned' ELSE 'open' END AS status FROM v_site_fetches WHERE n % 3 <> 0)
+  SELECT id, opportunity_id, q.status AS opportunity_status, CASE WHEN q.k IS NOT NULL THEN 'present' END AS observation_state FROM c LEFT JOIN q ON k = opportunity_id WHERE problems = ''""",
     "f9_f8_noindex_variants": with_views("v_fetches") + """ SELECT page_id, page_id % 5 = 0 OR page_id % 13 = 0 AS crawl, NOT disallowed AND content_type LIKE 'text/html%' AND (page_id % 5 = 0 OR page_id % 13 = 0 OR page_id % 17 = 0) AS page_audit FROM v_fetches""",
-    "a23_first_title": with_views("v_fetches") + " SELECT page_id, 'again' AS title FROM v_fetches WHERE page_id % 37 = 0",
+    "a23_first_title": with_views("v_fetches") + r""" SELECT page_id, trim(CASE WHEN page_id % 37 = 0 THEN 'again' ELSE replace(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '[ \n\t]+', ' ', 'g'), '&amp;', '&') END) AS title FROM v_fetches""",
 }

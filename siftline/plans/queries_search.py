@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siftline.functions.periods import acquisition_periods, length_days, period_of
 from siftline.operators import acquisition, coverage, search
-from siftline.sources.adapters import view, with_views
+from siftline.sources.adapters import table, view, with_views
 
 NOW, DAYS = date(2001, 11, 7), 366
 AI_NOW, AI_DAYS = date(2024, 1, 31), 14
@@ -46,9 +46,19 @@ def ai_rows(s, d):
     return rows.withColumn("period", period_of(F.col("day"), AI)).where("period IS NOT NULL")
 
 
+LENGTHS = (366, 28, 1)
+
+
 def period_rows(s, d):
-    rows = [(int(n), str(now), source, which, a, b) for n, now in ((28, date(2026, 7, 30)), (1, date(2024, 3, 1)), (366, date(2001, 11, 7))) for source, p in acquisition_periods(n, now).items() for which, (a, b) in p.items()]
-    return s.createDataFrame(rows, "days int, now string, source string, period string, start date, end date").withColumn("length", length_days(F.col("start"), F.col("end"))).withColumns({c: F.col(c).cast("string") for c in ("start", "end")})
+    """Rows of each period of each source, for several lengths: bounds, days and how many rows lie within."""
+    rows, parts = view(s, d, "v_gsc").select("day"), []
+    for n in LENGTHS:
+        for source, periods in acquisition_periods(n, NOW).items():
+            known = rows.withColumn("period", period_of(F.col("day"), periods)).where("period IS NOT NULL").groupBy("period").agg(F.count("*").alias("rows"))
+            bounds = s.createDataFrame([(n, source, which, a, b) for which, (a, b) in periods.items()], "days int, source string, period string, start date, end date")
+            parts.append(bounds.join(known, "period", "left").withColumn("rows", F.coalesce("rows", F.lit(0))))
+    every = functools.reduce(lambda a, b: a.unionByName(b), parts)
+    return every.withColumn("length", length_days(F.col("start"), F.col("end"))).withColumns({c: F.col(c).cast("string") for c in ("start", "end")})
 
 
 def _rolled_sql(name, which):
@@ -93,13 +103,15 @@ def filtered(s, d):
                     F.count_if(search.string_filter(F.col("query"), "BEGINS_WITH", "A")).alias("begins"), F.count_if(search.string_filter(F.col("query"), "PARTIAL_REGEXP", "^a.*d$", True)).alias("partial"))
 
 
-PAGED = [(10_000, 500), (1200, 500), (5000, 500), (5000, 700), (1000, 400)]
+PAGED = [("n * 2", 500), ("(n + 1) DIV 2", 500), ("n", 500), ("n", 700), ("1000", 400)]
 
 
 def _pages(s, d, kind):
-    """Coverage of the events' ordinals up to 5,000, for several caps and page sizes."""
-    ordered = s.range(1, 5001).select(F.col("id").alias("ordinal"))
-    parts = [coverage.paged(ordered, most, size, kind, reported=5000 if kind == "ga4" else None)[1] for most, size in PAGED]
+    """Coverage of all events as rows of a source, in their order, for several caps and page sizes."""
+    ordered = table(s, d, "events").select((F.col("event_id") + 1).alias("ordinal"))
+    n = ordered.count()
+    caps = [n * 2, (n + 1) // 2, n, n, 1000]
+    parts = [coverage.paged(ordered, most, size, kind, reported=n if kind == "ga4" else None)[1] for most, (_, size) in zip(caps, PAGED, strict=True)]
     return functools.reduce(lambda a, b: a.unionByName(b), parts).withColumn("incomplete_reasons", F.concat_ws(";", "incomplete_reasons"))
 
 
@@ -133,16 +145,17 @@ QUERIES = {
 
 
 def _paged_sql(kind):
-    cases = ", ".join(f"({m}, {z})" for m, z in PAGED)
-    again = "0" if kind == "ga4" else "CASE WHEN n < m AND n % z = 0 THEN 1 ELSE 0 END"
-    return f"""WITH t AS (SELECT m, least(z, m) AS z, least(5000, m) AS n FROM (VALUES {cases}) c(m, z)), u AS (SELECT *, n = m {"OR n < 5000" if kind == "ga4" else ""} AS cut FROM t)
-  SELECT m AS requested_rows, n::BIGINT AS observed_rows, (ceil(n / z) + {again})::BIGINT AS pages_fetched, z AS page_size, cut AS truncated, cut AS partial,
+    cases = " UNION ALL ".join(f"SELECT n, ({m.replace('DIV', '//')})::INT AS m, {z} AS z FROM e" for m, z in PAGED)
+    again = "0" if kind == "ga4" else "CASE WHEN k < m AND k % z = 0 THEN 1 ELSE 0 END"
+    return f"""WITH e AS (SELECT count(*) AS n FROM events), t AS (SELECT m, least(z, m) AS z, least(n, m) AS k, n FROM ({cases})), u AS (SELECT *, k = m {"OR k < n" if kind == "ga4" else ""} AS cut FROM t)
+  SELECT m AS requested_rows, k::BIGINT AS observed_rows, (ceil(k / z) + {again})::BIGINT AS pages_fetched, z AS page_size, cut AS truncated, cut AS partial,
   CASE WHEN cut THEN 'row cap reached: ' || m ELSE '' END AS incomplete_reasons FROM u"""
 
 
 ORACLES = {
-    "f13_f14_periods": """WITH c(days, now) AS (VALUES (28, DATE '2026-07-30'), (1, DATE '2024-03-01'), (366, DATE '2001-11-07')), l(source, lag) AS (VALUES ('ga4', 1), ('gsc', 3)), p(period, back) AS (VALUES ('current', 0), ('previous', 1))
-  SELECT days, now::VARCHAR AS now, source, period, (now - lag - days + 1 - back * days)::DATE::VARCHAR AS start, (now - lag - back * days)::DATE::VARCHAR AS "end", days AS length FROM c, l, p""",
+    "f13_f14_periods": with_views("v_gsc") + f""", c(days) AS (VALUES {", ".join(f"({n})" for n in LENGTHS)}), l(source, lag) AS (VALUES ('ga4', 1), ('gsc', 3)), p(period, back) AS (VALUES ('current', 0), ('previous', 1)),
+  b AS (SELECT days, source, period, (DATE '{NOW}' - lag - days + 1 - back * days)::DATE AS a, (DATE '{NOW}' - lag - back * days)::DATE AS z FROM c, l, p)
+  SELECT days, source, period, a::VARCHAR AS start, z::VARCHAR AS "end", days AS length, (SELECT count(*) FROM v_gsc WHERE day BETWEEN a AND z) AS rows FROM b""",
     "p1_p2_filters": with_views("v_gsc") + r""" SELECT count(*) FILTER (WHERE contains(query, 'green')) AS f0, count(*) FILTER (WHERE NOT contains(query, 'green')) AS f1,
   count(*) FILTER (WHERE page = 'https://shop.example.com/PROMO') AS f2, count(*) FILTER (WHERE regexp_matches(query, '^[a-m]')) AS f3, count(*) FILTER (WHERE NOT regexp_matches(query, '^[a-m]')) AS f4, count(*) AS f5,
   count(*) FILTER (WHERE lower(query) = 'almond antique') AS exact, count(*) FILTER (WHERE lower(query) LIKE 'a%') AS begins, count(*) FILTER (WHERE regexp_matches(query, '^a.*d$')) AS partial FROM v_gsc""",

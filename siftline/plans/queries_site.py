@@ -64,46 +64,76 @@ FINDINGS_SQL = with_views("v_fetches") + """, p AS (SELECT *, content_type LIKE
     CASE WHEN NOT html_ok THEN 'HTML_NOT_OBSERVED_V1|medium' END], lambda x: x IS NOT NULL) END) AS r, CASE WHEN disallowed THEN requested_url ELSE final_url END AS url FROM p
 ), found AS (SELECT page_id, split_part(r, '|', 1) AS rule_id, split_part(r, '|', 2) AS severity, url, 'finding_' || substr(sha256(split_part(r, '|', 1) || chr(0) || url), 1, 16) AS finding_id FROM rules)"""
 
-ROBOTS = [
-    ("a.example", "# all\nUser-agent: *\nDisallow: /private/\nAllow: /private/public\nDisallow: /same\nAllow: /same\nSitemap: https://a.example/s.xml\nDisallow: /*.pdf$\nDisallow:\n"),
-    ("b.example", "User-Agent: bingbot\nUser-agent: Google\nDisallow: /g\r\nuser-agent: *\nDisallow: /\n"),
-    ("c.example", "Disallow: /x\nUser-agent: other\nDisallow: /\n"),
-    ("d.example", "User-agent: *\nDisallow: /a(b)+[c]\nAllow: /a*z\nDisallow: /q?\n"),
-]
-TARGETS = ["/", "/private/x", "/private/public", "/same", "/f.pdf", "/f.pdf?x", "/g", "/get", "/other", "/a(b)+[c]d", "/a(b)+[c]z", "/q?y=1", "/qq"]
-# Worked out by hand from the rules above.
-DISALLOWED = {"a.example": ["/private/x", "/f.pdf"], "b.example": ["/g", "/get"], "c.example": [], "d.example": ["/a(b)+[c]d", "/a(b)+[c]z", "/q?y=1"]}
-
-
-def robots_files(s):
-    return s.createDataFrame(ROBOTS, "site string, body string")
+def robots_files(s, d):
+    """A file for each site of v_site_fetches: groups, an agent by prefix, wildcards, ends and comments."""
+    no = F.col("site_no").cast("string")
+    star = F.concat(F.lit("# site "), no, F.lit("\nUser-agent: *\nDisallow: /p1\nAllow: /p1"), (F.col("site_no") % 10).cast("string"), F.lit(" # one of them\nDisallow:\nSitemap: https://"), F.col("site"), F.lit("/s.xml\n"))
+    more = F.when(F.col("site_no") % 2 == 0, "Disallow: /*9$\n").otherwise("Noindex: /x\n")
+    named = F.when(F.col("site_no") % 3 == 2, "User-Agent: bingbot\r\nUser-agent: Google\r\nDisallow: /p2\r\n").otherwise("")
+    return view(s, d, "v_site_fetches").select("site", "site_no").distinct().select("site", "site_no", F.concat(star, more, named).alias("body"))
 
 
 def robots_decisions(s, d):
-    targets = s.createDataFrame([(x,) for x in TARGETS], "target string")
-    at = robots_files(s).select("site").join(targets).withColumn("url", F.concat(F.lit("https://"), "site", "target"))
-    return robots.decide(at, robots_files(s)).select("site", "target", "decision")
+    """Of each page, by the rules of its own site; and what they come to, as the file itself was answered."""
+    at = view(s, d, "v_site_fetches").select("site", "site_no", "url", urls.path(F.col("url")).alias("target"))
+    status = F.element_at(F.array(*[F.lit(x) for x in (200, 404, 503, 429)]), (F.col("site_no") % 4 + 1).cast("int"))
+    decided = robots.decide(at, robots_files(s, d).select("site", "body"))
+    return decided.select("url", "decision", "rule_path", robots.fetched_decision(status, F.col("decision")).alias("fetched"))
 
 
 def robots_groups(s, d):
-    return robots.groups(robots.lines(robots_files(s))).select("site", "line", "group")
+    return robots.groups(robots.lines(robots_files(s, d))).select("site", "line", "group")
+
+
+def robots_sitemaps(s, d):
+    return robots.sitemaps(robots.lines(robots_files(s, d))).select("site", "sitemap", "line")
 
 
-SITEMAPS = [
-    (1, '<?xml version="1.0"?><sitemapindex xmlns="x"><sitemap><loc>https://a.example/1.xml</loc><lastmod>2024-01-01</lastmod></sitemap><sitemap><loc> https://a.example/2.xml </loc></sitemap></sitemapindex>'),
-    (2, '<s:urlset xmlns:s="x" xmlns:i="y"><s:url><s:loc>https://a.example/?a=1&amp;b=2</s:loc><i:image><i:loc>https://a.example/i.png</i:loc></i:image></s:url><s:url><s:loc><![CDATA[https://a.example/c]]></s:loc></s:url><s:url><s:loc>https://a.example/d</s:loc></s:url></s:urlset>'),
-    (3, "# text\nhttps://a.example/1\n\nhttps://a.example/2\nnot a url\nftp://a.example/x\n"),
-    (4, "<urlset><url><loc>https://a.example/1</loc></url><url><loc>broken"),
-    (5, "<rss><channel/></rss>"),
-    (6, "<!DOCTYPE urlset><urlset><url><loc>https://a.example/1</loc></url><url></url></urlset>"),
-]
+ROBOTS_SQL = with_views("v_site_fetches") + """, f AS (SELECT DISTINCT site, site_no FROM v_site_fetches), t AS (
+  SELECT url, site_no, '/' || CASE WHEN n = 0 THEN '' ELSE 'p' || n END AS target FROM v_site_fetches), c AS (
+  SELECT *, CASE WHEN site_no % 3 = 2 THEN CASE WHEN target LIKE '/p2%' THEN '/p2' END
+    WHEN starts_with(target, '/p1' || site_no % 10) THEN '/p1' || site_no % 10 WHEN target LIKE '/p1%' THEN '/p1' WHEN site_no % 2 = 0 AND target LIKE '%9' THEN '/*9$' END AS rule_path FROM t
+), e AS (SELECT url, site_no, CASE WHEN rule_path IS NULL OR (site_no % 3 <> 2 AND length(rule_path) = 4 AND rule_path LIKE '/p1%') THEN 'allowed' ELSE 'disallowed' END AS decision, rule_path FROM c)"""
+
+
+def sitemap_files(s, d):
+    """A sitemap of each site's pages: XML or text, some cut off, with a DOCTYPE, or of another kind."""
+    rows = view(s, d, "v_site_fetches").groupBy("site", "site_no").agg(F.array_sort(F.collect_list(F.struct("n", "url"))).alias("p"))  # 40 pages at most
+    entry = F.array_join(F.transform("p", lambda x: F.concat(F.lit("<s:url><s:loc> "), x.url, F.lit("?a=1&amp;b=2</s:loc><i:image><i:loc>https://i.example/</i:loc></i:image></s:url>"))), "")
+    xml = F.concat(F.when(F.col("site_no") % 5 == 3, "<!DOCTYPE x>").otherwise(""), F.lit('<s:urlset xmlns:s="x" xmlns:i="y">'), entry, F.when(F.col("site_no") % 5 == 2, "<s:url><s:loc>broken").otherwise("</s:urlset>"))
+    text = F.concat(F.lit("# text\nnot a url\n"), F.array_join(F.transform("p", lambda x: x.url), "\n"))
+    return rows.select("site", "site_no", F.when(F.col("site_no") % 5 == 1, text).when(F.col("site_no") % 5 == 4, "<rss><channel/></rss>").otherwise(xml).alias("body"))
 
 
 def parsed_sitemaps(s, d):
-    rows = s.createDataFrame(SITEMAPS, "n int, body string").select("n", sitemaps.parse_sitemap(F.col("body"), 2).alias("m"))
     m = F.col("m")
-    return rows.select("n", m.format.alias("format"), m.kind.alias("kind"), m.total_entries.alias("total"), m.retained_entries.alias("retained"), m.truncated.alias("truncated"), (F.size(m.errors) > 0).alias("has_errors"),
-                       F.array_join(F.transform(F.concat(m.urls, m.child_sitemaps), lambda e: e["loc"]), " ").alias("locs"))
+    rows = sitemap_files(s, d).select("site", sitemaps.parse_sitemap(F.col("body"), 25).alias("m"))
+    return rows.select("site", m.format.alias("format"), m.kind.alias("kind"), m.total_entries.alias("total"), m.retained_entries.alias("retained"), m.truncated.alias("truncated"), (F.size(m.errors) > 0).alias("has_errors"),
+                       F.get(F.transform(m.urls, lambda e: e["loc"]), F.lit(0)).alias("first"))
+
+
+SITEMAPS_SQL = with_views("v_site_fetches") + """, c AS (SELECT site, site_no, count(*) AS n FROM v_site_fetches GROUP BY 1, 2)
+  SELECT site, CASE WHEN site_no % 5 = 1 THEN 'text' ELSE 'xml' END AS format, CASE WHEN site_no % 5 = 4 THEN 'unsupported' ELSE 'urlset' END AS kind, CASE WHEN site_no % 5 = 4 THEN 0 ELSE n END AS total,
+  CASE WHEN site_no % 5 = 4 THEN 0 ELSE least(n, 25) END AS retained, site_no % 5 <> 4 AND n > 25 AS truncated, site_no % 5 <> 0 AS has_errors,
+  CASE WHEN site_no % 5 = 4 THEN NULL WHEN site_no % 5 = 1 THEN 'https://' || site || '/' ELSE 'https://' || site || '/?a=1&b=2' END AS first FROM c"""
+
+
+def sitemap_documents(s, d):
+    """Documents reached from each site's index: children in its folder, in their order, each once, to a cap of 20; and their children."""
+    rows = view(s, d, "v_site_fetches").select("site", "n")
+    at = lambda path: F.concat(F.lit("https://"), F.col("site"), F.lit(path))
+    number = F.col("n").cast("string")
+    roots = rows.select("site", at("/m/index.xml").alias("url"), F.lit(1).alias("ordinal")).distinct()
+    first = rows.select("site", at("/m/index.xml").alias("url"), F.when(F.col("n") % 3 == 1, F.concat(at("/other/"), number)).otherwise(F.concat(at("/m/c"), (F.col("n") % 36).cast("string"), F.lit("/i.xml"))).alias("child"), F.col("n").alias("position"))
+    deep = rows.where("n < 2").select("site", F.concat(at("/m/c"), number, F.lit("/i.xml")).alias("url"), F.concat(at("/m/c"), number, F.lit("/deep.xml")).alias("child"), F.lit(1).alias("position"))
+    return crawl.sitemap_tree(roots, first.unionByName(deep)).select("site", "url", "ordinal", "depth")
+
+
+SITEMAP_TREE_SQL = with_views("v_site_fetches") + """, k AS (SELECT site, n % 36 AS c, min(n) AS position FROM v_site_fetches WHERE n % 3 <> 1 GROUP BY 1, 2), o AS (
+  SELECT site, 'https://' || site || '/m/index.xml' AS url, 1 AS ordinal, 0 AS depth FROM v_site_fetches GROUP BY 1
+  UNION ALL SELECT site, 'https://' || site || '/m/c' || c || '/i.xml', 1 + row_number() OVER (PARTITION BY site ORDER BY position), 1 FROM k
+  UNION ALL SELECT k.site, 'https://' || k.site || '/m/c0/deep.xml', 2 + (SELECT count(*) FROM k j WHERE j.site = k.site), 2 FROM k WHERE c = 0
+) SELECT site, url, ordinal::BIGINT AS ordinal, depth FROM o WHERE ordinal <= 20"""
 
 
 def graph(s, d, limit=500):
@@ -117,30 +147,58 @@ def graph(s, d, limit=500):
 
 
 GRAPH_SQL = "WITH RECURSIVE " + with_views("v_edges")[5:] + """, reach(site, n, depth) AS (
-  SELECT DISTINCT site, 0::BIGINT, 0 FROM v_edges UNION SELECT e.site, e.dst::BIGINT, depth + 1 FROM reach r JOIN v_edges e ON e.site = r.site AND e.src = r.n WHERE depth < 25
+  SELECT DISTINCT site, 0::BIGINT, 0 FROM v_edges UNION SELECT e.site, e.dst::BIGINT, depth + 1 FROM reach r JOIN v_edges e ON e.site = r.site AND e.src = r.n WHERE depth < 45
 ) SELECT site::VARCHAR AS site, 'https://s' || site || '.example/p' || n AS url, min(depth)::INT AS depth FROM reach GROUP BY site, n"""
 
-URL_CASES = [
-    "https://A.Example/Path/#x", "http://www.a.example", "https://a.example:443/b/?q=1#f", "https://u:p@a.example/", "ftp://a.example/x", "not a url", "https://sub.a.example/x.PDF", "https://a.example/api/auth/login",
-    "https://a.example:8443/", "/just/a/path/?q", "mailto:x@a.example", "https://b.example/file.png?x", "https://a.example/cdn-cgi",
-]
+def capped(s, d):
+    """Roots that link to eight spellings of each path, and sitemaps that list some of them first: five of a path count, ten are audited."""
+    rows = view(s, d, "v_site_fetches").select("site", "n")
+    root = F.concat(F.lit("https://"), "site", F.lit("/"))
+    spelled = F.concat(root, F.lit("x"), (F.col("n") / 8).cast("int").cast("string"), F.lit("?v="), (F.col("n") % 8).cast("string"))
+    seeds = rows.select("site", root.alias("url")).distinct()
+    listed = rows.where("n % 10 = 9").select("site", F.col("n").cast("long").alias("ordinal"), spelled.alias("url"), F.lit("2024-01-01").alias("lastmod"))
+    links = rows.select("site", root.alias("page"), F.col("n").alias("position"), spelled.alias("url"))
+    return crawl.discover(seeds, listed, links, 10).select("site", "url", "ordinal", "depth", "source", F.concat_ws(",", "sources").alias("sources"), "lastmod", "audited")
+
+
+CAPPED_SQL = with_views("v_site_fetches") + """, x AS (SELECT site, n, n // 8 AS p, 'https://' || site || '/x' || n // 8 || '?v=' || n % 8 AS url, n % 10 = 9 AS listed FROM v_site_fetches),
+  k AS (SELECT *, row_number() OVER (PARTITION BY site, p ORDER BY listed DESC, n) AS nth FROM x), o AS (SELECT *, 1 + row_number() OVER (PARTITION BY site ORDER BY listed DESC, n) AS ordinal FROM k WHERE nth <= 5)
+  SELECT site, url, ordinal, CASE WHEN listed THEN 0 ELSE 1 END AS depth, CASE WHEN listed THEN 'sitemap' ELSE 'link' END AS source, CASE WHEN listed THEN 'link,sitemap' ELSE 'link' END AS sources, CASE WHEN listed THEN '2024-01-01' END AS lastmod, ordinal <= 10 AS audited FROM o
+  UNION ALL SELECT DISTINCT site, 'https://' || site || '/', 1, 0, 'seed', 'seed', NULL, true FROM v_site_fetches"""
+
+VARIANTS = """CASE page_id % 8 WHEN 0 THEN url WHEN 1 THEN concat('HTTP://WWW.S', CAST(site_no AS VARCHAR(9)), '.example/Path/#x') WHEN 2 THEN concat('https://sub.', site, '/x.PDF') WHEN 3 THEN concat('https://u:p@', site, '/') WHEN 4 THEN concat('https://', site, ':8443/')
+  WHEN 5 THEN concat('https://', site, '/api/auth/login') WHEN 6 THEN concat('https://', site, ':443/b/?q=', CAST(page_id AS VARCHAR(9)), '#f') ELSE concat('ftp://', site, '/x') END"""
 
 
 def url_predicates(s, d):
-    u, seed = F.col("url"), F.lit("https://a.example/")
-    return s.createDataFrame([(x,) for x in URL_CASES], "url string").select(
-        "url", urls.document_url(u).alias("document"), urls.page_key(u).alias("page_key"), urls.in_scope(u, seed).alias("in_scope"), urls.is_page(u, seed).alias("is_page"),
-        urls.property_covers(F.lit("sc-domain:a.example"), u).alias("domain_covers"), urls.property_covers(F.lit("https://a.example/"), u).alias("prefix_covers"), urls.same_boundary(u, seed).alias("same_boundary"), urls.normalize_url(u).alias("normalized"),
+    """Eight kinds of URL, against the root of the page's site."""
+    u, seed = F.col("variant"), F.concat(F.lit("https://"), "site", F.lit("/"))
+    rows = view(s, d, "v_site_fetches").select("page_id", "site", F.expr(VARIANTS.replace("VARCHAR(9)", "STRING")).alias("variant"))
+    return rows.select(
+        "page_id", "variant", urls.document_url(u).alias("document"), urls.page_key(u).alias("page_key"), urls.in_scope(u, seed).alias("in_scope"), urls.is_page(u, seed).alias("is_page"),
+        urls.property_covers(F.concat(F.lit("sc-domain:"), "site"), u).alias("domain_covers"), urls.property_covers(seed, u).alias("prefix_covers"), urls.same_boundary(u, seed).alias("same_boundary"), urls.normalize_url(u).alias("normalized"),
     )
 
 
-ADDRESSES = {"8.8.8.8": True, "10.1.2.3": False, "127.0.0.1": False, "100.64.0.1": False, "100.128.0.1": True, "169.254.1.1": False, "172.15.0.1": True, "172.16.0.1": False, "192.0.3.1": False, "192.1.0.1": True, "192.168.1.1": False, "198.18.0.1": False,
-             "198.20.0.1": True, "203.0.113.9": False, "203.1.1.1": True, "224.0.0.1": False, "0.1.2.3": False, "1.2.3": False, "256.1.1.1": False, "::1": False, "::": False, "fd00::1": False, "fe80::1": False, "2001:db8::1": False, "2606:4700::1": True,
-             "::ffff:10.0.0.1": False, "::ffff:8.8.8.8": True, "::ffff:7f00:1": False, "64:ff9b::1": False, "ff02::1": False, "host": False}
+URLS_SQL = with_views("v_site_fetches") + f""", v AS (SELECT page_id, page_id % 8 AS k, site, n, url, {VARIANTS} AS variant FROM v_site_fetches)
+  SELECT page_id, variant, CASE k WHEN 0 THEN url WHEN 1 THEN 'http://www.' || site || '/Path/' WHEN 6 THEN 'https://' || site || '/b/?q=' || page_id ELSE variant END AS document,
+  CASE k WHEN 0 THEN site || '/' || CASE WHEN n = 0 THEN '' ELSE 'p' || n END WHEN 1 THEN 'www.' || site || '/Path' WHEN 2 THEN 'sub.' || site || '/x.PDF' WHEN 5 THEN site || '/api/auth/login' WHEN 6 THEN site || '/b' WHEN 7 THEN site || '/x' ELSE site || '/' END AS page_key,
+  k IN (0, 1, 5, 6) AS in_scope, k NOT IN (2, 5) AS is_page, true AS domain_covers, k IN (0, 5, 6) AS prefix_covers, k NOT IN (2, 7) AS same_boundary,
+  CASE k WHEN 0 THEN url WHEN 1 THEN 'http://www.' || site || '/Path/' WHEN 2 THEN 'https://sub.' || site || '/x.PDF' WHEN 5 THEN variant WHEN 6 THEN 'https://' || site || '/b/?q=' || page_id END AS normalized FROM v"""
+
+ADDRESS = "concat(CAST(user_id % 256 AS VARCHAR(9)), '.', CAST(event_id % 257 AS VARCHAR(9)), '.', CAST(event_id % 3 AS VARCHAR(9)), '.9')"
 
 
 def public_addresses(s, d):
-    return s.createDataFrame([(a,) for a in ADDRESSES], "address string").select("address", urls.is_public_address(F.col("address")).alias("public"))
+    """Addresses of all requests, as they are and mapped into IPv6."""
+    plain = view(s, d, "v_requests").select(F.expr(ADDRESS.replace("VARCHAR(9)", "STRING")).alias("a"))
+    rows = plain.select(F.explode(F.array("a", F.concat(F.lit("::ffff:"), "a"), F.concat(F.lit("2606:4700::"), F.replace("a", F.lit("."), F.lit(":"))))).alias("address")).distinct()
+    return rows.select("address", urls.is_public_address(F.col("address")).alias("public"))
+
+
+ADDRESSES_SQL = with_views("v_requests") + f""", a AS (SELECT DISTINCT user_id % 256 AS x, event_id % 257 AS y, event_id % 3 AS z, {ADDRESS} AS a FROM v_requests), j AS (
+  SELECT a, y < 256 AND x < 224 AND NOT (x IN (0, 10, 127) OR (x = 100 AND y BETWEEN 64 AND 127) OR (x = 169 AND y = 254) OR (x = 172 AND y BETWEEN 16 AND 31) OR (x = 192 AND y IN (0, 2, 88, 168)) OR (x = 198 AND y IN (18, 19, 51)) OR (x = 203 AND y = 0)) AS public FROM a)
+  SELECT a AS address, public FROM j UNION SELECT '::ffff:' || a, public FROM j UNION SELECT '2606:4700::' || replace(a, '.', ':'), true FROM j"""
 
 
 def domains(s, d):
@@ -150,31 +208,61 @@ def domains(s, d):
 
 
 def site_pages(s, d):
-    """Audited pages of one site per boundary host, in page order."""
-    f = fetches(s, d).where(~F.col("disallowed"))
-    host = urls.boundary_host(urls.host(F.col("final_url")))
-    sources = F.when(F.col("page_id") % 2 == 0, F.array(F.lit("sitemap"))).otherwise(F.array(F.lit("link")))
-    return f.select(host.alias("site"), F.col("final_url").alias("url"), F.col("page_id").alias("ordinal"), sources.alias("sources"), "final_url", "status", "redirects", "x_robots_tag", F.when(page_rules.is_html(F.col("content_type")), F.col("facts")).alias("facts"), F.lit(None).cast("string").alias("error"), "page_id")
+    """Audited pages of each site of v_site_fetches, in page order. Of failed ones there are neither facts nor a final URL."""
+    rows = view(s, d, "v_site_fetches")
+    facts = F.when(~F.col("failed"), html_facts.html_facts(F.col("html"), F.col("url")))
+    sources = F.array_compact(F.array(F.when(F.col("linked"), "link"), F.when(F.col("listed"), "sitemap")))
+    hop = F.array(F.struct(F.lit("https://from.example/").alias("url"), F.lit(301).alias("status"), F.col("url").alias("location")))
+    return rows.select(
+        "site", "site_no", "url", F.col("page_id").alias("ordinal"), sources.alias("sources"), F.when(~F.col("failed"), F.col("url")).alias("final_url"), "status", F.when(F.col("redirected") & ~F.col("failed"), hop).otherwise(F.slice(hop, 1, 0)).alias("redirects"),
+        F.when((F.col("x_robots") != "") & ~F.col("failed"), F.array("x_robots")).otherwise(F.array().cast("array<string>")).alias("x_robots_tag"), facts.alias("facts"), F.when(F.col("failed"), "timeout").alias("error"), "page_id",
+    )
 
 
 def site_rules(s, d):
+    """All rules; every fifth site's sitemaps and every seventh's crawl are incomplete, and every third has bad sitemaps."""
+    rows, no = view(s, d, "v_site_fetches"), F.col("site_no")
+    bad = F.transform(F.sequence(F.lit(1), F.lit(2)), lambda i: F.concat(F.lit("ev_sitemap_"), i.cast("string"), F.lit("_"), "site"))
+    sites = rows.select("site", "site_no").distinct().select("site", F.concat(F.lit("https://"), "site", F.lit("/")).alias("root"), (no % 5 != 4).alias("sitemap_complete"), F.when(no % 8 == 7, 0).otherwise(1).alias("valid_sitemaps"), (no % 7 != 6).alias("crawl_complete"),
+                                                           F.when(no % 3 == 0, bad).otherwise(F.slice(bad, 1, 0)).alias("bad_sitemaps"))
+    return crawl.site_findings(site_pages(s, d), sites).withColumn("evidence_refs", F.concat_ws(",", "evidence_refs"))
+
+
+_REF = "'ev_crawl_page_' || substr(sha256(url), 1, 16)"
+SITE_SQL = with_views("v_site_fetches") + f""", p AS (
+  SELECT *, {_REF} AS ref, 'https://' || site || '/' AS root, CASE WHEN NOT failed THEN trim(CASE WHEN page_id % 5 = 1 THEN 'Again' ELSE replace(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '[ \n\t]+', ' ', 'g'), '&amp;', '&') END) END AS title FROM v_site_fetches
+), t AS (SELECT site, lower(title) AS k, arg_min(title, page_id) AS title FROM p WHERE title <> '' GROUP BY ALL HAVING count(*) >= 2), l AS (
+  SELECT site, page_id, ref, 0 AS position, (page_id * 3 + 1) % 40 AS target FROM p WHERE NOT failed UNION ALL SELECT site, page_id, ref, 1, (page_id + 2) % 40 FROM p WHERE NOT failed
+), b AS (SELECT l.site, l.page_id, position, l.ref, q.ref AS target_ref FROM l JOIN p q ON q.site = l.site AND q.n = l.target AND q.n > 0 AND q.status >= 400), e AS (
+  SELECT site, ref, min(struct_pack(a := page_id, b := position, c := side)) AS place FROM (SELECT site, page_id, position, 0 AS side, ref FROM b UNION ALL SELECT site, page_id, position, 1, target_ref FROM b) GROUP BY 1, 2
+), f AS (
+  SELECT site, 'PAGE_FETCH_FAILED_V1:' || url AS rule_id, 'high' AS severity, 40 AS cap, struct_pack(a := page_id, b := 0, c := 0) AS place, ref FROM p WHERE failed
+  UNION ALL SELECT site, 'SITEMAP_URL_NOINDEX_CONFLICT_V1', 'high', 40, struct_pack(a := page_id, b := 0, c := 0), ref FROM p WHERE listed AND NOT failed AND x_robots <> ''
+  UNION ALL SELECT site, 'SITEMAP_CANONICAL_TARGET_CONFLICT_V1', 'medium', 40, struct_pack(a := page_id, b := 0, c := 0), ref FROM p WHERE listed AND NOT failed AND page_id % 6 = 0 AND n <> 2
+  UNION ALL SELECT site, 'SITEMAP_URL_REDIRECTS_V1', 'low', 40, struct_pack(a := page_id, b := 0, c := 0), ref FROM p WHERE listed AND redirected AND NOT failed
+  UNION ALL SELECT p.site, 'DUPLICATE_TITLE_IN_AUDITED_SET_V1:' || t.title, 'low', 20, struct_pack(a := page_id, b := 0, c := 0), ref FROM p JOIN t ON t.site = p.site AND t.k = lower(p.title)
+  UNION ALL SELECT site, 'AUDITED_INTERNAL_LINK_TARGET_ERROR_V1', 'high', 40, place, ref FROM e
+  UNION ALL SELECT site, 'NOT_OBSERVED_IN_COMPLETE_SITEMAP_SET_V1', 'low', 40, struct_pack(a := page_id, b := 0, c := 0), ref FROM p WHERE site_no % 5 <> 4 AND site_no % 8 <> 7 AND linked AND NOT listed AND n > 0
+  UNION ALL SELECT site, 'UNLINKED_IN_COMPLETE_STATIC_CRAWL_V1', 'medium', 40, struct_pack(a := page_id, b := 0, c := 0), ref FROM p WHERE site_no % 7 <> 6 AND n > 0 AND NOT EXISTS (SELECT 1 FROM l WHERE l.site = p.site AND l.target = p.n)
+), g AS (SELECT site, rule_id, severity, count(*) AS pages, list(ref ORDER BY place)[1:any_value(cap)] AS refs FROM f GROUP BY 1, 2, 3
+  UNION ALL SELECT DISTINCT site, 'SITEMAP_FETCH_OR_PARSE_INCOMPLETE_V1', 'medium', 2::BIGINT, ['ev_sitemap_1_' || site, 'ev_sitemap_2_' || site] FROM p WHERE site_no % 3 = 0)
+SELECT site, rule_id, severity, pages, 'finding_' || substr(sha256('https://' || site || chr(0) || rule_id || chr(0) || array_to_string(refs, chr(0))), 1, 16) AS finding_id, array_to_string(refs, ',') AS evidence_refs FROM g"""
+
+
+def unlinked_pages(s, d):
+    """Pages that no audited page links to, and how many links each of the others has (J6, A19), from the pages' own links."""
     pages = site_pages(s, d)
-    sites = pages.groupBy("site").agg(F.concat(F.lit("https://"), F.first("site"), F.lit("/")).alias("root")).withColumns({"sitemap_complete": F.lit(True), "valid_sitemaps": F.lit(1), "crawl_complete": F.lit(True), "bad_sitemaps": F.array().cast("array<string>")})
-    links = pages.select("site", F.col("url").alias("page"), F.explode("facts.links").alias("l")).where("l.kind = 'internal'").select("site", "page", F.col("l.resolved_url").alias("url"))
-    return crawl.site_findings(pages, links, sites).select("site", "rule_id", "severity", "pages", "finding_id", F.concat_ws(",", "evidence_refs").alias("evidence_refs"))
+    links = pages.select("site", F.explode("facts.links").alias("l")).select("site", F.col("l.resolved_url").alias("url"))
+    return crawl.incoming_links(pages, links)
 
 
-_REF = "'ev_crawl_page_' || substr(sha256(final_url), 1, 16)"
-SITE_SQL = with_views("v_fetches") + f""", p AS (
-  SELECT *, regexp_replace(lower(regexp_extract(final_url, '^https?://([^/?#]+)', 1)), '^www\\.', '') AS site, {_REF} AS ref, content_type LIKE 'text/html%' AS html_ok, page_id % 2 = 0 AS listed FROM v_fetches WHERE NOT disallowed
-), f AS (
-  SELECT site, 'SITEMAP_URL_NOINDEX_CONFLICT_V1' AS rule_id, 'high' AS severity, page_id, ref FROM p WHERE listed AND ((html_ok AND page_id % 5 = 0) OR page_id % 13 = 0)
-  UNION ALL SELECT site, 'SITEMAP_CANONICAL_TARGET_CONFLICT_V1', 'medium', page_id, ref FROM p WHERE listed AND html_ok AND page_id % 8 IN (1, 5)
-  UNION ALL SELECT site, 'SITEMAP_URL_REDIRECTS_V1', 'low', page_id, ref FROM p WHERE listed AND redirected
-  UNION ALL SELECT site, 'NOT_OBSERVED_IN_COMPLETE_SITEMAP_SET_V1', 'low', page_id, ref FROM p WHERE NOT listed AND final_url <> 'https://' || site || '/'
-  UNION ALL SELECT site, 'UNLINKED_IN_COMPLETE_STATIC_CRAWL_V1', 'medium', page_id, ref FROM p WHERE final_url <> 'https://' || site || '/'
-), g AS (SELECT site, rule_id, severity, count(*) AS pages, list(ref ORDER BY page_id)[1:40] AS refs FROM f GROUP BY 1, 2, 3)
-SELECT site, rule_id, severity, pages, 'finding_' || substr(sha256('https://' || site || chr(0) || rule_id || chr(0) || array_to_string(refs, chr(0))), 1, 16) AS finding_id, array_to_string(refs, ',') AS evidence_refs FROM g"""
+TOKENS = """CASE page_id % 5 WHEN 0 THEN 'NoIndex, follow' WHEN 1 THEN 'none' WHEN 2 THEN concat('a  b,a', CAST(page_id AS VARCHAR(9))) WHEN 3 THEN '' ELSE concat(' MAX-snippet:', CAST(page_id AS VARCHAR(9)), ',') END"""
+
+
+def directive_tokens(s, d):
+    rows = view(s, d, "v_fetches").select("page_id", F.expr(TOKENS.replace("VARCHAR(9)", "STRING")).alias("v"))
+    return rows.select("page_id", F.concat_ws("|", html_facts.directive_tokens(F.col("v"))).alias("tokens"))
+
 
 QUERIES = {
     "s12_w6_robots_groups": robots_groups,
@@ -184,7 +272,7 @@ QUERIES = {
     "f1_f6_p7_p8_p12_p13_url_predicates": url_predicates,
     "f1_f3_f6_page_urls": domains,
     "p14_public_addresses": public_addresses,
-    "f7_directive_tokens": lambda s, d: s.createDataFrame([("NoIndex, follow",), ("none",), ("a  b,a",), ("",)], "v string").select("v", F.concat_ws("|", html_facts.directive_tokens(F.col("v"))).alias("tokens")),
+    "f7_directive_tokens": directive_tokens,
     "f20_a16_structured_data": structured,
     "f21_content_hash": content_hashes,
     "a15_heading_counts": heading_counts,
@@ -193,9 +281,13 @@ QUERIES = {
     "a13_severity_counts": lambda s, d: page_rules.severity_counts(found(s, d), "rule_id"),
     "a14_status_classes": lambda s, d: crawl.status_classes(view(s, d, "v_fetches")),
     "st1_st2_w7_crawl_discovery": lambda s, d: graph(s, d).select("site", "url", "depth"),
-    "r_site_findings": lambda s, d: site_rules(s, d).where("NOT rule_id LIKE 'DUPLICATE%' AND NOT rule_id LIKE 'AUDITED%'"),
-    "a18_duplicate_titles": lambda s, d: site_rules(s, d).where("rule_id LIKE 'DUPLICATE%'").select("site", "rule_id", "pages"),
+    "st2_w7_crawl_caps": capped,
+    "st3_sitemap_tree": sitemap_documents,
+    "s12_robots_sitemaps": robots_sitemaps,
+    "r_site_findings": site_rules,
+    "a18_duplicate_titles": lambda s, d: site_rules(s, d).where("rule_id LIKE 'DUPLICATE%'"),
     "a19_j6_incoming_links": lambda s, d: crawl.incoming_links(graph(s, d).select("site", "url", F.col("url").alias("final_url")), _numbered_links(s, d)),
+    "j6_links_of_pages": unlinked_pages,
 }
 
 
@@ -204,33 +296,22 @@ def _numbered_links(s, d):
     return e.select(F.col("site").cast("string").alias("site"), F.concat(F.lit("https://s"), F.col("site").cast("string"), F.lit(".example/p"), F.col("dst").cast("string")).alias("url"))
 
 
-_DISALLOWED = ", ".join(f"('{site}', '{t}')" for site, targets in DISALLOWED.items() for t in targets)
-# Worked out by hand: document, page key, in scope, is a page, covered by the domain, by the prefix, same boundary, normalized.
-URL_RESULTS = [
-    ("https://a.example/Path/", "a.example/Path", 1, 1, 1, 1, 1, "https://a.example/Path/"), ("http://www.a.example/", "www.a.example/", 1, 1, 1, 0, 1, "http://www.a.example/"),
-    ("https://a.example/b/?q=1", "a.example/b", 1, 1, 1, 1, 1, "https://a.example/b/?q=1"), ("https://u:p@a.example/", "a.example/", 0, 1, 1, 0, 1, None), ("ftp://a.example/x", "a.example/x", 0, 1, 1, 0, 0, None),
-    ("not a url", "/not%20a%20url", 0, 1, 0, 0, 0, None), ("https://sub.a.example/x.PDF", "sub.a.example/x.PDF", 0, 0, 1, 0, 0, "https://sub.a.example/x.PDF"),
-    ("https://a.example/api/auth/login", "a.example/api/auth/login", 1, 0, 1, 1, 1, "https://a.example/api/auth/login"), ("https://a.example:8443/", "a.example/", 0, 1, 1, 0, 1, None), ("/just/a/path/?q", "/just/a/path", 0, 1, 0, 0, 0, None),
-    ("mailto:x@a.example", "x@a.example", 0, 1, 0, 0, 0, None), ("https://b.example/file.png?x", "b.example/file.png", 0, 0, 0, 0, 0, "https://b.example/file.png?x"), ("https://a.example/cdn-cgi", "a.example/cdn-cgi", 1, 0, 1, 1, 1, "https://a.example/cdn-cgi"),
-]
-ROBOTS_GROUPS = [("a.example", n, 1) for n in (2, 3, 4, 5, 6, 8)] + [("b.example", n, 1) for n in (1, 2, 3)] + [("b.example", n, 2) for n in (4, 5)] + [("c.example", 1, 0), ("c.example", 2, 1), ("c.example", 3, 1)] + [("d.example", n, 1) for n in (1, 2, 3, 4)]
-_TEXT = lambda x: "NULL" if x is None else f"'{x}'"
-
 ORACLES = {
-    "s12_w6_robots_groups": "SELECT * FROM (VALUES " + ", ".join(f"('{s}', {n}, {g}::BIGINT)" for s, n, g in ROBOTS_GROUPS) + ') t(site, line, "group")',
-    "f1_f6_p7_p8_p12_p13_url_predicates": "SELECT * FROM (VALUES " + ", ".join(f"('{u}', '{r[0]}', '{r[1]}', {', '.join(str(bool(x)).lower() for x in r[2:7])}, {_TEXT(r[7])})" for u, r in zip(URL_CASES, URL_RESULTS, strict=True))
-    + ") t(url, document, page_key, in_scope, is_page, domain_covers, prefix_covers, same_boundary, normalized)",
+    "s12_w6_robots_groups": ROBOTS_SQL + """ SELECT site, unnest(CASE WHEN site_no % 2 = 0 THEN CASE WHEN site_no % 3 = 2 THEN [2, 3, 4, 7, 8, 9, 10] ELSE [2, 3, 4, 7] END ELSE CASE WHEN site_no % 3 = 2 THEN [2, 3, 4, 8, 9, 10] ELSE [2, 3, 4] END END) AS line,
+  unnest(CASE WHEN site_no % 2 = 0 THEN CASE WHEN site_no % 3 = 2 THEN [1, 1, 1, 1, 2, 2, 2] ELSE [1, 1, 1, 1] END ELSE CASE WHEN site_no % 3 = 2 THEN [1, 1, 1, 2, 2, 2] ELSE [1, 1, 1] END END)::BIGINT AS "group" FROM f""",
+    "s12_robots_sitemaps": ROBOTS_SQL + " SELECT site, 'https://' || site || '/s.xml' AS sitemap, 6 AS line FROM f",
+    "f1_f6_p7_p8_p12_p13_url_predicates": URLS_SQL,
+    "st2_w7_crawl_caps": CAPPED_SQL,
+    "st3_sitemap_tree": SITEMAP_TREE_SQL,
+    "j6_links_of_pages": with_views("v_site_fetches") + """, l AS (SELECT site_no, (page_id * 3 + 1) % 40 AS target FROM v_site_fetches WHERE NOT failed UNION ALL SELECT site_no, (page_id + 2) % 40 FROM v_site_fetches WHERE NOT failed)
+  SELECT site, url, count(l.target) AS incoming FROM v_site_fetches p LEFT JOIN l ON l.site_no = p.site_no AND l.target = p.n AND p.n > 0 GROUP BY 1, 2""",
     "a17_link_counts": with_views("v_fetches") + """, a AS (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS hrefs FROM v_fetches) SELECT page_id, len(hrefs)::BIGINT AS links_total, len(list_distinct(list_filter(hrefs, lambda h: h LIKE '/%')))::BIGINT AS unique_internal,
   len(list_distinct(list_filter(hrefs, lambda h: h LIKE 'http%')))::BIGINT AS unique_external, 0::BIGINT AS links_nofollow, len(hrefs) > 500 AS links_truncated FROM a""",
-    "a18_duplicate_titles": SITE_SQL.partition("), f AS (")[0] + """), t AS (SELECT site, page_id, trim(CASE WHEN page_id % 37 = 0 THEN 'again' ELSE replace(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '[ \n\t]+', ' ', 'g'), '&amp;', '&') END) AS title FROM p WHERE html_ok)
-  SELECT site, 'DUPLICATE_TITLE_IN_AUDITED_SET_V1:' || arg_min(title, page_id) AS rule_id, count(*) AS pages FROM t GROUP BY site, lower(title) HAVING count(*) >= 2""",
-    "f18_f19_robots_decisions": "WITH bad(site, target) AS (VALUES " + _DISALLOWED + "), s(site) AS (VALUES " + ", ".join(f"('{x}')" for x, _ in ROBOTS) + "), t(target) AS (VALUES " + ", ".join(f"('{x}')" for x in TARGETS)
-    + ") SELECT s.site, t.target, CASE WHEN b.site IS NULL THEN 'allowed' ELSE 'disallowed' END AS decision FROM s CROSS JOIN t LEFT JOIN bad b ON s.site = b.site AND t.target = b.target",
-    "s13_sitemaps": """SELECT * FROM (VALUES (1, 'xml', 'sitemapindex', 2::BIGINT, 2::BIGINT, false, false, 'https://a.example/1.xml https://a.example/2.xml'), (2, 'xml', 'urlset', 3, 2, true, false, 'https://a.example/?a=1&b=2 https://a.example/c'),
-  (3, 'text', 'urlset', 2, 2, false, true, 'https://a.example/1 https://a.example/2'), (4, 'xml', 'urlset', 1, 1, false, true, 'https://a.example/1'), (5, 'xml', 'unsupported', 0, 0, false, true, ''), (6, 'xml', 'urlset', 1, 1, false, true, 'https://a.example/1'))
-  t(n, format, kind, total, retained, truncated, has_errors, locs)""",
-    "p14_public_addresses": "SELECT * FROM (VALUES " + ", ".join(f"('{a}', {str(p).lower()})" for a, p in ADDRESSES.items()) + ") t(address, public)",
-    "f7_directive_tokens": "SELECT * FROM (VALUES ('NoIndex, follow', 'noindex|follow'), ('none', 'none|noindex|nofollow'), ('a  b,a', 'a|b'), ('', '')) t(v, tokens)",
+    "a18_duplicate_titles": SITE_SQL + " WHERE rule_id LIKE 'DUPLICATE%'",
+    "f18_f19_robots_decisions": ROBOTS_SQL + """ SELECT url, decision, rule_path, CASE site_no % 4 WHEN 0 THEN decision WHEN 1 THEN 'allowed' ELSE 'unknown' END AS fetched FROM e""",
+    "s13_sitemaps": SITEMAPS_SQL,
+    "p14_public_addresses": ADDRESSES_SQL,
+    "f7_directive_tokens": with_views("v_fetches") + " SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'noindex|follow' WHEN 1 THEN 'none|noindex|nofollow' WHEN 2 THEN concat_ws('|', 'a', 'b', 'a' || page_id) WHEN 3 THEN '' ELSE 'max-snippet:' || page_id END AS tokens FROM v_fetches",
     "f1_f3_f6_page_urls": with_views("v_fetches") + r""" SELECT page_id, regexp_extract(requested_url, '^(https?)://', 1) AS scheme, regexp_replace(regexp_extract(requested_url, '^https?://([^/?#]+)', 1), '^www\.', '') AS host,
   CASE WHEN regexp_extract(requested_url, '^https?://[^/?#]+([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(requested_url, '^https?://[^/?#]+([^?#]*)', 1) END AS path, split_part(requested_url, '#', 1) AS document,
   regexp_extract(requested_url, '^https?://([^/?#]+)', 1) || CASE WHEN regexp_replace(regexp_extract(requested_url, '^https?://[^/?#]+([^?#]*)', 1), '/+$', '') = '' THEN '/' ELSE regexp_replace(regexp_extract(requested_url, '^https?://[^/?#]+([^?#]*)', 1), '/+$', '') END AS page_key FROM v_fetches""",

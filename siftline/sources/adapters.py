@@ -33,11 +33,11 @@ VIEWS = {
   concat('{SHOP}/', replace(p_type, ' ', '-'), '/', replace(p_brand, '#', '-'), CASE WHEN l_linenumber % 3 = 0 THEN '' ELSE concat('#', CAST(l_linenumber % 3 AS VARCHAR(9))) END) AS page,
   CAST(CASE WHEN l_returnflag = 'R' THEN l_linenumber ELSE 0 END AS DOUBLE) AS clicks, CAST(floor(l_quantity) AS DOUBLE) AS impressions,
   CAST(3 * l_linenumber AS DOUBLE) AS position, CAST(l_shipdate AS DATE) AS day FROM lineitem JOIN part ON l_partkey = p_partkey""",
-    "v_ga4": f"""SELECT CASE WHEN l_linenumber % 2 = 0 THEN 'Shop.Example.com' ELSE 'shop.example.com' END AS host_name,
+    "v_ga4": f"""SELECT CASE WHEN p_brand LIKE '%3' THEN 'm.example.com' WHEN l_linenumber % 2 = 0 THEN 'Shop.Example.com' ELSE 'shop.example.com' END AS host_name,
   concat('/', replace(p_type, ' ', '-'), '/', replace(p_brand, '#', '-'), CASE l_linenumber % 3 WHEN 0 THEN '' WHEN 1 THEN '/' ELSE '?utm_source=test' END) AS landing_page,
   CAST(count(DISTINCT l_orderkey) AS DOUBLE) AS sessions, CAST(count(DISTINCT CASE WHEN o_orderstatus = 'F' THEN l_orderkey END) AS DOUBLE) AS engaged_sessions,
   CAST(count(DISTINCT CASE WHEN o_orderpriority = '1-URGENT' THEN l_orderkey END) AS DOUBLE) AS key_events, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS total_revenue
-  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey WHERE l_partkey % 50 <> 0 GROUP BY 1, 2""",
+  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2""",
     "v_ai_sessions": f"""SELECT CAST(ts AS DATE) AS day, CASE WHEN user_id % 23 = 0 THEN ' AI Assistants ' WHEN user_id % 2 = 0 THEN 'Organic Search' ELSE 'Referral' END AS channel_group,
   {_pick("user_id % 9", SOURCES)} AS source, CASE WHEN user_id % 5 = 0 THEN '' ELSE concat('/', event_type) END AS landing_page, 1.0 AS sessions,
   CASE WHEN event_id % 3 = 0 THEN 1.0 ELSE 0.0 END AS engaged_sessions, CASE WHEN event_type = 'purchase' THEN 1.0 ELSE 0.0 END AS key_events,
@@ -53,9 +53,15 @@ VIEWS = {
       WHEN 4 THEN '<link rel="canonical" href="#part">' WHEN 5 THEN '<link rel="Canonical" href="https://other.example/x">' ELSE '' END,
     CASE page_id % 6 WHEN 1 THEN '<script type="application/ld+json">{broken</script>' WHEN 2 THEN '<script type="application/ld+json">{"@type": "Article", "author": {"@type": ["Person"], "@id": "p"}}</script>' ELSE '' END)),
     '<body>', CASE WHEN page_id % 8 = 6 THEN '<body><link rel="canonical" href="/late">' ELSE '<body>' END) AS html FROM pages""",
-    # a graph over page numbers in groups: a ring, chords, and some dead ends
-    "v_edges": """SELECT page_id % 9 AS site, page_id // 9 AS src, 1 AS position, (page_id // 9 + 1) % 20 AS dst FROM pages WHERE page_id // 9 < 20 AND page_id % 4 <> 3
-  UNION ALL SELECT page_id % 9, page_id // 9, 2, (page_id // 9 * 3 + 2) % 20 FROM pages WHERE page_id // 9 < 20 AND page_id % 5 <> 0""",
+    # sites of 40 pages each: every page links to four further on, with gaps and ways back
+    "v_edges": """SELECT page_id // 40 AS site, page_id % 40 AS src, k.position, (page_id % 40 * 4 + k.position) % 40 AS dst FROM pages, (VALUES (1), (2), (3), (4)) AS k(position) WHERE (page_id + k.position) % 7 <> 3""",
+    # the same sites as stored fetches: failures, errors, redirects, listed pages, and links among the pages put into real html
+    "v_site_fetches": """SELECT page_id, page_id // 40 AS site_no, page_id % 40 AS n, concat('s', CAST(page_id // 40 AS VARCHAR(9)), '.example') AS site,
+  concat('https://s', CAST(page_id // 40 AS VARCHAR(9)), '.example/', CASE WHEN page_id % 40 = 0 THEN '' ELSE concat('p', CAST(page_id % 40 AS VARCHAR(9))) END) AS url,
+  page_id % 41 = 5 AS failed, CASE WHEN page_id % 41 = 5 THEN NULL WHEN page_id % 11 = 3 THEN 404 WHEN page_id % 29 = 7 THEN 503 ELSE 200 END AS status,
+  page_id % 3 <> 1 AS listed, page_id % 2 = 0 AS linked, page_id % 7 = 2 AS redirected, CASE WHEN page_id % 13 = 4 THEN 'noindex' ELSE '' END AS x_robots,
+  replace(replace(html, '<head>', concat('<head>', CASE WHEN page_id % 5 = 1 THEN '<title>Again</title>' ELSE '' END, CASE WHEN page_id % 6 = 0 THEN '<link rel="canonical" href="/p2">' ELSE '' END)),
+    '<body>', concat('<body><a href="/p', CAST((page_id * 3 + 1) % 40 AS VARCHAR(9)), '">a</a><a href="/p', CAST((page_id + 2) % 40 AS VARCHAR(9)), '#x">b</a>')) AS html FROM pages""",
     # three audit runs of each host: findings come and go by page and run
     "v_run_findings": """SELECT r.run_no, concat('run-', CAST(r.run_no AS VARCHAR(9))) AS run_id, page_id, concat(split_part(url, '#', 1), '?n=', CAST(page_id AS VARCHAR(9))) AS url, rule_id,
   (page_id * 7 + r.run_no * 5 + k) % 4 <> 0 AS found, (page_id + r.run_no) % 11 <> 0 AS observed

@@ -12,8 +12,13 @@ from pyspark.sql import functions as F
 
 from siftline.functions.agents import classify_user_agent
 
-COMBINED = r"""^(\S+)\s+\S+\s+\S+\s+\[([^\]]+)\]\s+"(\S+)\s+(.+?)\s+HTTP/[^"]+"\s+(\d{3})\s+(\S+)\s+"([^"]*)"\s+"([^"]*)"(?:\s+.*)?$"""
-MARK = "\x01"
+# The combined log format, field by field: address, identity and user aren't kept; then time, request (method and target),
+# status, size, referrer and agent.
+_UNKEPT = [r"\S+"] * 3
+_KEPT = [r"\[([^\]]+)\]", r'"([^\s"]+)\s+(.+?)\s+HTTP/[^"]+"', r"(\d{3})", r"(\S+)", r'"([^"]*)"', r'"([^"]*)"']
+COMBINED = r"^" + r"\s+".join(_UNKEPT + _KEPT) + r"(?:\s.*)?$"
+#: Stands between the parts of a match; where a line holds it, it is spelled otherwise meanwhile.
+MARK, ESCAPE = "\x01", "\x02"
 NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 # Alias paths in order of preference.
@@ -58,41 +63,55 @@ def _combined_time(raw: Column) -> Column:
     return F.try_to_timestamp(raw, F.lit("dd/MMM/yyyy:HH:mm:ss Z"))
 
 
-def parse_lines(lines: DataFrame) -> DataFrame:
-    """line_number and value -> ok, reason, observation (method, path, status, bytes, referrer, user_agent, ts, ts_raw, agent)."""
-    # one match gives all parts: they are put in a row between marks, which no line is left with
-    line = F.translate(F.btrim(F.col("value"), F.lit(" \t\r\n\x0b\x0c")), MARK, "")
+#: Fields of an observation; time and agent cost most.
+FIELDS = ("method", "path", "status", "bytes", "referrer", "user_agent", "ts", "ts_raw", "agent")
+
+
+def parse_lines(lines: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """line_number and value -> ok, reason, observation (of FIELDS those that are asked for; what isn't is not computed)."""
     own = [c for c in lines.columns if c != "value"]
-    trimmed = once(lines.select(*own, F.coalesce(line, F.lit("")).alias("_line")), own, "_line")
+    raw = lines.select(*own, F.coalesce(F.btrim(F.col("value"), F.lit(" \t\r\n\x0b\x0c")), F.lit("")).alias("_line"))
+    trimmed = once(raw, own, "_line")
     is_json = F.startswith("_line", F.lit("{"))
-    split = F.split(F.regexp_replace("_line", COMBINED, MARK + MARK.join(f"${n}" for n in range(2, 9))), MARK)
-    shaped = once(trimmed.withColumns({"_is_json": is_json, "_json": F.when(is_json, F.try_parse_json("_line")), "_parts": F.when(~is_json, split)}), [*own, "_line"], "_is_json", "_json", "_parts")
-    found = once(shaped.withColumns({f"_{k}": _field(k) for k in ALIASES}), [*own, "_line", "_is_json", "_json", "_parts"], *[f"_{k}" for k in ALIASES])
-    part = lambda n: F.get("_parts", F.lit(n - 1))
-    j = lambda k, f: f(F.col(f"_{k}"))
-    is_json = F.col("_is_json")
-    fields = found.withColumns({
-        "method": F.when(is_json, F.coalesce(j("method", _text), F.lit("GET"))).otherwise(part(3)),
-        "path": F.when(is_json, j("path", _text)).otherwise(part(4)),
-        "status": F.when(is_json, j("status", _number)).otherwise(part(5).try_cast("double")),
-        "bytes": F.when(is_json, j("bytes", _number)).when(part(6).rlike(NUMBER), part(6).try_cast("double")),
-        "referrer": F.nullif(F.when(is_json, j("referrer", _text)).otherwise(part(7)), F.lit("-")),
-        "user_agent": F.when(is_json, F.coalesce(j("user_agent", _text), F.lit(""))).otherwise(part(8)),
-        "ts_raw": F.when(is_json, j("time", _text)).otherwise(F.nullif(part(2), F.lit(""))),
-    })
-    names = ["method", "path", "status", "bytes", "referrer", "user_agent", "ts_raw"]
+    # one match gives all parts, in a row between marks
+    odd = F.contains("_line", F.lit(MARK)) | F.contains("_line", F.lit(ESCAPE))
+    spelled = F.when(odd, F.replace(F.replace("_line", F.lit(ESCAPE), F.lit(ESCAPE + "b")), F.lit(MARK), F.lit(ESCAPE + "a"))).otherwise(F.col("_line"))
+    split = F.split(F.regexp_replace(spelled, COMBINED, MARK + MARK.join(f"${n}" for n in range(1, 8))), MARK)
+    parts = ["ts_raw", "method", "path", "status", "bytes", "referrer", "user_agent"]
+    wanted = {"path", "status", *fields, *(["ts_raw"] if "ts" in fields else []), *(["user_agent"] if "agent" in fields else [])} & set(parts)
+    names = [c for c in parts if c in wanted]
+    aliases = {"ts_raw": "time"}
+    shaped = once(trimmed.withColumns({"_is_json": is_json, "_json": F.when(is_json, F.try_parse_json("_line")), "_parts": F.when(~is_json, split), "_odd": odd}), [*own, "_line"], "_is_json", "_json", "_parts", "_odd")
+    kept = [*own, "_line", "_is_json", "_json", "_parts", "_odd"]
+    found = once(shaped.withColumns({f"_{k}": _field(aliases.get(k, k)) for k in names}), kept, *[f"_{k}" for k in names])
+    bare = lambda x: F.when(F.col("_odd"), F.replace(F.replace(x, F.lit(ESCAPE + "a"), F.lit(MARK)), F.lit(ESCAPE + "b"), F.lit(ESCAPE))).otherwise(x)
+    part = lambda k: F.get("_parts", F.lit(parts.index(k) + 1))
+    json, is_json = (lambda k, f: f(F.col(f"_{k}"))), F.col("_is_json")
+    cells = {
+        "method": lambda: F.when(is_json, F.coalesce(json("method", _text), F.lit("GET"))).otherwise(bare(part("method"))),
+        "path": lambda: F.when(is_json, json("path", _text)).otherwise(bare(part("path"))),
+        "status": lambda: F.when(is_json, json("status", _number)).otherwise(part("status").try_cast("double")),
+        "bytes": lambda: F.when(is_json, json("bytes", _number)).when(part("bytes").rlike(NUMBER), part("bytes").try_cast("double")),
+        "referrer": lambda: F.nullif(F.when(is_json, json("referrer", _text)).otherwise(bare(part("referrer"))), F.lit("-")),
+        "user_agent": lambda: F.when(is_json, F.coalesce(json("user_agent", _text), F.lit(""))).otherwise(bare(part("user_agent"))),
+        "ts_raw": lambda: F.when(is_json, json("ts_raw", _text)).otherwise(F.nullif(part("ts_raw"), F.lit(""))),
+    }
     reason = (
         F.when(F.col("_line") == "", EMPTY)
         .when(is_json & F.col("_json").isNull(), BROKEN_JSON)
         .when(is_json & (F.col("path").isNull() | F.col("status").isNull()), INCOMPLETE_JSON)
         .when(~is_json & (F.size("_parts") < 2), UNKNOWN_FORMAT)
     )
-    judged = once(once(fields, [*own, "_line", "_is_json", "_json", "_parts"], *names).withColumn("reason", reason), [*own, "_is_json", *names], "reason")
-    when = F.when(is_json, F.try_to_timestamp("ts_raw")).otherwise(_combined_time(F.col("ts_raw")))
-    seen = once(judged.withColumns({"ts": when, "agent": classify_user_agent(F.col("user_agent"))}), [*own, "reason", *names], "ts", "agent")
+    read = once(found.withColumns({k: cells[k]() for k in names}), kept, *names)
+    judged = once(read.withColumn("reason", reason), [*own, "_is_json", *names], "reason")
+    last = {}
+    if "ts" in fields:
+        last["ts"] = F.when(is_json, F.try_to_timestamp("ts_raw")).otherwise(_combined_time(F.col("ts_raw")))
+    if "agent" in fields:
+        last["agent"] = classify_user_agent(F.col("user_agent"))
+    seen = once(judged.withColumns(last), [*own, "reason", *names], *last) if last else judged
     ok = F.col("reason").isNull()
-    observation = F.struct("method", "path", "status", "bytes", "referrer", "user_agent", "ts", "ts_raw", "agent")
-    return seen.select(*own, ok.alias("ok"), "reason", F.when(ok, observation).alias("observation"))
+    return seen.select(*own, ok.alias("ok"), "reason", F.when(ok, F.struct(*[f for f in FIELDS if f in fields])).alias("observation"))
 
 
 def once(df: DataFrame, keep: list[str], *computed: str) -> DataFrame:

@@ -34,6 +34,21 @@ def test_combined_format(spark):
     assert o.agent.behavior == "training"
 
 
+def test_lines_keep_every_character(spark):
+    """Those that stand between the parts of a match meanwhile, too."""
+    text = '1.2.3.4 - - [29/Feb/2024:23:30:00 +0000] "GET /a\x01b\x02a\x02\x01 HTTP/1.1" 200 7 "-" "x\x02b\x01"'
+    o = parse_lines(spark.createDataFrame([(1, text)], "line_number long, value string")).first().observation
+    assert (o.path, o.user_agent, o.bytes, o.referrer) == ("/a\x01b\x02a\x02\x01", "x\x02b\x01", 7.0, None)
+
+
+def test_fields_not_asked_for_are_not_computed(spark):
+    lines = spark.createDataFrame([(1, '{"path": "/x", "status": 200, "userAgent": "GPTBot"}'), (2, "x")], "line_number long, value string")
+    narrow = parse_lines(lines, ("agent",))
+    assert [(r.ok, r.observation and r.observation.agent.agent_id is not None) for r in narrow.orderBy("line_number").collect()] == [(True, True), (False, None)]
+    plan = narrow._jdf.queryExecution().executedPlan().toString()
+    assert "yyyy" not in plan and "referrer" not in plan
+
+
 def test_line_numbers_are_dense(spark, tmp_path):
     for name, n in (("a.log", 30_000), ("b.log", 3)):
         (tmp_path / name).write_text("".join(f"{name} {i}\n" for i in range(1, n + 1)))
@@ -231,3 +246,55 @@ def test_full_audit(spark):
     assert ranked[0].priority == "critical" and len({r.finding_id for r in ranked}) == len(ranked)
     with pytest.raises(capabilities.CapabilityError):
         capabilities.REGISTRY["site.full_audit"](inputs, google="required")
+
+
+def test_store_has_one_writer_and_few_versions(spark, tmp_path):
+    folder, row = f"file://{tmp_path}/q", lambda n: spark.createDataFrame([(f"s{n}", "r", "c", "y")], queue_state.SYNCS)
+    first = queue_state.write_version(row(0), folder, expected=None)
+    with pytest.raises(queue_state.Conflict):
+        queue_state.write_version(row(1), folder, expected=None)
+    with queue_state.locked(spark, folder), pytest.raises(queue_state.Conflict):
+        queue_state.write_version(row(2), folder)
+    assert queue_state.current_version(spark, folder) == first
+    for n in range(3, 8):
+        last = queue_state.write_version(row(n), folder, expected=queue_state.current_version(spark, folder))
+    assert queue_state.read_version(spark, folder, queue_state.SYNCS).first().site == "s7" and queue_state.current_version(spark, folder) == last
+    assert sum(p.name.startswith("v-") for p in (tmp_path / "q").iterdir()) == queue_state.KEEP and not (tmp_path / "q/LOCK").exists()
+
+
+def test_listed_option():
+    assert capabilities.listed_option(None, ["a"]) == ["a"] and capabilities.listed_option("none", ["a"]) == [] and capabilities.listed_option(" x, ,y ", []) == ["x", "y"]
+    with pytest.raises(capabilities.CapabilityError):
+        capabilities.listed_option(" , ", [])
+
+
+def test_public_names():
+    import siftline
+
+    assert all(hasattr(siftline, name) for name in siftline.__all__) and siftline.traffic.counters
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace as N
+
+    from siftline.functions.shared import shared_root
+
+    context = N(getConf=lambda: {}, getCheckpointDir=lambda: None, master="spark://a:7077")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_root(N(conf={}, sparkContext=context))
+
+
+def test_site_findings_cut_long_evidence(spark):
+    """45 pages on one title and one sitemap: 20 and 40 are cited, in page order, and all are counted; the html is read once."""
+    from siftline.plans import queries_site
+
+    rows = spark.range(45).select(F.lit("s").alias("site"), F.concat(F.lit("https://s.example/"), "id").alias("url"), F.col("id").alias("ordinal"), F.array(F.lit("sitemap")).alias("sources"), F.concat(F.lit("https://s.example/"), "id").alias("final_url"), F.lit(200).alias("status"),
+                                  F.array(F.struct(F.lit("https://s.example/").alias("url"), F.lit(301).alias("status"), F.lit("x").alias("location"))).alias("redirects"), F.array().cast("array<string>").alias("x_robots_tag"), html_facts.html_facts(F.lit("<title>T</title>"), F.lit("https://s.example/")).alias("facts"), F.lit(None).cast("string").alias("error"))
+    sites = spark.createDataFrame([("s", "https://s.example/", True, 1, True, [])], "site string, root string, sitemap_complete boolean, valid_sitemaps int, crawl_complete boolean, bad_sitemaps array<string>")
+    got = {r.rule_id.split(":")[0]: r for r in crawl.site_findings(rows, sites).collect()}
+    assert set(got) == {"SITEMAP_URL_REDIRECTS_V1", "DUPLICATE_TITLE_IN_AUDITED_SET_V1", "UNLINKED_IN_COMPLETE_STATIC_CRAWL_V1"}
+    assert {k: (r.pages, len(r.evidence_refs)) for k, r in got.items()} == {"SITEMAP_URL_REDIRECTS_V1": (45, 40), "DUPLICATE_TITLE_IN_AUDITED_SET_V1": (45, 20), "UNLINKED_IN_COMPLETE_STATIC_CRAWL_V1": (45, 40)}
+    first = rows.orderBy("ordinal").limit(2).select(crawl.page_evidence_id(F.col("url")).alias("ref")).collect()
+    assert got["SITEMAP_URL_REDIRECTS_V1"].evidence_refs[:2] == [r.ref for r in first]
+    plan = queries_site.site_rules(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan  # it lies before the narrow table
