@@ -63,6 +63,28 @@ def test_large_buckets(spark):
     assert [r.doc_id for r in near.one_of_each(docs).collect()] == [0] and pairs < 150 * 149 / 3
 
 
+def test_large_groups_by_brute_force(spark):
+    """Groups above the limits, around the similarity, so that a hub alone leaves members out."""
+    rng = random.Random(11)
+    texts = []
+    for b in range(2):
+        base = [f"b{b}w{i}" for i in range(200)]
+        for k in range(70):
+            other = list(base)
+            for at in rng.sample(range(200), k % 8):
+                other[at] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(other))
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    root = slow_groups(texts)
+    assert 2 < len(set(root)) < 100
+    rows = near.shingled(docs.selectExpr("*", "0L AS mark"))
+    hubs = near.similar(rows, rows.select("row"), near.candidates(rows, 4))
+    hubs = {r.node for r in simhash.components(hubs).collect()}
+    assert sorted(r.doc_id for r in near.one_of_each(docs, most=4).collect()) == sorted(set(root))
+    linked = {r["class"] for r in rows.collect() if root.count(root[r.doc_id]) > 1}
+    assert len(hubs) < len(linked)
+
+
 def test_odd_documents(spark):
     docs = odd_documents(spark)
     kept = near.one_of_each(docs)
