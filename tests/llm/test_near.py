@@ -78,7 +78,7 @@ def test_large_groups_by_brute_force(spark):
     root = slow_groups(texts)
     assert 2 < len(set(root)) < 100
     rows = near.shingled(docs.selectExpr("*", "0L AS mark"))
-    hubs = near.similar(rows, rows.select("row"), near.candidates(rows, 4))
+    hubs = near.similar(rows.select("class", "shingles").dropDuplicates(["class"]), near.candidates(rows, 4))
     hubs = {r.node for r in simhash.components(hubs).collect()}
     assert sorted(r.doc_id for r in near.one_of_each(docs, most=4).collect()) == sorted(set(root))
     linked = {r["class"] for r in rows.collect() if root.count(root[r.doc_id]) > 1}
