@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import cotraining, knn, langid, lines, mixing, mjpeg, packing, simhash, tokencount, warc
+from . import collocations, cotraining, knn, langid, lines, mixing, mjpeg, packing, simhash, tokencount, warc
 
 QUERIES = {
     "op1_voronoi_knn": knn.op1_voronoi_knn,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_systematic_mixing": mixing.op9_systematic_mixing,
     "op10_crf_langid": langid.op10_crf_langid,
+    "op11_collocations": collocations.op11_collocations,
 }
 ORACLES = {
     "op1_voronoi_knn": knn.OP1_SQL,
     "op2_warc_writer": warc.OP2_SQL,
     "op4_line_site_spread": lines.OP4_SQL,
     "op9_systematic_mixing": mixing.OP9_SQL,
+    "op11_collocations": collocations.OP11_SQL,
 }
