@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import collocations, cotraining, knn, langid, lines, mixing, mjpeg, packing, simhash, tokencount, warc
+from . import bytebpe, collocations, cotraining, knn, langid, lines, mixing, mjpeg, packing, pq, simhash, tokencount, warc
 
 QUERIES = {
     "op1_voronoi_knn": knn.op1_voronoi_knn,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_systematic_mixing": mixing.op9_systematic_mixing,
     "op10_crf_langid": langid.op10_crf_langid,
     "op11_collocations": collocations.op11_collocations,
+    "op12_byte_bpe": bytebpe.op12_byte_bpe,
+    "op13_elkan_codes": pq.op13_elkan_codes,
 }
 ORACLES = {
     "op1_voronoi_knn": knn.OP1_SQL,
@@ -23,4 +25,5 @@ ORACLES = {
     "op4_line_site_spread": lines.OP4_SQL,
     "op9_systematic_mixing": mixing.OP9_SQL,
     "op11_collocations": collocations.OP11_SQL,
+    "op13_elkan_codes": pq.OP13_SQL,
 }
