@@ -7,8 +7,8 @@ counted by language.
 2. Each part of the pieces has its weighted n-grams added up by duckdb, ``CHUNK`` bytes of pieces at a time, and sends every hash
    bucket one sorted, compressed block. A phrase that is frequent everywhere reaches its bucket once for each block, so no phrase is
    hot; its bucket is a hash of all of it.
-3. Each bucket's blocks go into a duckdb database on the worker's own disk, as a spill that ends with the task, and are added up
-   there with ``MEMORY`` of memory, however large the bucket. Phrases of fewer than ``least`` occurrences end here: a part of a
+3. Each bucket's blocks go into duckdb and are added up there with ``MEMORY`` of memory, however large the bucket: beyond it, duckdb spills to
+   the worker's temporary folder, as Spark's own sorts do; that ends with the task. Phrases of fewer than ``least`` occurrences end here: a part of a
    candidate occurs at least as often as the candidate.
 4. Each cut of a candidate asks for the counts of its two parts. Requests are shuffled to the parts' counts, once for each part and
    salt, and the answers back to the requests of that salt; a word that is part of very many candidates is spread over all tasks.
@@ -24,12 +24,12 @@ table gives an empty result; only text and lang are read.
 
 from __future__ import annotations
 
-import os
 import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,9 +37,11 @@ from .common import ship, table, written
 
 LONGEST, LEAST, INSIDE, TOP, SCALE = 3, 10, 50, 2000, 1_000_000
 #: Bytes of pieces whose n-grams are added up before they are sent, and the memory of one duckdb.
-CHUNK, MEMORY = 4 << 20, "200MB"
+CHUNK, MEMORY = 4 << 20, "300MB"
+#: Parts of a language that are ranked by themselves first.
+SALTS = 64
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-GRAM = ["lang", "words", "phrase", "f"]
+GRAMS = ["lang", "words", "phrases", "f"]
 COUNTS = "lang string, phrase string, words int, f long"
 
 
@@ -54,17 +56,40 @@ def pieces(docs: DataFrame) -> DataFrame:
 def _duckdb(folder: str):
     import duckdb
 
-    db = duckdb.connect(os.path.join(folder, "counts.duckdb"))
-    for setting in (f"memory_limit = '{MEMORY}'", "threads = 1", f"temp_directory = '{folder}/spill'", "preserve_insertion_order = false"):
+    db = duckdb.connect()
+    for setting in (f"memory_limit = '{MEMORY}'", "threads = 1", f"temp_directory = '{folder}'", "preserve_insertion_order = false"):
         db.execute(f"SET {setting}")
     return db
 
 
 def _grams(longest: int) -> str:
-    """SQL: the n-grams of the rows of ``pieces`` with their weights."""
+    """SQL: the n-grams of the rows of ``pieces`` that begin in the first ``starts`` words, with their weights."""
     of = lambda k: "||' '||".join(f"ws[i+{j}]" if j else "ws[i]" for j in range(k))
-    parts = (f"SELECT lang, {k} AS words, {of(k)} AS phrase, m FROM (SELECT lang, m, ws, unnest(range(1, len(ws) - {k - 2})) AS i FROM split WHERE len(ws) >= {k})" for k in range(1, longest + 1))
-    return "WITH split AS MATERIALIZED (SELECT lang, m, string_split(piece, ' ') AS ws FROM pieces) " + " UNION ALL ".join(parts)
+    parts = (f"SELECT lang, {k} AS words, {of(k)} AS phrase, m FROM (SELECT lang, m, ws, unnest(range(1, least(starts, len(ws) - {k - 1}) + 1)) AS i FROM split WHERE len(ws) >= {k})" for k in range(1, longest + 1))
+    return "WITH split AS MATERIALIZED (SELECT lang, m, starts, string_split(piece, ' ') AS ws FROM pieces) " + " UNION ALL ".join(parts)
+
+
+def _bounded(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[pa.Table]:
+    """The pieces in tables of about CHUNK bytes; a longer one is cut, and its cuts overlap by the n-grams that begin before them."""
+    held: list[tuple[str, str, int, int]] = []
+    size = 0
+    table = lambda: pa.table(dict(zip(("lang", "piece", "m", "starts"), map(list, zip(*held, strict=True)), strict=True)))
+    for batch in batches:
+        for lang, piece, m in zip(*(batch.column(c).to_pylist() for c in ("lang", "piece", "m")), strict=True):
+            if len(piece) > CHUNK:
+                words = piece.split(" ")
+                step = max(1, len(words) * CHUNK // (2 * len(piece)))
+                cuts = [(" ".join(words[at : at + step + longest - 1]), step) for at in range(0, len(words), step)]
+            else:
+                cuts = [(piece, len(piece))]
+            for cut, starts in cuts:
+                held.append((lang, cut, m, starts))
+                size += len(cut)
+                if size > CHUNK:
+                    yield table()
+                    held, size = [], 0
+    if held:
+        yield table()
 
 
 def _packed(block: pa.RecordBatch) -> bytes:
@@ -75,36 +100,55 @@ def _packed(block: pa.RecordBatch) -> bytes:
 
 
 def _blocks(buckets: int, longest: int):
+    import duckdb
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with tempfile.TemporaryDirectory() as folder, _duckdb(folder) as db:
-            sql = f"SELECT (hash(lang, phrase) % {buckets})::INT AS bucket, lang, words::INT AS words, phrase, sum(m)::BIGINT AS f FROM ({_grams(longest)}) GROUP BY ALL ORDER BY bucket, lang, phrase"
-
-            def counted(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                db.register("pieces", pa.Table.from_batches(held))
-                found = db.sql(sql).to_arrow_table().combine_chunks()
-                db.unregister("pieces")
-                # rows are in the order of their buckets, so each bucket is one run
-                bucket = found.column("bucket").to_numpy()
-                starts = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
-                for at, end in zip(starts, [*starts[1:], len(bucket)], strict=True):
-                    block = pa.RecordBatch.from_arrays([found.column(c).slice(at, end - at).combine_chunks() for c in GRAM], GRAM)
-                    yield pa.RecordBatch.from_arrays([pa.array([bucket[at]], pa.int32()), pa.array([_packed(block)], pa.binary())], ["bucket", "block"])
-
-            held, size = [], 0
-            for batch in batches:
-                for at in range(0, batch.num_rows, 256):
-                    part = batch.slice(at, 256)
-                    held.append(part)
-                    size += sum(map(len, part.column("piece").to_pylist()))
-                    if size > CHUNK:
-                        yield from counted(held)
-                        held, size = [], 0
-            if held:
-                yield from counted(held)
+            sums = f"SELECT (hash(lang, phrase) % {buckets})::INT AS bucket, lang, words::INT AS words, phrase, sum(m)::BIGINT AS f FROM ({_grams(longest)}) GROUP BY ALL"
+            sql = f"{sums} ORDER BY bucket, lang, words, phrase"
+
+            def counted(some: pa.Table) -> Iterator[pa.RecordBatch]:
+                db.register("pieces", some)
+                try:
+                    found = db.sql(sql).to_arrow_table().combine_chunks()
+                except duckdb.OutOfMemoryException:
+                    if some.num_rows < 2:
+                        raise
+                    found = None
+                finally:
+                    db.unregister("pieces")
+                if found is None:
+                    half = some.num_rows // 2
+                    yield from counted(some.slice(0, half))
+                    yield from counted(some.slice(half))
+                elif found.num_rows:
+                    yield from _runs(found)
+
+            for some in _bounded(batches, longest):
+                yield from counted(some)
 
     return run
 
 
+def _runs(found: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Rows in order of bucket, lang and words -> a block for each bucket, with a row for each lang and words.
+
+    Phrases are joined by line ends, which no piece holds: neighbours in order compress well, and no offsets are sent.
+    """
+    bucket, lang, words, phrase, f = (pa.concat_arrays(c.chunks) for c in found.columns)
+    marks = [bucket.to_numpy(), lang.dictionary_encode().indices.to_numpy(), words.to_numpy()]
+    starts = np.flatnonzero(np.logical_or.reduce([np.diff(x, prepend=-1) != 0 for x in marks]))
+    ends = pa.array([*starts, len(bucket)], pa.int32())
+    joined = pc.binary_join(pa.ListArray.from_arrays(ends, phrase), "\n")
+    rows = pa.RecordBatch.from_arrays([lang.take(starts), words.take(starts), joined, pa.ListArray.from_arrays(ends, f)], GRAMS)
+    own = bucket.to_numpy()[starts]
+    at = np.flatnonzero(np.diff(own, prepend=-1)).tolist()
+    for start, end in zip(at, [*at[1:], len(own)], strict=True):
+        part = rows.slice(start, end - start)
+        block = pa.RecordBatch.from_arrays([pa.concat_arrays([c]) for c in part.columns], GRAMS)  # without the rest of the columns
+        yield pa.RecordBatch.from_arrays([pa.array([own[start]], pa.int32()), pa.array([_packed(block)], pa.binary())], ["bucket", "block"])
+
+
 def _sums(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with tempfile.TemporaryDirectory() as folder, _duckdb(folder) as db:
@@ -112,7 +156,7 @@ def _sums(least: int):
             for batch in batches:
                 for block in batch.column("block"):
                     db.register("block", pa.ipc.open_stream(block.as_buffer()).read_all())
-                    db.execute("INSERT INTO grams SELECT lang, words, phrase, f FROM block")
+                    db.execute("INSERT INTO grams SELECT lang, words, unnest(string_split(phrases, chr(10))), unnest(f) FROM block")
                     db.unregister("block")
             # the words of each language in this bucket, the rare ones too, as a row without a phrase
             totals = "SELECT lang, NULL::VARCHAR AS phrase, 1 AS words, sum(f)::BIGINT AS f FROM grams WHERE words = 1 GROUP BY lang"
@@ -164,8 +208,10 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, in
     """Each language's first ``top`` collocations: lang, rank, phrase, a, l, r, n and score."""
     found = counts(docs, longest, least, buckets)
     kept = scored(found).join(contained(found, inside), ["lang", "phrase"], "left_anti")
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    best = kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    # a language's best are among the best of its parts, so that no task ranks one language's phrases alone
+    by = [F.desc("score"), F.desc("a"), "phrase"]
+    first = kept.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(SALTS))).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*by))).where(F.col("rank") <= top)
+    best = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*by))).where(F.col("rank") <= top)
     totals = found.where("phrase IS NULL").groupBy("lang").agg(F.sum("f").alias("n"))
     return best.join(totals, "lang").select("lang", F.col("rank").cast("long"), "phrase", "a", "l", "r", "n", "score")
 
