@@ -85,6 +85,35 @@ def test_large_groups_by_brute_force(spark):
     assert len(hubs) < len(linked)
 
 
+def test_all_pairs_of_all_buckets(spark):
+    """Families with families inside, far above the limit: the same components as all pairs that share a bucket."""
+    rng = random.Random(13)
+    texts = []
+    for f in range(3):
+        base = [f"f{f}w{i}" for i in range(150)]
+        for s in range(4):
+            branch = list(base)
+            for at in rng.sample(range(150), 3 * s):
+                branch[at] = f"s{s}y{at}"
+            for k in range(25):
+                other = list(branch)
+                for at in rng.sample(range(150), k % 7):
+                    other[at] = f"x{rng.randrange(10**6)}"
+                texts.append(" ".join(other + [f"z{rng.randrange(10**6)}" for _ in range(k % 5)]))
+    rows = near.shingled(spark.createDataFrame(list(enumerate(texts)), DOCS).selectExpr("*", "0L AS mark"))
+    found = {r["class"]: (r.bands, set(r.shingles)) for r in rows.collect()}
+    edges = [(a, b) for a in found for b in found if a < b and any(x == y for x, y in zip(found[a][0], found[b][0])) and 5 * len(found[a][1] & found[b][1]) >= 4 * len(found[a][1] | found[b][1])]
+    root = {c: c for c in found}
+    for a, b in edges:
+        low, high = sorted((root[a], root[b]))
+        root = {c: low if r == high else r for c, r in root.items()}
+    for most in (2, 16):
+        mine = {r["class"]: r.root for r in near.groups(rows, most).collect()}
+        assert len(set(root.values())) > 5
+        same = lambda x: sorted(sorted(c for c in x if x[c] == r) for r in set(x.values()))
+        assert same(mine) == same(root)
+
+
 def test_odd_documents(spark):
     docs = odd_documents(spark)
     kept = near.one_of_each(docs)
