@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftline.functions.urls import document_url
@@ -41,13 +41,16 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def save(records: DataFrame, folder: str) -> DataFrame:
-    """Append the records that can be stored and whose ids aren't there yet; the rejects come back."""
+    """Append the records that can be stored and whose ids aren't there yet; the rejects come back. Of one id in the same batch, the one recorded first stays."""
     spark = records.sparkSession
     good, bad = prepared(records)
+    names = [c.split()[0] for c in CHANGES.replace("\n", " ").split(", ")]
+    order = Window.partitionBy("id").orderBy("recorded_at", F.xxhash64(*names))
+    good = good.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth")
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
         good = good.join(read(spark, folder).select("id"), "id", "left_anti")
-    good.select(*[c.split()[0] for c in CHANGES.replace("\n", " ").split(", ")]).write.mode("append").parquet(folder)
+    good.select(*names).write.mode("append").parquet(folder)
     return bad
 
 

@@ -15,6 +15,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftline.functions.shared import checkpointed
 from siftline.functions.urls import document_url
 
 # Ranks, statuses, and caps on history and reasons.
@@ -31,8 +32,8 @@ verified_at string, history array<{EVENT}>"""
 SYNCS = "site string, latest_run_id string, completed_at string, synced_at string"
 
 
-#: Names the current version. A leading underscore would hide it from readers.
-POINTER, LOCK, KEEP = "CURRENT", "LOCK", 3
+#: Names the current version. A leading underscore would hide it from readers. A lock older than LEASE_MS is a dead writer's.
+POINTER, LOCK, KEEP, LEASE_MS = "CURRENT", "LOCK", 3, 10 * 60_000
 
 
 class OutOfOrder(ValueError):
@@ -67,7 +68,7 @@ def check_order(runs: DataFrame, syncs: DataFrame) -> DataFrame:
 
 
 def sync(state: DataFrame, syncs: DataFrame, runs: DataFrame, derived: DataFrame, absent: DataFrame, now: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """One run of each of many sites -> the new state, the new syncs, and each opportunity's outcome.
+    """One run of each of many sites -> the new state, the new syncs, and each opportunity's outcome. The merge runs once, into a checkpoint.
 
     runs: site, run_id, completed_at. derived: site, source, kind, comparison_key, priority (what the runs found). absent: site,
     source, comparison_key, latest_run_id, verdict for stored ones that the run didn't find, by the run they were last seen in:
@@ -107,7 +108,7 @@ def sync(state: DataFrame, syncs: DataFrame, runs: DataFrame, derived: DataFrame
     observed = F.when(present, "present").when(o.isin("verified", "not_observed"), "not_observed").when(o.isin("unknown", "unknown_quietly"), "unknown").otherwise(s.observation_state)
     entered = o.isin("created", "reopened", "updated", "verified", "not_observed", "unknown")
     judged = merged.withColumn("_outcome", outcome)
-    new = judged.select(
+    new = checkpointed(judged.select(
         "id", "site", F.coalesce(d.source, s.source).alias("source"), F.coalesce(d.kind, s.kind).alias("kind"), F.coalesce(d.comparison_key, s.comparison_key).alias("comparison_key"),
         F.coalesce(d.priority, s.priority).alias("priority"), status.alias("status"),
         F.when(o == "reopened", None).when((o == "verified") & (s.status != "dismissed"), reason).otherwise(s.status_reason).alias("status_reason"), observed.alias("observation_state"),
@@ -117,7 +118,7 @@ def sync(state: DataFrame, syncs: DataFrame, runs: DataFrame, derived: DataFrame
         F.when(o == "verified", run).when(present, None).otherwise(s.verified_newer).alias("verified_newer"),
         F.when(o == "verified", now).when(present, None).otherwise(s.verified_at).alias("verified_at"),
         F.when(entered, _appended(s.history, _event(now, event, run, s.status, status, reason))).otherwise(s.history).alias("history"), o.alias("_outcome"),
-    )
+    ))
     newer = due.select("site", F.col("_run").alias("latest_run_id"), F.col("_done").alias("completed_at"), F.lit(now).alias("synced_at"))
     kept = syncs.join(due.select("site"), "site", "left_anti").select("site", "latest_run_id", "completed_at", "synced_at")
     outcomes = new.where("_outcome <> 'untouched'").select("id", "site", "priority", F.when(F.col("_outcome") == "unknown_quietly", "unknown").otherwise(F.col("_outcome")).alias("outcome"))
@@ -189,8 +190,11 @@ def _hadoop(spark: SparkSession, folder: str, name: str):
 
 @contextlib.contextmanager
 def locked(spark: SparkSession, folder: str) -> Iterator[None]:
-    """One writer at a time: the lock is a file that only one can create. A writer that died leaves it; then it must be removed by hand."""
+    """One writer at a time: the lock is a file that only one can create. What it guards is a rename, so a lock older than LEASE_MS is left by a writer that died, and goes."""
     path, fs = _hadoop(spark, folder, LOCK)
+    with contextlib.suppress(Py4JJavaError):  # there is none
+        if fs.getFileStatus(path).getModificationTime() < time.time() * 1000 - LEASE_MS:
+            fs.delete(path, False)
     try:
         fs.create(path, False).close()
     except Py4JJavaError as taken:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,15 +38,23 @@ def as_runs(audits: DataFrame) -> DataFrame:
     return out.select("run_id", "saved_at", "completed_at", "site", "site_key", F.sha2("audit", 256).alias("sha256"), F.octet_length("audit").cast("long").alias("bytes"), "audit")
 
 
-def save(audits: DataFrame, path: str) -> None:
-    """Append the runs that aren't there yet; one that is stays as it was."""
-    rows = as_runs(audits).where(F.col("bytes") <= MAX_BYTES)
+def save(audits: DataFrame, path: str) -> DataFrame:
+    """Append the runs that aren't there yet; one that is stays as it was. -> rejects: run_id, bytes and reason of runs that are too large.
+
+    Of rows with one run_id in the same batch, the one saved first stays (then the one of the least digest), as if they had come one by one.
+    """
+    rows = as_runs(audits)
     spark = rows.sparkSession
+    large = F.col("bytes") > MAX_BYTES
+    rejects = rows.where(large).select("run_id", "bytes", F.lit(f"a stored run has at most {MAX_BYTES} bytes").alias("reason"))
+    order = Window.partitionBy("run_id").orderBy("saved_at", "sha256")
+    good = rows.where(~large).withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth")
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
-        rows = rows.join(read(spark, path).select("run_id"), "run_id", "left_anti")
-    rows.write.mode("append").partitionBy("site_key").parquet(path)
+        good = good.join(read(spark, path).select("run_id"), "run_id", "left_anti")
+    good.write.mode("append").partitionBy("site_key").parquet(path)
+    return rejects
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

@@ -10,6 +10,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 from siftline.functions.shared import checkpointed
 from siftline.operators import queue_state
+from siftline.sources.commits import Change, Commit, Tables, part_of
+
+#: A run as it comes, and the tables that a batch changes together.
+RUN = "site string, run_id string, completed_at string"
+STREAM = "queue"
 
 
 def fold(runs: DataFrame, state: DataFrame, syncs: DataFrame, derive: Callable[[DataFrame], DataFrame], judge: Callable[[DataFrame, DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -18,8 +23,6 @@ def fold(runs: DataFrame, state: DataFrame, syncs: DataFrame, derive: Callable[[
     derive(runs) gives what they found, judge(state, runs) verdicts on what they didn't. Sites advance together, one run each at
     a time, so there are as many merges as one site has runs.
     """
-
-
     late = None
     order = Window.partitionBy("site").orderBy("completed_at", "run_id")
     numbered = checkpointed(runs.withColumn("_nth", F.row_number().over(order)))
@@ -34,15 +37,29 @@ def fold(runs: DataFrame, state: DataFrame, syncs: DataFrame, derive: Callable[[
     return state, syncs, late if late is not None else runs.limit(0)
 
 
+def apply(tables: Tables, batch: DataFrame, number: int, derive: Callable[[DataFrame], DataFrame], judge: Callable[[DataFrame, DataFrame], DataFrame]) -> Commit:
+    """Fold a batch into the stored queue by one commit of state, syncs, late runs and the batch's number.
+
+    Tables are cut by site: only the parts of the batch's sites are read and replaced. A batch whose number has been committed changes nothing,
+    whenever its first run was killed.
+    """
+    runs = checkpointed(batch.select("site", "run_id", "completed_at"))
+    site = part_of(F.col("site"))
+    parts = tuple(sorted(r[0] for r in runs.select(site).distinct().collect()))  # at most PARTS numbers
+
+    def change(base: Commit) -> dict[str, Change]:
+        read = lambda table, schema: tables.read(table, schema, base, list(parts))
+        state, syncs, late = fold(runs, read("state", queue_state.STATE), read("syncs", queue_state.SYNCS), derive, judge)
+        refused = read("late", RUN).unionByName(late.select("site", "run_id", "completed_at"))
+        return {name: Change(rows.withColumn("part", site), parts) for name, rows in (("state", state), ("syncs", syncs), ("late", refused))}
+
+    return tables.update(change, (STREAM, number))
+
+
 def start(runs: DataFrame, folder: str, checkpoint: str, derive: Callable[[DataFrame], DataFrame], judge: Callable[[DataFrame, DataFrame], DataFrame]) -> StreamingQuery:
-    """Fold each micro-batch into the state under folder. A batch that is run again is a repeat, and changes nothing."""
+    """Fold each micro-batch into the queue under folder; ``Tables(spark, folder).read`` gives state, syncs and late."""
 
     def each(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        state, syncs = queue_state.read_version(spark, f"{folder}/state"), queue_state.read_version(spark, f"{folder}/syncs", queue_state.SYNCS)
-        state, syncs, late = fold(batch, state, syncs, derive, judge)
-        queue_state.write_version(state, f"{folder}/state")
-        queue_state.write_version(syncs, f"{folder}/syncs")
-        late.write.mode("overwrite").parquet(f"{folder}/late/batch={number}")
+        apply(Tables(batch.sparkSession, folder), batch, number, derive, judge)
 
     return runs.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from siftline.operators import queue_state, traffic
 from siftline.sources.adapters import log_lines
+from siftline.sources.commits import Tables
 from siftline.sources.logs import parse_lines
 from siftline.streaming import logs, queue
 
@@ -34,6 +35,6 @@ def test_queue_stream(spark, tmp_path):
     for n, rows in enumerate(([("a", "r1", "1"), ("a", "r2", "2"), ("b", "x1", "1")], [("a", "r0", "0"), ("b", "x1", "1")])):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(str(source))
         queue.start(spark.readStream.schema(schema).json(str(source)), folder, f"{tmp_path}/c", derive, judge).awaitTermination()
-    state = {r.site: r.occurrences for r in queue_state.read_version(spark, f"{folder}/state").collect()}
+    state = {r.site: r.occurrences for r in Tables(spark, folder).read("state", queue_state.STATE).collect()}
     assert state == {"a": 2, "b": 1}
-    assert [r.run_id for r in spark.read.schema(schema).parquet(f"{folder}/late").collect()] == ["r0"]
+    assert [r.run_id for r in Tables(spark, folder).read("late", schema).collect()] == ["r0"]
