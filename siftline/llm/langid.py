@@ -12,7 +12,8 @@ probability over its words, and this mean is the score.
 Sample: up to ``DOCS`` documents of each language, those of the least hash, and of each a window of ``CHARS`` characters at a place
 set by the hash. It is all that reaches the driver, whatever the corpus. Every language is learned; every text is labelled whole.
 
-Cases: null and empty texts, and those without a letter, are ``und`` with score 0; with no labelled documents, all are; null
+Cases: null and empty texts, and those without a letter, are ``und`` with score 0; with no labelled documents, all are; if none of
+their texts has a letter, all languages are as likely, and the first one is told; null
 langs and null doc_ids don't teach; ties go to the language first in code point order; repeated rows get equal rows; an empty
 table gives an empty result; columns besides doc_id, text and (for learning) lang aren't read.
 """
@@ -214,6 +215,8 @@ def learn(sample: list[tuple[str, str]], seed: int = 7) -> Model:
         gaps = np.nonzero((x[1:] == 0) & (x[:-1] != 0))[0] + 1  # where a word has just ended
         cuts = [0, *gaps[SEQUENCE // 2 :: SEQUENCE // 2].tolist(), len(x)]
         runs += [(langs.index(lang), x[a:b]) for a, b in zip(cuts, cuts[1:], strict=False) if (x[a:b] != 0).any()]
+    if not runs:  # nothing to learn from: all languages are as likely
+        return Model(langs, np.zeros((HASHED + 1, k), dtype=np.float32), np.zeros(0, dtype=words_of([codes("a")]).keys.dtype), np.zeros((1, k), dtype=np.float32), np.zeros((k, k)))
     # each sequence is two runs: of one language or, every other time, of any two
     order = rng.permutation(len(runs)).tolist()
     same: dict[int, list[int]] = {}

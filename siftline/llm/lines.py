@@ -20,11 +20,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftline.sources.logs import once
+
 from .common import table, written
 
 MIN_SITES, LONG_SITES, LONG = 10, 3, 120
 #: Standard errors of a sketch with 2**10 registers are near 3 %; the band is far wider.
 LOG_K, BAND = 10, 0.25
+#: Hashes that a document loses, up to which each of its lines looks through all of them.
+FEW = 64
 SPACE = " \t\r\x0b\x0c"
 
 
@@ -54,7 +58,7 @@ def _sited(docs: DataFrame) -> DataFrame:
 
 
 def marked(docs: DataFrame, min_sites: int = MIN_SITES, band: float = BAND, long_sites: int = LONG_SITES) -> DataFrame:
-    """docs' columns in the struct ``document``, and the hashes of the lines it loses in ``lost`` (null: none)."""
+    """docs' columns in the struct ``document``, the hashes of the lines it loses in ``lost``, and the lines left in ``kept`` (null both: it loses none)."""
     sited = _sited(docs)
     held = F.array_distinct(F.filter(F.transform("lines", line_hash), lambda h: h.isNotNull()))
     lines = written(
@@ -67,17 +71,34 @@ def marked(docs: DataFrame, min_sites: int = MIN_SITES, band: float = BAND, long
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"),
         F.col("doc_id").alias("_doc"), F.when(F.col("source").isNotNull(), F.xxhash64("source")).alias("_at"),
     )
-    return whole.join(lost, F.col("_doc").eqNullSafe(F.col("_id")) & F.col("_at").eqNullSafe(F.col("_site")), "left").select("document", "lost")
+    met = whole.join(lost, F.col("_doc").eqNullSafe(F.col("_id")) & F.col("_at").eqNullSafe(F.col("_site")), "left")
+    tabled = once(met.select("document", "lost", F.when(F.size("lost") > FEW, _by_bits(F.col("lost"))).alias("table")), ["document", "lost"], "table")
+    return once(tabled.withColumn("kept", F.when(F.col("lost").isNotNull(), _kept(F.col("document.text")))), ["document", "lost"], "kept")
+
+
+def _place(h: Column, level: int) -> Column:
+    """Six bits of a hash, the first ones at level 0."""
+    return F.shiftrightunsigned(h, 58 - 6 * level).bitwiseAND(F.lit(63)).cast("int")
+
+
+def _by_bits(hashes: Column) -> Column:
+    """Hashes in 64 arrays of 64 arrays by their first twelve bits: a lookup sees the few that share these, however many there are."""
+    places = F.sequence(F.lit(0), F.lit(63))
+    first = F.transform(places, lambda a: F.filter(hashes, lambda h: _place(h, 0) == a))
+    return F.transform(first, lambda own: F.transform(places, lambda b: F.filter(own, lambda h: _place(h, 1) == b)))
 
 
 def _kept(text: Column) -> Column:
-    lines = F.split(text, "\n")
-    return F.when(F.col("lost").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("lost"), line_hash(x)), F.lit(False))))
+    """The lines of text whose hashes aren't in ``lost``, or in ``table`` if there are many."""
+    own = lambda h: F.element_at(F.element_at("table", _place(h, 0) + 1), _place(h, 1) + 1)
+    among = lambda h: F.when(F.col("table").isNull(), F.array_contains("lost", h)).otherwise(F.array_contains(own(h), h))
+    hashed = F.transform(F.split(text, "\n"), lambda x: F.struct(x.alias("line"), line_hash(x).alias("h")))
+    return F.transform(F.filter(hashed, lambda x: x.h.isNull() | ~among(x.h)), lambda x: x.line)
 
 
 def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     """docs' rows and columns, with boilerplate lines taken out of text."""
-    text = F.when(F.col("lost").isNull(), F.col("document.text")).otherwise(F.array_join(_kept(F.col("document.text")), "\n"))
+    text = F.when(F.col("lost").isNull(), F.col("document.text")).otherwise(F.array_join("kept", "\n"))
     return marked(docs, **options).select(*[(text if c == "text" else F.col(f"document.`{c}`")).alias(c) for c in docs.columns])
 
 
@@ -85,12 +106,11 @@ def op4_line_site_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: doc_id, lines, removed, text (what is left)."""
     docs = marked(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     lines = F.coalesce(F.size(F.split("document.text", "\n")), F.lit(0))
-    kept = _kept(F.col("document.text"))
     return docs.select(
         F.col("document.doc_id").alias("doc_id"),
         F.when(F.col("document.text").isNull(), 0).otherwise(lines).cast("long").alias("lines"),
-        F.when(F.col("lost").isNull(), 0).otherwise(lines - F.size(kept)).cast("long").alias("removed"),
-        F.when(F.col("lost").isNull(), F.col("document.text")).otherwise(F.array_join(kept, "\n")).alias("text"),
+        F.when(F.col("lost").isNull(), 0).otherwise(lines - F.size("kept")).cast("long").alias("removed"),
+        F.when(F.col("lost").isNull(), F.col("document.text")).otherwise(F.array_join("kept", "\n")).alias("text"),
     )
 
 

@@ -119,6 +119,22 @@ def test_odd_documents(spark, model):
     assert {r.lang_pred for r in langid.predict(docs, None).collect()} == {"und"}
 
 
+def test_teachers_without_a_letter(spark, tmp_path):
+    """Documents teach, but there is nothing to learn from: by op10's own path and by the pipeline's first stage."""
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for texts in ((["123 456", ""], ["", "!!"]), ([None, ""], [" ", "\n"])):
+        rows = [(i, x, lang, "s", 1) for lang, own in zip(("en", "de"), texts, strict=True) for i, x in enumerate(own * 3)] + [(50, "words here", None, "s", 1)]
+        folder = str(tmp_path / str(texts[0][0]))
+        spark.createDataFrame(rows, schema).write.parquet(f"{folder}/documents.parquet")
+        got = langid.op10_crf_langid(spark, folder).collect()
+        assert {(r.doc_id, r.lang_pred, r.score) for r in got if r.doc_id == 50} == {(50, "de", 0.5)} and {r.lang_pred for r in got if r.doc_id != 50} == {"und"}
+        kept = corpus_pipeline.language_id(spark, spark.read.schema(schema).parquet(f"{folder}/documents.parquet"), folder)
+        assert [r.doc_id for r in kept.collect()] == [50]
+    assert langid.learn([("en", "")]).langs == ["en"]
+
+
 def test_long_texts_do_not_depend_on_their_parts(spark, model, monkeypatch):
     text = " ".join(spark.read.parquet(f"{SF}/documents.parquet").limit(30).toPandas().text)
     whole = langid.languages(model, [text])

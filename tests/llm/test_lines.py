@@ -36,3 +36,11 @@ def test_odd_documents(spark):
     assert out.columns == docs.columns and out.count() == docs.count()
     assert out.where("text IS NULL").count() == docs.where("text IS NULL").count()
     assert lines.dedup_lines(empty_documents(spark)).count() == 0
+
+
+def test_many_shared_lines(spark):
+    """Documents that lose thousands of lines: more than are looked through one by one."""
+    shared = [f"line {i}" for i in range(3000)]
+    texts = {i: "\n".join([*shared, f"own {i}", "", *shared[:5]]) for i in range(12)}
+    docs = spark.createDataFrame([(i, t, "en", f"s{i}", 1) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id: r.text for r in lines.dedup_lines(docs).collect()} == {i: t if i == 0 else f"own {i}\n" for i, t in texts.items()}
