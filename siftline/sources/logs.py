@@ -12,13 +12,8 @@ from pyspark.sql import functions as F
 
 from siftline.functions.agents import classify_user_agent
 
-# The combined log format, field by field: address, identity and user aren't kept; then time, request (method and target),
-# status, size, referrer and agent.
-_UNKEPT = [r"\S+"] * 3
-_KEPT = [r"\[([^\]]+)\]", r'"([^\s"]+)\s+(.+?)\s+HTTP/[^"]+"', r"(\d{3})", r"(\S+)", r'"([^"]*)"', r'"([^"]*)"']
-COMBINED = r"^" + r"\s+".join(_UNKEPT + _KEPT) + r"(?:\s.*)?$"
-#: Stands between the parts of a match; where a line holds it, it is spelled otherwise meanwhile.
-MARK, ESCAPE = "\x01", "\x02"
+#: White space between fields; a request's version begins after it.
+BLANKS, VERSION = r"\s+", r"\s+HTTP/"
 NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 # Alias paths in order of preference.
@@ -63,6 +58,44 @@ def _combined_time(raw: Column) -> Column:
     return F.try_to_timestamp(raw, F.lit("dd/MMM/yyyy:HH:mm:ss Z"))
 
 
+def _closing(quoted: Column) -> Column:
+    """A line cut at its quotes -> which part ends the request, from 1; null if none can.
+
+    It holds the version; behind it come status and size, the referrer, blanks, the agent, and then nothing or a blank. The first such part counts, so a target may hold
+    quotes of its own.
+    """
+
+    def ends(e: Column) -> Column:
+        numbers, between, rest = F.get(quoted, e + 1), F.get(quoted, e + 3), F.get(quoted, e + 5)
+        sized = F.split(numbers, BLANKS)  # between two empty ends
+        placed = (F.size(sized) == 4) & (F.get(sized, F.lit(0)) == "") & (F.get(sized, F.lit(3)) == "") & (F.length(F.get(sized, F.lit(1))) == 3) & F.get(sized, F.lit(1)).rlike(r"^[0-9]+$")
+        closed = F.when(rest == "", F.size(quoted) == e + 6).otherwise(F.btrim(F.left(rest, F.lit(1)), F.lit(" \t\r\n\x0b\x0c")) == "")
+        return F.coalesce(F.get(quoted, e).rlike(VERSION) & placed & (between != "") & (F.btrim(between, F.lit(" \t\r\n\x0b\x0c")) == "") & closed, F.lit(False))
+
+    first = F.lit(1)
+    later = F.when(F.size(quoted) > 7, F.get(F.filter(F.sequence(F.lit(2), F.greatest(F.size(quoted) - 6, F.lit(2))), ends), F.lit(0)))
+    return F.when(ends(first), first).otherwise(later)
+
+
+def _combined_fields(quoted: Column, e: Column) -> dict[str, Column]:
+    """The texts of a combined line's fields, by their place; null for all that a broken line can't give."""
+    # address, identity and user, which aren't kept, then the time in brackets and a blank
+    head = F.split(F.get(quoted, F.lit(0)), BLANKS, 4)
+    stamp = F.get(head, F.lit(3))
+    bare = F.rtrim(F.translate(stamp, "\t\r\n\x0b\x0c", "     "))
+    inner = F.substring(stamp, F.lit(2), F.length(bare) - 2)
+    timed = F.startswith(stamp, F.lit("[")) & F.endswith(bare, F.lit("]")) & (F.length(bare) < F.length(stamp)) & (F.length(bare) > 2) & ~F.contains(inner, F.lit("]"))
+    version = F.split(F.get(quoted, e), VERSION, 2)
+    opened = F.array_join(F.concat(F.slice(quoted, F.lit(2), e - 1), F.array(F.get(version, F.lit(0)))), '"')
+    request = F.split(opened, BLANKS, 2)
+    method, target = F.get(request, F.lit(0)), F.get(request, F.lit(1))
+    asked = (method != "") & ~F.contains(method, F.lit('"')) & (target != "") & (F.get(version, F.lit(1)) != "")
+    numbers = F.split(F.get(quoted, e + 1), BLANKS)
+    fine = F.coalesce(timed & asked, F.lit(False))
+    found = {"ts_raw": inner, "method": method, "path": target, "status": F.get(numbers, F.lit(1)), "bytes": F.get(numbers, F.lit(2)), "referrer": F.get(quoted, e + 2), "user_agent": F.get(quoted, e + 4)}
+    return {k: F.when(fine, v) for k, v in found.items()}
+
+
 #: Fields of an observation; time and agent cost most.
 FIELDS = ("method", "path", "status", "bytes", "referrer", "user_agent", "ts", "ts_raw", "agent")
 
@@ -73,36 +106,34 @@ def parse_lines(lines: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame
     raw = lines.select(*own, F.coalesce(F.btrim(F.col("value"), F.lit(" \t\r\n\x0b\x0c")), F.lit("")).alias("_line"))
     trimmed = once(raw, own, "_line")
     is_json = F.startswith("_line", F.lit("{"))
-    # one match gives all parts, in a row between marks
-    odd = F.contains("_line", F.lit(MARK)) | F.contains("_line", F.lit(ESCAPE))
-    spelled = F.when(odd, F.replace(F.replace("_line", F.lit(ESCAPE), F.lit(ESCAPE + "b")), F.lit(MARK), F.lit(ESCAPE + "a"))).otherwise(F.col("_line"))
-    split = F.split(F.regexp_replace(spelled, COMBINED, MARK + MARK.join(f"${n}" for n in range(1, 8))), MARK)
-    parts = ["ts_raw", "method", "path", "status", "bytes", "referrer", "user_agent"]
-    wanted = {"path", "status", *fields, *(["ts_raw"] if "ts" in fields else []), *(["user_agent"] if "agent" in fields else [])} & set(parts)
-    names = [c for c in parts if c in wanted]
+    texts = ["ts_raw", "method", "path", "status", "bytes", "referrer", "user_agent"]
+    wanted = {"path", "status", *fields, *(["ts_raw"] if "ts" in fields else []), *(["user_agent"] if "agent" in fields else [])} & set(texts)
+    names = [c for c in texts if c in wanted]
     aliases = {"ts_raw": "time"}
-    shaped = once(trimmed.withColumns({"_is_json": is_json, "_json": F.when(is_json, F.try_parse_json("_line")), "_parts": F.when(~is_json, split), "_odd": odd}), [*own, "_line"], "_is_json", "_json", "_parts", "_odd")
-    kept = [*own, "_line", "_is_json", "_json", "_parts", "_odd"]
-    found = once(shaped.withColumns({f"_{k}": _field(aliases.get(k, k)) for k in names}), kept, *[f"_{k}" for k in names])
-    bare = lambda x: F.when(F.col("_odd"), F.replace(F.replace(x, F.lit(ESCAPE + "a"), F.lit(MARK)), F.lit(ESCAPE + "b"), F.lit(ESCAPE))).otherwise(x)
-    part = lambda k: F.get("_parts", F.lit(parts.index(k) + 1))
+    kept = [*own, "_line", "_is_json"]
+    shaped = once(trimmed.withColumns({"_is_json": is_json, "_json": F.when(is_json, F.try_parse_json("_line")), "_quoted": F.when(~is_json, F.split("_line", '"'))}), [*own, "_line"], "_is_json", "_json", "_quoted")
+    ended = once(shaped.withColumn("_end", _closing(F.col("_quoted"))), [*kept, "_json", "_quoted"], "_end")
+    combined = _combined_fields(F.col("_quoted"), F.col("_end"))
+    cells = {f"_{k}": _field(aliases.get(k, k)) for k in names} | {f"_c_{k}": combined[k] for k in names}
+    found = once(ended.withColumns(cells), [*kept, "_json"], *cells)
+    part = lambda k: F.col(f"_c_{k}")
     json, is_json = (lambda k, f: f(F.col(f"_{k}"))), F.col("_is_json")
-    cells = {
-        "method": lambda: F.when(is_json, F.coalesce(json("method", _text), F.lit("GET"))).otherwise(bare(part("method"))),
-        "path": lambda: F.when(is_json, json("path", _text)).otherwise(bare(part("path"))),
+    chosen = {
+        "method": lambda: F.when(is_json, F.coalesce(json("method", _text), F.lit("GET"))).otherwise(part("method")),
+        "path": lambda: F.when(is_json, json("path", _text)).otherwise(part("path")),
         "status": lambda: F.when(is_json, json("status", _number)).otherwise(part("status").try_cast("double")),
         "bytes": lambda: F.when(is_json, json("bytes", _number)).when(part("bytes").rlike(NUMBER), part("bytes").try_cast("double")),
-        "referrer": lambda: F.nullif(F.when(is_json, json("referrer", _text)).otherwise(bare(part("referrer"))), F.lit("-")),
-        "user_agent": lambda: F.when(is_json, F.coalesce(json("user_agent", _text), F.lit(""))).otherwise(bare(part("user_agent"))),
+        "referrer": lambda: F.nullif(F.when(is_json, json("referrer", _text)).otherwise(part("referrer")), F.lit("-")),
+        "user_agent": lambda: F.when(is_json, F.coalesce(json("user_agent", _text), F.lit(""))).otherwise(part("user_agent")),
         "ts_raw": lambda: F.when(is_json, json("ts_raw", _text)).otherwise(F.nullif(part("ts_raw"), F.lit(""))),
     }
     reason = (
         F.when(F.col("_line") == "", EMPTY)
         .when(is_json & F.col("_json").isNull(), BROKEN_JSON)
         .when(is_json & (F.col("path").isNull() | F.col("status").isNull()), INCOMPLETE_JSON)
-        .when(~is_json & (F.size("_parts") < 2), UNKNOWN_FORMAT)
+        .when(~is_json & F.col("path").isNull(), UNKNOWN_FORMAT)
     )
-    read = once(found.withColumns({k: cells[k]() for k in names}), kept, *names)
+    read = once(found.withColumns({k: chosen[k]() for k in names}), [*kept, "_json"], *names)
     judged = once(read.withColumn("reason", reason), [*own, "_is_json", *names], "reason")
     last = {}
     if "ts" in fields:

@@ -34,6 +34,38 @@ def test_combined_format(spark):
     assert o.agent.behavior == "training"
 
 
+HEAD = "1.2.3.4 - - [29/Feb/2024:23:30:00 +0000]"
+ACCEPTED = {
+    f'{HEAD} "GET / HTTP/1.1" 200 5 "-" "x"': ("GET", "/", 200.0, 5.0, None, "x"),
+    f'{HEAD} "GET / HTTP/1.1" 200 5 "" ""': ("GET", "/", 200.0, 5.0, "", ""),
+    f'  {HEAD}\t"GET\t/  HTTP/1.1"  200\t-  "-"  "x"  ': ("GET", "/", 200.0, None, None, "x"),
+    f'{HEAD} "GET /a "b" HTTP/1.1" 200 5 "-" "x"': ("GET", '/a "b"', 200.0, 5.0, None, "x"),
+    f'{HEAD} "GET / HTTP/1.0 HTTP/1.1" 200 5 "-" "x"': ("GET", "/", 200.0, 5.0, None, "x"),
+    f'{HEAD} "GET / HTTP/ HTTP/1.1" 200 5 "-" "x"': ("GET", "/", 200.0, 5.0, None, "x"),
+    f'{HEAD} "GET /x HTTP/1.1" 499 many "r" "x" "more" 1 "2': ("GET", "/x", 499.0, None, "r", "x"),
+    f'{HEAD} "get /[x] HTTP/3" 000 0x10 "r" "x" ': ("get", "/[x]", 0.0, None, "r", "x"),
+    '::1 a b [soon [now] "GET / HTTP/1.1" 200 5 "-" "x"': ("GET", "/", 200.0, 5.0, None, "x"),
+}
+REFUSED = [
+    "x", '"', '""""""""""', HEAD, f'{HEAD} "GET / HTTP/1.1" 200 5 "-"', f'{HEAD} "GET / HTTP/1.1" 200 5 "-" "x', f'{HEAD} "GET / HTTP/1.1" 200 5 "-" "x"y',
+    f'{HEAD} "GET / HTTP/1.1" 200 5 "-" "x""', f'{HEAD} "GET / HTTP/1.1"200 5 "-" "x"', f'{HEAD} "GET / HTTP/1.1" 200 5"-" "x"', f'{HEAD} "GET / HTTP/1.1" 200 5 "-""x"',
+    f'{HEAD} "GET / HTTP/1.1" 20 5 "-" "x"', f'{HEAD} "GET / HTTP/1.1" 2000 5 "-" "x"', f'{HEAD} "GET / HTTP/1.1" 2x0 5 "-" "x"', f'{HEAD} "GET / HTTP/1.1" 200 "-" "x"', f'{HEAD} "GET / HTTP/1.1" 200 5 6 "-" "x"',
+    f'{HEAD} "GET /" 200 5 "-" "x"', f'{HEAD} "GET HTTP/1.1" 200 5 "-" "x"', f'{HEAD} "GET / HTTP/" 200 5 "-" "x"', f'{HEAD} " GET / HTTP/1.1" 200 5 "-" "x"', f'{HEAD} "G"T / HTTP/1.1" 200 5 "-" "x"', f'{HEAD} "-" 400 5 "-" "x"',
+    f'{HEAD}"GET / HTTP/1.1" 200 5 "-" "x"', '1.2.3.4 - [t] "GET / HTTP/1.1" 200 5 "-" "x"', '1.2.3.4 - - - [t] "GET / HTTP/1.1" 200 5 "-" "x"', '1.2.3.4 - - [] "GET / HTTP/1.1" 200 5 "-" "x"', '1.2.3.4 - - t "GET / HTTP/1.1" 200 5 "-" "x"',
+    '1.2.3.4 - - [a]b] "GET / HTTP/1.1" 200 5 "-" "x"', '1.2.3.4 - - [a] b "GET / HTTP/1.1" 200 5 "-" "x"',
+]
+
+
+def test_lines_accepted_and_refused(spark):
+    texts = [*ACCEPTED, *REFUSED]
+    rows = {r.line_number: r for r in parse_lines(spark.createDataFrame(list(enumerate(texts)), "line_number long, value string")).collect()}
+    for n, text in enumerate(texts):
+        o = rows[n].observation
+        got = o and (o.method, o.path, o.status, o.bytes, o.referrer, o.user_agent)
+        assert got == ACCEPTED.get(text), text
+        assert rows[n].reason == (None if text in ACCEPTED else "Line is neither supported JSON nor Apache/Nginx combined format.")
+
+
 def test_lines_keep_every_character(spark):
     """Those that stand between the parts of a match meanwhile, too."""
     text = '1.2.3.4 - - [29/Feb/2024:23:30:00 +0000] "GET /a\x01b\x02a\x02\x01 HTTP/1.1" 200 7 "-" "x\x02b\x01"'
