@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from siftline.functions.shared import checkpointed
 from siftline.operators import changes, coverage, crawl, html_facts, page_rules, priority
+from siftline.operators import redirects as redirect_ops
 from siftline.plans import queries_audit, queries_site
 from siftline.sources import reports
 from siftline.sources.adapters import table, view, with_views
@@ -41,6 +42,28 @@ def redirects(s, d):
     return rows.select("page_id", reports.redirects_admissible(F.col("url"), hops).alias("admissible"))
 
 
+def redirect_chains(s, d):
+    """Where each stored response's chain ends."""
+    found = redirect_ops.followed(view(s, d, "v_responses"))
+    return found.select("requested_url", "final_url", F.coalesce("status", F.lit(0)).alias("status"), F.when(F.col("redirects").isNull(), 0).otherwise(F.size("redirects")).cast("long").alias("redirects"), F.array_join(F.transform("redirects", lambda h: h.location), " ").alias("through"), "error")
+
+
+REDIRECTS_SQL = with_views("v_responses").replace("WITH ", "WITH RECURSIVE ", 1) + """, hops AS (
+  SELECT url, status, location IS NOT NULL AND status IN (301, 302, 303, 307, 308) AS redirects,
+    CASE WHEN location LIKE '/%' THEN regexp_extract(url, '^https?://[^/]+') || location ELSE location END AS target FROM v_responses
+), chain AS (
+  SELECT url AS start, url AS here, 0 AS i, [url] AS visited, NULL::VARCHAR AS error, NULL::INT AS status, false AS done FROM hops
+  UNION ALL
+  SELECT start, CASE WHEN step IS NULL THEN target ELSE here END, i + 1, CASE WHEN step IS NULL THEN list_append(visited, target) ELSE visited END, nullif(step, 'final'), CASE WHEN step = 'final' THEN own END, step IS NOT NULL FROM (
+    SELECT c.start, c.here, c.i, c.visited, h.target, h.status AS own, CASE WHEN h.url IS NULL THEN 'FETCH_FAILED' WHEN NOT h.redirects THEN 'final' WHEN c.i >= 5 THEN 'REDIRECT_LIMIT_EXCEEDED'
+      WHEN h.url LIKE 'https:%' AND h.target LIKE 'http:%' THEN 'HTTPS_DOWNGRADE_BLOCKED'
+      WHEN regexp_extract(h.url, '//(www\\.)?([^/]+)', 2) <> regexp_extract(h.target, '//(www\\.)?([^/]+)', 2) THEN 'CROSS_HOST_REDIRECT_BLOCKED'
+      WHEN list_contains(c.visited, h.target) THEN 'REDIRECT_LOOP' END AS step
+    FROM chain c LEFT JOIN hops h ON h.url = c.here WHERE NOT c.done))
+SELECT start AS requested_url, CASE WHEN error IS NULL THEN here END AS final_url, coalesce(status, 0) AS status, CASE WHEN error IS NULL THEN len(visited) - 1 ELSE 0 END AS redirects,
+  CASE WHEN error IS NULL THEN array_to_string(visited[2:], ' ') END AS through, error FROM chain WHERE done"""
+
+
 def site_edges(s, d):
     """Internal links of v_edges' graph, with a status for each page."""
     n = lambda c: F.concat(F.lit("https://s"), F.col("site").cast("string"), F.lit(".example/p"), F.col(c).cast("string"))
@@ -129,6 +152,7 @@ QUERIES = {
     "s10_incomplete_reasons": reasons,
     "s11_fetch_digests": fetch_digests,
     "p15_redirects": redirects,
+    "s11_redirect_chains": redirect_chains,
     "f_number_or_zero": numbers,
     "a21_u4_combined_coverage": coverage_parts,
     "a22_u1_first_wins": first_wins,
@@ -148,6 +172,7 @@ ORACLES = {
     "s10_incomplete_reasons": with_views("v_fetches") + """ SELECT page_id, CASE page_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'dataState=all can include incomplete data; first incomplete date: 2024-01-' || page_id ELSE 'dataState=hourly_all can include incomplete data; first incomplete hour: ' || page_id END AS gsc,
   CASE page_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'the source applied thresholds; the source put rows together in an (other) row' ELSE 'the source put rows together in an (other) row' END AS ga4 FROM v_fetches""",
     "s11_fetch_digests": with_views("v_fetches") + " SELECT page_id, strlen(html)::BIGINT AS byte_length, sha256(html) AS sha256 FROM v_fetches",
+    "s11_redirect_chains": REDIRECTS_SQL,
     "p15_redirects": with_views("v_site_fetches") + " SELECT page_id, page_id % 7 IN (0, 2, 5) AS admissible FROM v_site_fetches",
     "f_number_or_zero": f"""WITH t AS (SELECT l_orderkey % 11 AS k, l_linenumber AS n, {SPELLED} AS text FROM lineitem)
   SELECT text, sum(CASE k WHEN 0 THEN n WHEN 1 THEN (n + 0.5) * 100 WHEN 6 THEN 16 + n WHEN 7 THEN -n / 10.0 WHEN 8 THEN n ELSE 0 END)::DOUBLE AS number, count(*) AS rows FROM t GROUP BY 1""",

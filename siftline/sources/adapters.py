@@ -62,6 +62,12 @@ VIEWS = {
   page_id % 3 <> 1 AS listed, page_id % 2 = 0 AS linked, page_id % 7 = 2 AS redirected, CASE WHEN page_id % 13 = 4 THEN 'noindex' ELSE '' END AS x_robots,
   replace(replace(html, '<head>', concat('<head>', CASE WHEN page_id % 5 = 1 THEN '<title>Again</title>' ELSE '' END, CASE WHEN page_id % 6 = 0 THEN '<link rel="canonical" href="/p2">' ELSE '' END)),
     '<body>', concat('<body><a href="/p', CAST((page_id * 3 + 1) % 40 AS VARCHAR(9)), '">a</a><a href="/p', CAST((page_id + 2) % 40 AS VARCHAR(9)), '#x">b</a>')) AS html FROM pages""",
+    # single responses of the same sites: redirects to other pages, whole or as paths, ways back, downgrades, other hosts, pages that weren't fetched
+    "v_responses": """SELECT page_id, concat('https://s', CAST(page_id // 40 AS VARCHAR(9)), '.example/h', CAST(page_id % 40 AS VARCHAR(9))) AS url,
+  CASE WHEN page_id % 9 = 4 THEN 200 WHEN page_id % 13 = 0 THEN 304 WHEN page_id % 2 = 0 THEN 301 ELSE 308 END AS status,
+  CASE WHEN page_id % 9 = 4 THEN NULL ELSE concat(CASE WHEN page_id % 10 = 0 THEN '' WHEN page_id % 31 = 7 THEN 'http://' ELSE 'https://' END,
+    CASE WHEN page_id % 10 = 0 THEN '' WHEN page_id % 37 = 8 THEN 'other' WHEN page_id % 41 = 9 THEN concat('www.s', CAST(page_id // 40 AS VARCHAR(9))) ELSE concat('s', CAST(page_id // 40 AS VARCHAR(9))) END,
+    CASE WHEN page_id % 10 = 0 THEN '/h' ELSE '.example/h' END, CAST(CASE WHEN page_id % 40 = 8 THEN 9 WHEN page_id % 40 = 9 THEN 8 ELSE (page_id % 40 * 7 + 3) % 40 END AS VARCHAR(9))) END AS location FROM pages""",
     # three audit runs of each host: findings come and go by page and run
     "v_run_findings": """SELECT r.run_no, concat('run-', CAST(r.run_no AS VARCHAR(9))) AS run_id, page_id, concat(split_part(url, '#', 1), '?n=', CAST(page_id AS VARCHAR(9))) AS url, rule_id,
   (page_id * 7 + r.run_no * 5 + k) % 4 <> 0 AS found, (page_id + r.run_no) % 11 <> 0 AS observed
