@@ -71,8 +71,8 @@ def page_changes(s, d):
 
 
 def site_runs(s, d):
-    """Five runs of each site of v_site_fetches, not saved in the order of their numbers; two at one time."""
-    rows = view(s, d, "v_site_fetches").where("n < 5")
+    """A run of each site for each page of v_site_fetches, not saved in the order of their numbers; many at one time."""
+    rows = view(s, d, "v_site_fetches")
     return rows.select(F.concat("site", F.lit("/"), F.col("n").cast("string")).alias("run_id"), "site", "n", F.concat(F.lit("2024-01-0"), ((F.col("n") * 3 + F.col("site_no")) % 5 % 4 + 1).cast("string")).alias("saved_at"))
 
 
@@ -80,7 +80,7 @@ def latest_runs(s, d):
     return compare.latest(site_runs(s, d), 2).select("site", "run_id", "recency")
 
 
-SITE_RUNS_SQL = with_views("v_site_fetches") + ", r AS (SELECT site || '/' || n AS run_id, site, site_no, n, '2024-01-0' || ((n * 3 + site_no) % 5 % 4 + 1) AS saved_at FROM v_site_fetches WHERE n < 5)"
+SITE_RUNS_SQL = with_views("v_site_fetches") + ", r AS (SELECT site || '/' || n AS run_id, site, site_no, n, '2024-01-0' || ((n * 3 + site_no) % 5 % 4 + 1) AS saved_at FROM v_site_fetches)"
 
 
 def latest_pairs(s, d):
@@ -294,10 +294,13 @@ QUERIES = {
 
 
 def _repeat(s, d):
-    """The latest run once more: nothing changes; a late one is refused."""
-    state, syncs, _ = queue(s, d, 2)
-    runs = audit(s, d)[0].select("site", "run_id", "completed_at")
-    return queue_state.check_order(runs, syncs).select("run_id", "action")
+    """Each site's run number 2 is synced; then all of its runs come: that one is a repeat, those before it are late, the others are due."""
+    runs = site_runs(s, d).select("site", "run_id", F.col("saved_at").alias("completed_at"))
+    first = runs.where("run_id LIKE '%/2'")
+    found = first.select("site", F.lit("technical").alias("source"), F.lit("k").alias("kind"), F.lit("c").alias("comparison_key"), F.lit("high").alias("priority"))
+    nothing = s.createDataFrame([], "site string, source string, comparison_key string, latest_run_id string, verdict string")
+    _, syncs, _ = queue_state.sync(s.createDataFrame([], queue_state.STATE), s.createDataFrame([], queue_state.SYNCS), first, found, nothing, "2024-02-01")
+    return queue_state.check_order(runs, syncs).select("site", "run_id", "action")
 
 
 _STATE = _queue_sql()
@@ -325,7 +328,7 @@ ORACLES = {
     "u2_t12_both_sources": "WITH q AS (" + _queue_sql(2) + "), g AS (" + SEARCH_QUEUE_SQL.rpartition("  SELECT id, CASE nth")[0] + """ SELECT b, CASE nth WHEN 1 THEN 'dismissed' WHEN 2 THEN 'planned' ELSE 'open' END AS status FROM m WHERE a OR b) SELECT 'technical' AS source, status, observation_state, count(*) AS items FROM q GROUP BY ALL
   UNION ALL SELECT 'google', status, CASE WHEN b THEN 'present' ELSE 'not_observed' END, count(*) FROM g GROUP BY ALL""",
     "st4_j14_queue_states": _STATE,
-    "st5_repeat_sync": "SELECT * FROM (VALUES ('run-1', 'late'), ('run-2', 'repeat'), ('run-3', 'sync')) t(run_id, action)",
+    "st5_repeat_sync": SITE_RUNS_SQL + " SELECT r.site, r.run_id, CASE WHEN r.run_id = c.run_id THEN 'repeat' WHEN c.saved_at > r.saved_at THEN 'late' ELSE 'sync' END AS action FROM r LEFT JOIN r c ON c.site = r.site AND c.n = 2",
     "a20_queue_summary": f"WITH q AS ({_STATE}) SELECT count(*) AS stored, " + ", ".join(f"count(*) FILTER (WHERE status = '{x}') AS {x}" for x in queue_state.STATUS_RANK) + ", " + ", ".join(f"count(*) FILTER (WHERE observation_state = '{x}') AS {x}" for x in queue_state.OBSERVATION_RANK) + " FROM q",
     "p10_t12_queue_list": f"WITH q AS ({_STATE}) SELECT id, status, observation_state, last_seen_at FROM q WHERE status IN ('open', 'planned') AND observation_state = 'present' ORDER BY last_seen_at DESC, id LIMIT 100",
     "t13_affected": _STATE.rpartition(" SELECT rule_id AS kind")[0] + """ SELECT 'opp_' || substr(sha256('opportunity-v1' || chr(0) || 'all' || chr(0) || 'technical' || chr(0) || rule_id || chr(0) || url), 1, 24) AS id,

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftline.functions.agents import classify_user_agent
+from siftline.functions.shared import contained
 
 #: White space between fields; a request's version begins after it.
 BLANKS, VERSION = r"\s+", r"\s+HTTP/"
@@ -154,12 +155,13 @@ def once(df: DataFrame, keep: list[str], *computed: str) -> DataFrame:
     return df.select(*keep, F.inline(F.array(F.struct(*computed))))
 
 
-def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """file, line_number (from 1 in each file) and value.
+def read_log(spark: SparkSession, path: str, root: str | None = None) -> DataFrame:
+    """file, line_number (from 1 in each file) and value. With a root, a local folder, a path that leads out of it is an error.
 
     Files are split over tasks; a line's number is its place in its split plus the lines of the file's splits before. The splits'
     counts are one row each, so no line is shuffled.
     """
+    path = path if root is None else f"file://{contained(root, path)}"
     at = F.monotonically_increasing_id()
     lines = spark.read.text(path).select(
         "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), at.alias("_at")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,14 +68,6 @@ def redirects_admissible(requested: Column, redirects: Column, most: int = 5) ->
     return (F.size(redirects) <= most) & fine & (F.size(F.array_distinct(documents)) == F.size(documents))
 
 
-def contained(root: str, path: str) -> str:
-    """The path, if it lies in root after links are followed."""
-    top, at = Path(root).resolve(), Path(root, path).resolve()
-    if top != at and top not in at.parents:
-        raise ValueError(f"{path} lies outside {root}")
-    return str(at)
-
-
 def first_of_each(rows: DataFrame, key: str, ordinal: str = "ordinal") -> DataFrame:
     """Of rows with one key the first counts: an aggregate, so that no key's rows are sorted."""
     cells = [c for c in rows.columns if c not in (key, ordinal)]

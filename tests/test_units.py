@@ -330,3 +330,44 @@ def test_site_findings_cut_long_evidence(spark):
     assert got["SITEMAP_URL_REDIRECTS_V1"].evidence_refs[:2] == [r.ref for r in first]
     plan = queries_site.site_rules(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" not in plan  # it lies before the narrow table
+
+
+def test_logs_within_a_root(spark, tmp_path):
+    root = tmp_path / "root"
+    (root / "in").mkdir(parents=True)
+    (root / "in/a.log").write_text("x\n")
+    (tmp_path / "secret.log").write_text("y\n")
+    (root / "in/way").symlink_to(tmp_path)
+    assert [r.value for r in read_log(spark, "in/a.log", str(root)).collect()] == ["x"]
+    for path in ("../secret.log", "in/way/secret.log", str(tmp_path / "secret.log")):
+        with pytest.raises(ValueError, match="outside"):
+            read_log(spark, path, str(root))
+
+
+def test_runs_that_are_too_large_or_come_twice(spark, tmp_path, monkeypatch):
+    folder, names = f"file://{tmp_path}/runs", "run_id string, saved_at string, completed_at string, site string, text string"
+    monkeypatch.setattr(runs, "MAX_BYTES", 1000)
+    rows = [("a", "2", "2", "s", "later"), ("a", "1", "1", "s", "first"), ("b", "1", "1", "s", "x" * 2000), ("c", "1", "1", "s", "y")]
+    rejects = runs.save(spark.createDataFrame(rows, names), folder)
+    assert [(r.run_id, r.bytes > 1000) for r in rejects.collect()] == [("b", True)]
+    stored = {(r.run_id, r.saved_at) for r in runs.read(spark, folder).collect()}
+    assert stored == {("a", "1"), ("c", "1")} and runs.read(spark, folder).count() == 2
+
+
+def test_changes_of_one_id_in_a_batch(spark, tmp_path):
+    from siftline.operators import changes
+
+    row = lambda at, note: ("c1", at, "opp_1", "s", ["https://s.example/"], "content", None, None, None, None, note, None)
+    for _ in range(2):
+        assert changes.save(spark.createDataFrame([row("2", "later"), row("1", "first"), row("1", "first")], changes.CHANGES), f"file://{tmp_path}/c").count() == 0
+    assert [r.note for r in changes.read(spark, f"file://{tmp_path}/c").collect()] == ["first"]
+
+
+def test_a_dead_writers_lock(spark, tmp_path, monkeypatch):
+    folder, row = f"file://{tmp_path}/q", spark.createDataFrame([("s", "r", "c", "y")], queue_state.SYNCS)
+    queue_state.write_version(row, folder)
+    (tmp_path / "q/LOCK").write_text("")
+    with pytest.raises(queue_state.Conflict):
+        queue_state.write_version(row, folder)
+    monkeypatch.setattr(queue_state, "LEASE_MS", -1000)
+    assert queue_state.write_version(row, folder) == queue_state.current_version(spark, folder)
