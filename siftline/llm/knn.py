@@ -15,7 +15,8 @@ query, and these are merged by a window over the query.
 Only pivots and summaries, whose size depends on ``max_pivots`` and k alone, reach the driver. Vectors with few dimensions or
 clear clusters are pruned hard; for random directions in 64 dimensions no bound can prune, and every unit is solved.
 
-Cases: vectors null, empty or with null or non-finite components take no part, as data or queries; queries and candidates of
+Cases: vectors null, empty or with null or non-finite components take no part, as data or queries; components beyond 62 bits, and scores that no
+long can tell, raise; large ones are multiplied as whole numbers of any size; queries and candidates of
 other dimensions don't meet; ties go to the smaller vec_id; null vec_ids take no part; repeated rows are candidates of their
 own, but no row meets its own vec_id; fewer candidates give fewer rows; an empty table gives no rows; other columns aren't read.
 """
@@ -43,7 +44,18 @@ EXACT = 1 << 53
 def whole(vector: Column) -> Column:
     """floor(64 * x) of each component; null if the vector takes no part."""
     fine = vector.isNotNull() & (F.size(vector) > 0) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return F.when(fine, F.transform(vector, lambda x: F.floor(x.cast("double") * SCALE).cast("long")))
+    # floor() of a double stops at the ends of a long
+    number = lambda x: F.when(F.abs(x) < 1 << 62, F.floor(x)).otherwise(F.raise_error("a component is too large for whole numbers of 62 bits"))
+    return F.when(fine, F.transform(vector, lambda x: number(x.cast("double") * SCALE)))
+
+
+def _exact(a: pd.Series, b: pd.Series) -> np.ndarray:
+    """Inner products of large numbers."""
+    a, b = (np.array(x.tolist(), dtype=object) for x in (a, b))
+    out = a @ b.T
+    if (abs(out) >= 1 << 63).any():
+        raise OverflowError("a score does not fit a long")
+    return out.astype(np.int64)
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
@@ -108,7 +120,7 @@ def _solve(k: int):
             if np.abs(asked).max() * np.abs(x).max() * x.shape[1] < EXACT:
                 scores, none = asked @ x.T, -np.inf
             else:
-                scores, none = np.array(some.v.tolist(), dtype=np.int64) @ np.array(data.v.tolist(), dtype=np.int64).T, np.iinfo(np.int64).min
+                scores, none = _exact(some.v, data.v), np.iinfo(np.int64).min
             scores[some.vec_id.to_numpy()[:, None] == ids] = none
             if scores.shape[1] > k:
                 # all that reach the k-th score, ties included, are sorted; ids rise, so a stable sort settles ties

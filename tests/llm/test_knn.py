@@ -57,3 +57,18 @@ def test_odd_vectors(spark):
     assert [r.v for r in frame.orderBy("vec_id").collect()] == [[64, 64], [32, -1], None, None, None, None, None, [0, 0]]
     empty = frame.where("false")
     assert knn.top_k(empty, empty).count() == 0
+
+
+def test_large_components(spark):
+    """Beyond what doubles tell apart, scores are exact; beyond a long they are an error, not another number."""
+    big = 2.0**24
+    rows = spark.createDataFrame([(i, [big + i, -big]) for i in range(30)], "vec_id long, embedding array<double>")
+    v = {i: (int(64 * (big + i)), int(-64 * big)) for i in range(30)}
+    vectors = rows.select("vec_id", knn.whole(rows.embedding).alias("v"))
+    got = {(r.query_id, r.vec_id): r.score for r in knn.top_k(vectors, vectors.where("vec_id % 20 = 0")).collect()}
+    assert got and all(score == sum(a * b for a, b in zip(v[q], v[x])) for (q, x), score in got.items()) and max(got.values()) > 1 << 60
+    for size, text in ((2.0**50, "long"), (1e18, "too large")):
+        rows = spark.createDataFrame([(i, [size, size]) for i in range(2)], "vec_id long, embedding array<double>")
+        vectors = rows.select("vec_id", knn.whole(rows.embedding).alias("v"))
+        with pytest.raises(Exception, match=text):
+            knn.top_k(vectors, vectors).collect()
