@@ -238,7 +238,7 @@ def run_store(s, d):
     saved.save(audits.where("run_id NOT LIKE '%/4'"), folder)
     saved.save(audits.withColumn("config", F.lit("second")), folder)
     damaged = saved.as_runs(rows.where("n = 0").select(F.concat("run_id", F.lit("-bad")).alias("run_id"), "saved_at", F.col("saved_at").alias("completed_at"), "site"))
-    damaged.withColumn("audit", F.concat("audit", F.lit("}"))).write.mode("append").partitionBy("site_key").parquet(folder)
+    saved.append(damaged.withColumn("audit", F.concat("audit", F.lit("}"))), folder)
     return saved.checked(saved.read(s, folder))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,6 +12,8 @@ from pyspark.sql import types as T
 RUNS = "run_id string, saved_at string, completed_at string, site string, site_key string, sha256 string, bytes bigint, audit string"
 # The cap on a stored run, and names of fields that must not be stored.
 MAX_BYTES = 50 * 1024 * 1024
+#: Hexadecimal digits of a site's key that name its folder. A folder a site would be as many small files as there are sites, in each save.
+PART = 2
 SENSITIVE = re.compile(r"^(?:access_?token|refresh_?token|client_?secret|authorization|cookie|raw_?html|body)$", re.IGNORECASE)
 
 
@@ -53,12 +56,24 @@ def save(audits: DataFrame, path: str) -> DataFrame:
     at = jvm.org.apache.hadoop.fs.Path(path)
     if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
         good = good.join(read(spark, path).select("run_id"), "run_id", "left_anti")
-    good.write.mode("append").partitionBy("site_key").parquet(path)
+    append(good, path)
     return rejects
 
 
+def append(runs: DataFrame, path: str) -> None:
+    """Rows of RUNS as further files of the table, in up to 256 folders of sites: a file a folder and save, more only where a folder gets many rows."""
+    parted = runs.withColumn("part", F.substring("site_key", 1, PART))
+    parted.hint("rebalance", "part").write.mode("append").partitionBy("part").parquet(path)
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(RUNS).parquet(path)
+    return spark.read.schema(f"{RUNS}, part string").parquet(path).drop("part")
+
+
+def of_site(spark: SparkSession, path: str, site: str) -> DataFrame:
+    """The runs of one site, from its folder alone."""
+    key = hashlib.sha256(site.lower().encode()).hexdigest()[:24]
+    return spark.read.schema(f"{RUNS}, part string").parquet(path).where((F.col("part") == key[:PART]) & (F.col("site_key") == key)).drop("part")
 
 
 def checked(runs: DataFrame) -> DataFrame:
