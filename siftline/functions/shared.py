@@ -42,6 +42,13 @@ def scratch(spark: SparkSession, what: str) -> str:
     return path
 
 
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: made once, however often it is read."""
+    path = scratch(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def contained(root: str, path: str) -> str:
     """The path, if it lies in root after links are followed."""
     top, at = Path(root).resolve(), Path(root, path).resolve()

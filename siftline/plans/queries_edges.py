@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftline.functions.shared import scratch
+from siftline.functions.shared import scratch, stored
 from siftline.operators import html_facts, page_rules, priority, search
 from siftline.plans import queries_search
 from siftline.sources import report_pages, runs
@@ -50,7 +50,7 @@ def json_rows(s, d):
 def stored_report(s, d):
     """v_gsc as a stored report of pages, in the order of query, page and day."""
     folder, size = scratch(s, "report"), 2000
-    rows = view(s, d, "v_gsc").groupBy("query", "page").agg(F.sum("clicks").alias("clicks"), F.sum("impressions").alias("impressions"))
+    rows = stored(view(s, d, "v_gsc").groupBy("query", "page").agg(F.sum("clicks").alias("clicks"), F.sum("impressions").alias("impressions")), "report-rows")
     # places in the whole order: those within a first letter, after all rows of the letters before
     letter = F.substring("query", 1, 1)
     sizes = rows.groupBy(letter.alias("letter")).agg(F.count("*").alias("n"))

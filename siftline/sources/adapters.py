@@ -78,6 +78,8 @@ VIEWS = {
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view of VIEWS over the tables of sf_dir; nothing is registered in the session."""
     used = {t: table(spark, sf_dir, t) for t in ("events", "lineitem", "part", "orders", "pages") if f" {t}" in VIEWS[name]}
+    # tables that grow with the input are never sent whole to the driver and every executor, however small their files look
+    used |= {t: used[t].hint("shuffle_hash") for t in ("part", "orders") if t in used}
     text = VIEWS[name].replace("VARCHAR(20)", "STRING").replace("VARCHAR(9)", "STRING")
     text = text.replace(" // ", " DIV ").replace("{", "{{").replace("}", "}}")
     for t in used:

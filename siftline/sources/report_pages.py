@@ -28,6 +28,7 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.types import StructType
 
+from siftline.functions.shared import stored
 from siftline.functions.ship import ship
 from siftline.sources.runs import as_json
 
@@ -43,7 +44,7 @@ def write(rows: DataFrame, folder: str, dimensions: list[str], metrics: list[str
     paged = rows.select((F.floor((F.col("ordinal") - 1) / page_size) * page_size).cast("long").alias("offset"), values.alias("r"))
     least = [f(f"r.{c}").alias(f"{k}_{c}") for c in names for k, f in (("low", F.min), ("high", F.max))]
     # a page is bounded by its size, so its rows may be one list
-    pages = paged.groupBy("offset").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("r")).alias("rows"), *least)
+    pages = stored(paged.groupBy("offset").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("r")).alias("rows"), *least), "pages")
     headers = [F.array(*[F.lit(c) for c in x]).cast("array<string>") for x in (dimensions, metrics)]
     cells = F.transform("rows", lambda r: F.array(*[r[c].cast("string") for c in names]))
     document = pages.select("offset", F.lit(page_size).alias("page_size"), headers[0].alias("dimensions"), headers[1].alias("metrics"), cells.alias("rows"))
@@ -52,7 +53,7 @@ def write(rows: DataFrame, folder: str, dimensions: list[str], metrics: list[str
     said = F.array(*[F.lit(r) for r in reasons]).cast("array<string>").alias("reasons")
     stats = [F.struct(*[F.col(f"{k}_{c}").alias(c) for c in names]).alias(k) for k in ("low", "high")]
     index = pages.select("offset", "n", F.lit(page_size).alias("page_size"), known, said, headers[0].alias("dimensions"), headers[1].alias("metrics"), *(stats if names else []))
-    if rows.isEmpty():
+    if pages.isEmpty():
         index = rows.sparkSession.range(1).select(F.lit(0).cast("long").alias("offset"), F.lit(0).cast("long").alias("n"), F.lit(page_size).alias("page_size"), known, said, headers[0].alias("dimensions"), headers[1].alias("metrics"))
     as_json(index).write.text(f"{folder}/index")
 
