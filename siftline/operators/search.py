@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.functions.urls import document_url, page_key
+from siftline.sources.logs import once
 
 MIN_IMPRESSIONS, CANDIDATES, GROUPS, GROUP_PAGES, MOVEMENTS = 100, 25, 10, 5, 10
 METRICS = ["sessions", "engaged_sessions", "key_events", "total_revenue"]
@@ -20,12 +21,14 @@ def roll_up(rows: DataFrame) -> DataFrame:
     """One row per query and document: fragments of a page are one document; blank queries and pages are left out."""
     number = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     cleaned = rows.select(F.trim("query").alias("query"), F.trim("page").alias("raw"), *[number(c).alias(c) for c in ("clicks", "impressions", "position")])
-    cleaned = cleaned.where("query <> '' AND raw <> ''").withColumn("page", document_url(F.col("raw")))
+    # added up by spelling first, so that a URL is taken apart once for each query and spelling, and lists of spellings get each once
+    spelled = cleaned.where("query <> '' AND raw <> ''").groupBy("query", "raw").agg(F.sum("clicks").alias("clicks"), F.sum("impressions").alias("impressions"), F.sum(F.col("position") * F.col("impressions")).alias("weighted"))
     total = F.sum("impressions")
-    return cleaned.groupBy("query", "page").agg(
+    # a join's filter on page would be put below the first sums, and take URLs apart row by row, but for the generator
+    return once(spelled.withColumn("page", document_url(F.col("raw"))), spelled.columns, "page").groupBy("query", "page").agg(
         F.array_sort(F.collect_set("raw")).alias("page_variants"), F.sum("clicks").alias("clicks"), total.alias("impressions"),
         F.coalesce(F.try_divide(F.sum("clicks"), total), F.lit(0.0)).alias("ctr"),
-        F.coalesce(F.try_divide(F.sum(F.col("position") * F.col("impressions")), total), F.lit(0.0)).alias("position"),
+        F.coalesce(F.try_divide(F.sum("weighted"), total), F.lit(0.0)).alias("position"),
     )
 
 
