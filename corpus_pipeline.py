@@ -2,7 +2,7 @@
 
 1. language_id: documents without a language, or whose words agree on none, go.
 2. line_dedup: lines on many sites go from all documents but one.
-3. near_dedup: of each group of near-duplicates, the document with the smallest id stays.
+3. near_dedup: of each group of near-duplicates, by SimHash and what its links leave apart, the document with the smallest id stays.
 4. mixing: each source's documents are taken as often as its target weight asks for.
 5. packing: the mixture's tokens in sequences of a fixed length.
 

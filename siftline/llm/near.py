@@ -1,7 +1,8 @@
 """Near-duplicate documents for the pipeline: runs of five words, Jaccard similarity of at least 0.8, connected components.
 
-op6's fingerprints link at two bits, where almost only copies are; at a similarity of 0.8 fingerprints differ in about ten of 64
-bits, too many for pigeonhole blocks. So candidates come from MinHash bands here, and each is verified on the shingles themselves.
+SimHash comes first, as in op6: a fingerprint of each set of shingles, pigeonhole blocks, links at two bits, each verified on the shingles
+themselves, components. At a similarity of 0.8 fingerprints differ in about ten of 64 bits, too many for pigeonhole blocks, so what the
+links leave apart are candidates by MinHash bands, verified likewise.
 
 Shingles: words as in op6 (lower-cased for A-Z, cut at ASCII white space); each run of five is a 32-bit hash, all words if there
 are fewer. Texts with equal shingles are one class from the start, so a group of copies is one row from there on; texts without
@@ -10,7 +11,8 @@ words are such a class.
 Candidates: ``BANDS`` bands of ``ROWS`` minima. Two texts of similarity s share a bucket with probability 1 - (1 - s^5)^20: 0.9996
 at 0.8. What shares a bucket is compared, exactly, without making all pairs of a group:
 
-1. All of a bucket of up to ``MOST`` are compared, in a larger one all with its hub, the member with most mates. Links join components.
+1. All of a bucket that still holds two components are compared with its hub, the member with most mates; then, where it still does and has up to
+   ``MOST`` members, all that aren't connected with each other. Links join components.
 2. Members of large buckets that aren't all connected by then meet again by what sets them apart from the hub: two of them that are similar, but
    not both to the hub, have much of that in common (``_differences`` has the proof), so they share one of their rarest such elements.
 3. The lists of these elements are compared in rounds: in each, all members of a list meet its ``WIDER`` (then twice as many, and so on) hubs, links join components,
@@ -35,6 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import ship, written
 from .simhash import LOWER, SEED, WORDS, components
+from .simhash import links as simhash_links
 
 SHINGLE, BANDS, ROWS, MOST, WIDER = 5, 20, 5, 16, 2
 #: Rows of a batch, and shingles, that are worked on at a time.
@@ -70,6 +73,15 @@ def bands(own: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in least.reshape(BANDS, ROWS)], dtype=np.uint64).view(np.int64)
 
 
+def fingerprint(own: np.ndarray) -> int:
+    """SimHash of a set of shingles, as in op6: a bit is set if over half of the shingles' hashes have it."""
+    counts = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(own), PART):
+        spread = _mixed(own[at : at + PART].astype(np.uint64)).astype(">u8")
+        counts += np.unpackbits(spread.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * counts > len(own)).tobytes(), "big")
+
+
 def _lists(parts: list[np.ndarray], kind: type) -> pa.ListArray:
     ends = np.cumsum([0, *map(len, parts)], dtype=np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.array([], dtype=kind), *parts])))
@@ -82,19 +94,30 @@ def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets = [shingles(x.as_py()) for x in batch.column("text")]
             classes = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("mark"), pa.array(classes), pa.array([len(x) for x in sets], pa.int32()), _lists([bands(x) if len(x) else np.array([], dtype=np.int64) for x in sets], np.int64), _lists([x.view(np.int32) for x in sets], np.int32)],
-                ["doc_id", "mark", "class", "n", "bands", "shingles"],
+                [batch.column("doc_id"), batch.column("mark"), pa.array(classes), pa.array([len(x) for x in sets], pa.int32()), pa.array(np.array([fingerprint(x) for x in sets], dtype=np.uint64).view(np.int64)), _lists([bands(x) if len(x) else np.array([], dtype=np.int64) for x in sets], np.int64), _lists([x.view(np.int32) for x in sets], np.int32)],
+                ["doc_id", "mark", "class", "n", "fp", "bands", "shingles"],
             )
 
 
 def shingled(docs: DataFrame) -> DataFrame:
-    """A row for each of docs (doc_id, text, mark): doc_id, mark, class (equal shingles), n, bands, shingles, and a number of its own."""
+    """A row for each of docs (doc_id, text, mark): doc_id, mark, class (equal shingles), n, fp, bands, shingles, and a number of its own."""
     ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), "mark")
-    found = rows.mapInArrow(_shingled, "doc_id long, mark long, class long, n int, bands array<long>, shingles array<int>")
+    found = rows.mapInArrow(_shingled, "doc_id long, mark long, class long, n int, fp long, bands array<long>, shingles array<int>")
     return written(found.withColumn("row", F.monotonically_increasing_id()), "shingles")
 
 
+def fingerprint_pairs(firsts: DataFrame) -> DataFrame:
+    """Rows of different classes (class, fp) -> distinct pairs (a, b) with a < b that stand for op6's links: of equal fingerprints with the smallest
+    class among them, and of fingerprints within two bits between these smallest ones."""
+    smallest = written(firsts.groupBy("fp").agg(F.min("class").alias("one")), "fingerprints")
+    near = simhash_links(smallest.select("fp"))
+    side = lambda x: smallest.select(F.col("fp").alias(x), F.col("one").alias(f"of_{x}"))
+    linked = near.join(side("a"), "a").join(side("b"), "b").select(F.col("of_a").alias("x"), F.col("of_b").alias("y"))
+    equal = firsts.join(smallest, "fp").where(F.col("class") != F.col("one")).select(F.col("one").alias("x"), F.col("class").alias("y"))
+    return linked.unionByName(equal).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def _buckets(firsts: DataFrame) -> DataFrame:
     keyed = firsts.select("class", "n", F.posexplode("bands").alias("band", "key"))
     sizes = keyed.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
@@ -178,10 +201,12 @@ def _differences(groups: DataFrame, sets: DataFrame) -> DataFrame:
 def links(rows: DataFrame, most: int = MOST) -> DataFrame:
     """shingled()'s rows -> edges (a, b) between classes whose similarity is at least 0.8."""
     chosen = rows.groupBy("class").agg(F.min("row").alias("row")).select("row")
-    firsts = written(rows.select("row", "class", "n", "bands").join(chosen, "row"), "firsts")
+    firsts = written(rows.select("row", "class", "n", "fp", "bands").join(chosen, "row"), "firsts")
     buckets = _buckets(firsts)
     # one row for each class that shares a bucket, for all rounds: shingles are shuffled once, and a group of copies sends them once
-    needed = firsts.select("row", "class").join(buckets.select("class").distinct(), "class").select("row")
+    by_print = written(fingerprint_pairs(firsts), "pairs")
+    wanted = buckets.select("class").unionByName(by_print.select(F.explode(F.array("a", "b")).alias("class"))).distinct()
+    needed = firsts.select("row", "class").join(wanted, "class").select("row")
     sets = written(rows.select("row", "class", "shingles").join(needed, "row").select("class", "shingles"), "sets")
 
     def linked(pairs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
@@ -190,9 +215,16 @@ def links(rows: DataFrame, most: int = MOST) -> DataFrame:
         new = written(pairs.join(similar(sets, pairs.select("a", "b")), ["a", "b"]), "edges")
         return new.select("a", "b"), None if new.isEmpty() else components(new.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
 
-    members = _members(buckets)
-    chosen = written(_hubs(members, most, 1), "hubs")
-    found, roots = linked(_met(members, chosen))
+    # SimHash first: what its links connect needs no pairs in the buckets
+    found, roots = linked(by_print.select("a", "b", F.col("a").alias("ca"), F.col("b").alias("cb")))
+    members = written(_apart(_members(buckets), roots), "members")
+    chosen = written(_hubs(members, 0, 1), "hubs")
+    new, roots = linked(_met(members, chosen))
+    found = found.unionByName(new)
+    members = written(_apart(members, roots), "members")
+    small = members.where(F.col("size") <= most)
+    new, roots = linked(_met(small, small.drop("size")))
+    found = found.unionByName(new)
     large = chosen.where(F.col("size") > most).select("band", "key", F.col("class").alias("hub"))
     met = _apart(members.where(F.col("size") > most), roots).join(large, ["band", "key"]).select("hub", "class", "c").distinct()
     members, hubs = written(_apart(_differences(met, sets)), "members"), WIDER

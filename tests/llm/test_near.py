@@ -128,3 +128,17 @@ def test_shared_and_missing_ids(spark):
     for some in (rows, rows[::-1]):
         kept = near.one_of_each(spark.createDataFrame(some, DOCS)).collect()
         assert {(r.doc_id, r.text) for r in kept} == want and len(kept) == 4
+
+
+def test_fingerprints_link_first(spark):
+    """SimHash proposes each pair within two bits, or a way between them; a pair that isn't similar enough goes by its shingles."""
+    texts = near_copies(seed=5, bases=6, copies=3, words=1500)
+    rows = near.shingled(spark.createDataFrame(list(enumerate(texts)), DOCS).selectExpr("*", "0L AS mark"))
+    prints = {r["class"]: r.fp for r in rows.collect()}
+    want = {(a, b) for a in prints for b in prints if a < b and ((prints[a] ^ prints[b]) & (1 << 64) - 1).bit_count() <= 2}
+    got = {(r.a, r.b) for r in near.fingerprint_pairs(rows).collect()}
+    assert want and got <= want and len({prints[c] for c in prints}) > 5
+    root = lambda edges: {r.node: r.root for r in simhash.components(spark.createDataFrame(sorted(edges), "a long, b long")).collect()}
+    assert root(got) == root(want)
+    found = {(r.a, r.b) for r in near.similar(rows.select("class", "shingles"), near.fingerprint_pairs(rows)).collect()}
+    assert found and found <= got
