@@ -11,15 +11,14 @@ words are such a class.
 Candidates: ``BANDS`` bands of ``ROWS`` minima. Two texts of similarity s share a bucket with probability 1 - (1 - s^5)^20: 0.9996
 at 0.8. What shares a bucket is compared, exactly, without making all pairs of a group:
 
-1. All of a bucket that still holds two components are compared with its hub, the member with most mates; then, where it still does and has up to
-   ``MOST`` members, all that aren't connected with each other. Links join components.
-2. Members of large buckets that aren't all connected by then meet again by what sets them apart from the hub: two of them that are similar, but
-   not both to the hub, have much of that in common (``_differences`` has the proof), so they share one of their rarest such elements.
-3. The lists of these elements are compared in rounds: in each, all members of a list meet its ``WIDER`` (then twice as many, and so on) hubs, links join components,
-   hubs leave, as all others have met them, and so do lists whose members are connected. It ends when no list is left.
+1. All of a bucket that still holds two components are compared with its hub, the member with most mates. Links join components.
+2. Where it then still does and has up to ``MOST`` members, all that aren't connected with each other are.
+3. Larger ones are cut into tiles of up to ``TILE`` members and about ``UNIT`` shingles, those connected with the hub apart from the others. Two tiles are a unit, unless both are of the
+   hub's component or of lengths that rule the similarity out. A task holds one unit, counts what all its members have in common by products of matrices, and returns
+   links that connect what is similar, two a member at most: pairs are no rows anywhere.
 
-So a group of near copies costs about a row a member in each step, and all pairs of all buckets have been compared, ruled out or connected. Only in a list of
-texts that share an odd passage, are of similar length and all differ otherwise, each meets each in the end.
+So a group of near copies costs a row a member in the first step, and all pairs of all buckets have been compared, ruled out or connected. What stays apart from a large
+bucket's hub meets the bucket's other members in the end, a row for each member and ``TILE`` of the others.
 
 Cases: null, empty and blank texts are copies of each other; rows that share a doc_id, or have none, but differ in text both
 stay; an empty table gives an empty result; long texts are hashed whole.
@@ -39,7 +38,9 @@ from .common import ship, written
 from .simhash import LOWER, SEED, WORDS, components
 from .simhash import links as simhash_links
 
-SHINGLE, BANDS, ROWS, MOST, WIDER = 5, 20, 5, 16, 2
+SHINGLE, BANDS, ROWS, MOST = 5, 20, 5, 16
+#: Members of a tile and shingles of it, and shingles whose holders are multiplied at a time.
+TILE, UNIT, COLUMNS = 256, 1 << 18, 4096
 #: Rows of a batch, and shingles, that are worked on at a time.
 SLICE, PART = 500, 2048
 _rng = np.random.default_rng(20)
@@ -124,12 +125,12 @@ def _buckets(firsts: DataFrame) -> DataFrame:
     return written(keyed.join(sizes, ["band", "key"]), "buckets")
 
 
-def _hubs(members: DataFrame, most: int, hubs: int) -> DataFrame:
-    """The hubs of each bucket of members (band, key, size, class, n, c): all of a small one, of a larger one the few that have most mates in all buckets."""
+def _hubs(members: DataFrame, most: int) -> DataFrame:
+    """The hubs of each bucket of members (band, key, size, class, n, c): all of a small one, of a larger one that with most mates in all buckets."""
     weights = members.groupBy("class").agg(F.sum("size").alias("weight"))
     order = Window.partitionBy("band", "key").orderBy(F.desc("weight"), "class")
-    first = members.join(weights, "class").withColumn("place", F.row_number().over(order)).where(F.col("place") <= max(most, hubs))
-    return first.where((F.col("size") <= most) | (F.col("place") <= hubs)).drop("place", "weight")
+    first = members.join(weights, "class").withColumn("place", F.row_number().over(order)).where(F.col("place") <= max(most, 1))
+    return first.where((F.col("size") <= most) | (F.col("place") == 1)).drop("place", "weight")
 
 
 def _met(members: DataFrame, hubs: DataFrame) -> DataFrame:
@@ -148,7 +149,7 @@ def _members(buckets: DataFrame) -> DataFrame:
 def candidates(firsts: DataFrame, most: int = MOST, buckets: DataFrame | None = None) -> DataFrame:
     """Rows of different classes (class, n, bands) -> distinct pairs (a, b) with a < b: those of the first round."""
     members = _members(_buckets(firsts) if buckets is None else buckets)
-    return _met(members, _hubs(members, most, 1)).select("a", "b")
+    return _met(members, _hubs(members, most)).select("a", "b")
 
 
 def similar(sets: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -163,43 +164,80 @@ def _apart(members: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     """members with their components as they are after roots, of buckets that hold two components."""
     now = members.select("band", "key", "class", "n", "c")
     if roots is not None:
-        now = now.join(roots, F.col("c") == F.col("node"), "left").select("band", "key", "class", "n", F.coalesce("root", "c").alias("c"))
+        now = written(now.join(roots, F.col("c") == F.col("node"), "left").select("band", "key", "class", "n", F.coalesce("root", "c").alias("c")), "now")
     mixed = now.groupBy("band", "key").agg(F.count("*").alias("size"), F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").drop("low", "high")
     return now.join(mixed, ["band", "key"]).select("band", "key", "size", "class", "n", "c")
 
 
-def _differences(groups: DataFrame, sets: DataFrame) -> DataFrame:
-    """Members (hub, class, c) of large buckets that still hold two components -> buckets (band: the hub, key) by what they differ in from their hub.
-
-    x and y of n and m shingles are similar if they differ in (n + m) / 9 of them at most. With X and Y what they differ in from the hub, that is
-    |X| + |Y| - 2 |X & Y|. If y isn't similar to the hub, |Y| is above a ninth of both their sizes, and then |X & Y| > 4 / 9 |X| follows, for any x: two members
-    share much of what sets them apart, unless both are similar to the hub and so connected. So members meet by shared elements of their
-    differences, of which the rarest suffice: with at least k in common, two sets share one of the first |X| - k + 1 in any fixed order.
-    """
-    side = lambda x: sets.select(F.col("class").alias(x), F.col("shingles").alias(f"of_{x}"))
-    both = groups.join(side("class"), "class").join(side("hub"), "hub")
-    differ = F.concat(F.array_except("of_class", "of_hub"), F.array_except("of_hub", "of_class"))
-    apart = both.select("hub", "class", "c", F.size("of_class").alias("n"), F.size("of_hub").alias("h"), differ.alias("differ")).withColumn("d", F.size("differ"))
-    far = 9 * F.col("d") > F.col("n") + F.col("h")  # not similar to the hub
-    # in common with any other that is not similar to the hub; and, of one that isn't, with any other at all
-    near_one, any_one = F.floor(4 * F.col("d") / 9) + 1, F.greatest(F.lit(1), F.ceil((9 * F.col("d") - F.col("n") - F.col("h")) / 10))
-    listed = apart.select("hub", "class", "n", "c", "d", far.alias("far"), near_one.alias("k"), any_one.alias("k_any"), F.explode("differ").alias("element"))
-    rare = listed.groupBy("hub", "element").agg(F.count("*").alias("holders")).where("holders > 1")
-    order = Window.partitionBy("hub", "class").orderBy("holders", "element")
-    # elements that one member alone has come first in its order, and meet no other
-    alone = F.col("d") - F.count("*").over(Window.partitionBy("hub", "class"))
-    placed = written(listed.join(rare, ["hub", "element"]).withColumn("place", alone + F.row_number().over(order)), "differences")
-    firsts = lambda k: F.col("place") <= F.col("d") - k + 1
-    two_far = placed.where(F.col("far") & firsts(F.greatest("k", "k_any"))).withColumn("kind", F.lit(0))
-    one_far = placed.where(F.when(F.col("far"), firsts(F.col("k_any"))).otherwise(firsts(F.col("k")))).withColumn("kind", F.lit(1))
-    # lists of that kind without a member that is similar to the hub have no pairs that the other kind lacks
-    one_far = one_far.join(one_far.where(~F.col("far")).select("hub", "element").distinct(), ["hub", "element"])
-    key = F.struct("element", "kind")
-    return two_far.unionByName(one_far).select(F.col("hub").alias("band"), key.alias("key"), "class", "n", "c")
+def _units(members: DataFrame, hubs: DataFrame) -> DataFrame:
+    """Members (band, key, class, n, c) of large buckets -> a row for each unit that one is in: unit, side (0, 1; 2: both), class, c."""
+    home = members.join(hubs.select("band", "key", "class"), ["band", "key", "class"]).select("band", "key", F.col("c").alias("of_hub"))
+    sided = members.join(home, ["band", "key"]).withColumn("home", F.col("c") == F.col("of_hub"))
+    before = Window.partitionBy("band", "key", "home").orderBy("n", "class").rowsBetween(Window.unboundedPreceding, 0)
+    weight = F.sum(F.col("n").cast("long") + UNIT // TILE).over(before)
+    tile = F.struct("home", F.floor((weight - 1) / UNIT).alias("at"))
+    tiled = written(sided.withColumn("tile", tile).select("band", "key", "tile", "class", "n", "c"), "tiles")
+    tiles = tiled.groupBy("band", "key", "tile").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    near = "l.tile <= r.tile AND NOT (l.tile.home AND r.tile.home) AND 5 * l.high >= 4 * r.low AND 5 * r.high >= 4 * l.low"
+    pairs = tiles.alias("l").join(tiles.alias("r"), ["band", "key"]).where(near)
+    pairs = pairs.select("band", "key", F.struct("band", "key", F.col("l.tile").alias("l"), F.col("r.tile").alias("r")).alias("unit"))
+    sides = F.when(F.col("unit.l") == F.col("unit.r"), F.array(F.lit(2))).otherwise(F.array(F.lit(0), F.lit(1)))
+    listed = pairs.select("band", "key", "unit", F.explode(sides).alias("side")).withColumn("tile", F.when(F.col("side") == 1, F.col("unit.r")).otherwise(F.col("unit.l")))
+    return tiled.join(listed, ["band", "key", "tile"]).select("unit", "side", "class", "c")
+
+
+def in_common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many elements each of the left sets shares with each of the right ones, other than itself; left and right are places in sets."""
+    _, column, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row, shared = np.repeat(np.arange(len(sets)), [len(x) for x in sets]), held > 1
+    row, column = row[shared[column]], (np.cumsum(shared) - 1)[column[shared[column]]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    common = np.zeros((len(left), len(right)), dtype=np.int64)
+    for start in range(0, int(shared.sum()), COLUMNS):
+        part = slice(*np.searchsorted(column, [start, start + COLUMNS]))
+        has = np.zeros((len(sets), COLUMNS), dtype=np.float32)
+        has[row[part], column[part] - start] = 1
+        common += (has[left] @ has[right].T).astype(np.int64)
+    return common
+
+
+def connecting(found: np.ndarray, own: np.ndarray, other: np.ndarray) -> list[tuple[int, int]]:
+    """Places (row, column) of found that connect all that found does, given the components of rows and columns: one for each component and round."""
+    own, other, chosen = own.copy(), other.copy(), []
+    while (open_ := found & (own[:, None] != other[None, :])).any():
+        rows = np.flatnonzero(open_.any(axis=1))
+        for i in rows[np.unique(own[rows], return_index=True)[1]]:
+            j = open_[i].argmax()
+            if own[i] != other[j]:
+                chosen.append((int(i), int(j)))
+                low, high = sorted((own[i], other[j]))
+                own[own == high], other[other == high] = low, low
+    return chosen
+
+
+def _compared(unit: pa.Table) -> pa.Table:
+    """A unit's links (a, b, ca, cb), as many as connect its members."""
+    sets = [x.values.to_numpy() for x in unit.column("shingles")]
+    side, name, c = (unit.column(x).to_numpy() for x in ("side", "class", "c"))
+    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    n = np.array([len(x) for x in sets])
+    found = 9 * in_common(sets, left, right) >= 4 * (n[left][:, None] + n[right][None, :])
+    edges = [(left[i], right[j]) for i, j in connecting(found, c[left], c[right])]
+    ends = [sorted([(name[i], c[i]), (name[j], c[j])]) for i, j in edges]
+    columns = ([a[0] for a, b in ends], [b[0] for a, b in ends], [a[1] for a, b in ends], [b[1] for a, b in ends])
+    return pa.table([pa.array(x, pa.int64()) for x in columns], ["a", "b", "ca", "cb"])
+
+
+def compared(members: DataFrame, hubs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Members of large buckets and their hubs -> links (a, b, ca, cb) that connect all members whose similarity is at least 0.8."""
+    ship(members.sparkSession)
+    units = _units(members, hubs).join(sets, "class")
+    return units.groupBy("unit").applyInArrow(_compared, "a long, b long, ca long, cb long").distinct()
 
 
 def links(rows: DataFrame, most: int = MOST) -> DataFrame:
-    """shingled()'s rows -> edges (a, b) between classes whose similarity is at least 0.8."""
+    """shingled()'s rows -> edges (a, b) between classes whose similarity is at least 0.8, which connect all that share a bucket."""
     chosen = rows.groupBy("class").agg(F.min("row").alias("row")).select("row")
     firsts = written(rows.select("row", "class", "n", "fp", "bands").join(chosen, "row"), "firsts")
     buckets = _buckets(firsts)
@@ -218,23 +256,15 @@ def links(rows: DataFrame, most: int = MOST) -> DataFrame:
     # SimHash first: what its links connect needs no pairs in the buckets
     found, roots = linked(by_print.select("a", "b", F.col("a").alias("ca"), F.col("b").alias("cb")))
     members = written(_apart(_members(buckets), roots), "members")
-    chosen = written(_hubs(members, 0, 1), "hubs")
-    new, roots = linked(_met(members, chosen))
+    hubs = written(_hubs(members, 0), "hubs")
+    new, roots = linked(_met(members, hubs))
     found = found.unionByName(new)
     members = written(_apart(members, roots), "members")
     small = members.where(F.col("size") <= most)
     new, roots = linked(_met(small, small.drop("size")))
     found = found.unionByName(new)
-    large = chosen.where(F.col("size") > most).select("band", "key", F.col("class").alias("hub"))
-    met = _apart(members.where(F.col("size") > most), roots).join(large, ["band", "key"]).select("hub", "class", "c").distinct()
-    members, hubs = written(_apart(_differences(met, sets)), "members"), WIDER
-    while not members.isEmpty():
-        chosen = written(_hubs(members, most, hubs), "hubs")
-        new, roots = linked(_met(members, chosen))
-        found = found.unionByName(new)
-        members = written(_apart(members.join(chosen.select("band", "key", "class"), ["band", "key", "class"], "left_anti"), roots), "members")
-        hubs *= WIDER
-    return found
+    large = written(_apart(members.where(F.col("size") > most), roots), "members")
+    return found.unionByName(written(compared(large, hubs, sets).select("a", "b"), "edges"))
 
 
 def groups(rows: DataFrame, most: int = MOST) -> DataFrame:

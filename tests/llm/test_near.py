@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from fixtures import empty_documents, odd_documents
 
 from siftline.llm import near, simhash
@@ -142,3 +143,88 @@ def test_fingerprints_link_first(spark):
     assert root(got) == root(want)
     found = {(r.a, r.b) for r in near.similar(rows.select("class", "shingles"), near.fingerprint_pairs(rows)).collect()}
     assert found and found <= got
+
+
+def odd_passages(count=120, seed=17):
+    """Texts of one base, each with some of a few odd passages, so that large buckets hold many that are similar to few."""
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(240)]
+    passages = [[f"p{p}w{i}" for i in range(14)] for p in range(12)]
+    texts = []
+    for i in range(count):
+        other = list(base) + [f"t{i}"]
+        for p in rng.sample(range(12), 4):
+            at = 15 * p
+            other[at : at + 14] = passages[p]
+        texts.append(" ".join(other))
+    return texts
+
+
+def test_large_buckets_make_no_pairs(spark, monkeypatch):
+    """No table after the buckets has more rows than they have, and the groups are those of all pairs that share a bucket."""
+    texts = odd_passages()
+    rows = near.shingled(spark.createDataFrame(list(enumerate(texts)), DOCS).selectExpr("*", "0L AS mark"))
+    found = {r["class"]: (r.bands, set(r.shingles)) for r in rows.collect()}
+    root = {c: c for c in found}
+    for a in found:
+        for b in found:
+            if a < b and any(x == y for x, y in zip(found[a][0], found[b][0])) and 9 * len(found[a][1] & found[b][1]) >= 4 * (len(found[a][1]) + len(found[b][1])):
+                low, high = sorted((root[a], root[b]))
+                root = {c: low if r == high else r for c, r in root.items()}
+    made, whole = [], near.written
+
+    def counted(df, what):
+        made.append((what, (out := whole(df, what)).count()))
+        return out
+
+    monkeypatch.setattr(near, "written", counted)
+    mine = {r["class"]: r.root for r in near.groups(rows, 4).collect()}
+    same = lambda x: sorted(sorted(c for c in x if x[c] == r) for r in set(x.values()))
+    assert same(mine) == same(root) and 1 < len(set(root.values())) < len(texts)
+    members = next(n for what, n in made if what == "buckets")
+    assert members > 500 and max(n for _, n in made) <= members
+
+
+def test_tiles(spark, monkeypatch):
+    """However members are cut into tiles, each two that aren't both with the hub meet once, and the groups are the same."""
+    rows = near.shingled(spark.createDataFrame(list(enumerate(odd_passages(60))), DOCS).selectExpr("*", "0L AS mark"))
+    same = lambda x: sorted(sorted(r["class"] for r in x if r.root == c) for c in {r.root for r in x})
+    want = same(near.groups(rows, 4).collect())
+    members = spark.createDataFrame([(0, 0, c, 100 + c, 0 if c < 12 else c) for c in range(40)], "band int, key long, class long, n int, c long")
+    for tile in (1, 7):
+        monkeypatch.setattr(near, "TILE", tile)
+        monkeypatch.setattr(near, "UNIT", 512)
+        assert same(near.groups(rows, 4).collect()) == want
+        units = {}
+        for r in near._units(members, members.where("class = 3")).collect():
+            units.setdefault(str(r.unit), []).append((r["class"], r.side))
+        met = [tuple(sorted((x, y))) for u in units.values() for x, s in u for y, t in u if (s, t) == (0, 1) or s == t == 2 and x < y]
+        need = {(x, y) for x in range(40) for y in range(x + 1, 40) if y >= 12 and 5 * (100 + x) >= 4 * (100 + y)}
+        assert len(met) == len(set(met)) and need <= set(met)
+
+
+def test_in_common(monkeypatch):
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(-40, 40, k).astype(np.int32)) for k in (1, 5, 30, 60, 60, 90)]
+    for columns in (7, 4096):
+        monkeypatch.setattr(near, "COLUMNS", columns)
+        got = near.in_common(sets, np.array([0, 2, 4, 5]), np.array([1, 3]))
+        assert got.tolist() == [[len(np.intersect1d(sets[i], sets[j])) for j in (1, 3)] for i in (0, 2, 4, 5)]
+
+
+def test_connecting():
+    rng = np.random.default_rng(4)
+    found = rng.random((40, 40)) < 0.02
+    found |= found.T
+    c = rng.integers(0, 30, 40)
+    edges = near.connecting(found, c, c)
+    label = {x: x for x in range(30)}
+    for i, j in np.argwhere(found):
+        low, high = sorted((label[c[i]], label[c[j]]))
+        label = {x: low if r == high else r for x, r in label.items()}
+    mine = {x: x for x in range(30)}
+    for i, j in edges:
+        assert found[i, j]
+        low, high = sorted((mine[c[i]], mine[c[j]]))
+        mine = {x: low if r == high else r for x, r in mine.items()}
+    assert mine == label and len(edges) < 30
